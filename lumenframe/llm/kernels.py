@@ -68,6 +68,26 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    """Stretches of ``data`` as a binary column."""
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    out = np.ascontiguousarray(data[at])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def matrix(column, width: int, right: bool = False) -> np.ndarray:
+    """A binary column as rows of ``width`` bytes, zero-padded at the right end, or with ``right`` at the left."""
+    data, offsets = text_buffer(column)
+    sizes = np.diff(offsets)
+    out = np.zeros((len(sizes), width), dtype=np.uint8)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(data)) - np.repeat(offsets[:-1] - (width - sizes if right else 0), sizes)
+    out[row, at] = data
+    return out
+
+
 def blocks(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges of documents (first, last + 1) of about ``most`` bytes; a longer document stands alone."""
     n, a = len(offsets) - 1, 0

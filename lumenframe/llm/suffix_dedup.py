@@ -139,7 +139,8 @@ def _unpack(data: bytes, kind, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).reshape(n)
 
 
-_GRAMS = "bucket int, n int, grams binary, seconds binary, rows binary, ids binary, digests binary, doc_id long, digest binary, hashes binary"
+_GRAMS = "bucket int, n int, grams binary, seconds binary, rows binary, ids binary, digests binary, hashes binary"
+_REPORTS = "place int, n int, ids binary, digests binary, rows binary, hashes binary"
 
 
 def _distinct_texts(gram_new: np.ndarray, digest: np.ndarray) -> np.ndarray:
@@ -161,27 +162,26 @@ def _gram_hash(w0: np.ndarray, w1: np.ndarray) -> np.ndarray:
     return (K.mix(w0 * _M0 + K.mix(w1 * _M1)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _found(doc: np.ndarray, hashes: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows that report grams of documents."""
+def _found(doc: np.ndarray, hashes: np.ndarray, ids: np.ndarray, digests: np.ndarray, places: int) -> Iterator[tuple]:
+    """Packed reports: (place, n, ids, digests, rows, hashes) of the documents that go to one place."""
     if not len(doc):
         return
-    o = np.argsort(doc, kind="stable")
-    doc, hashes = doc[o], hashes[o]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    own = doc[cut]
-    lists = [x.tobytes() for x in np.split(hashes, cut[1:])]
-    for a in range(0, len(own), 2000):
-        part = own[a : a + 2000]
-        n = len(part)
-        nothing = [pa.nulls(n, pa.int32())] * 2 + [pa.nulls(n, pa.binary())] * 5
-        nothing[0] = pa.array((part % 997).astype(np.int32) * -1 - 1)
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(ids[part]), pa.array([digests[i].tobytes() for i in part], pa.binary()), pa.array(lists[a : a + 2000], pa.binary())], names=_NAMES)
+    place = (K.mix(ids.view(np.uint64))[doc] % np.uint64(places)).astype(np.int32)
+    o = np.lexsort((doc, place))
+    doc, hashes, place = doc[o], hashes[o], place[o]
+    cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used, back = np.unique(doc[a:b], return_inverse=True)
+        yield int(place[a]), int(b - a), ids[used].tobytes(), digests[used].tobytes(), back.astype(np.int32).tobytes(), hashes[a:b].tobytes()
 
 
-_NAMES = [x.split()[0] for x in _GRAMS.split(", ")]
+def _row(values: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int, places: int) -> Iterator[pa.RecordBatch]:
     """Entries (gram, text) of a task's documents for the buckets, and reports of grams that already repeat here."""
     ids, digests, parts, held = [], [], [], 0
 
@@ -201,7 +201,8 @@ def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int
         doc, w0, w1 = doc[o], w0[o], w1[o]
         new = _new_runs(w0, w1)
         many = _distinct_texts(new, text[doc])
-        yield from _found(doc[many], _gram_hash(w0[many], w1[many]), own_ids, own_digests)
+        for place, n, *report in _found(doc[many], _gram_hash(w0[many], w1[many]), own_ids, own_digests, places):
+            yield _row([-1 - place, n, None, None, report[2], report[0], report[1], report[3]], _GRAMS)
         # One entry for a gram that repeats here (no document: any other text with it repeats it), else one for its text.
         doc = np.where(many, -1, doc)[new].astype(np.int32)
         w0, w1 = w0[new], w1[new]
@@ -211,9 +212,7 @@ def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int
             used, back = np.unique(doc[a:b], return_inverse=True)
             rows = (back - (1 if used[0] < 0 else 0)).astype(np.int32)
             used = used[used >= 0]
-            row = [[int(bucket[a])], [int(b - a)], [_pack(w0[a:b])], [_pack(w1[a:b])], [_pack(rows)], [own_ids[used].tobytes()], [own_digests[used].tobytes()], [None], [None], [None]]
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=_NAMES)
+            yield _row([int(bucket[a]), int(b - a), _pack(w0[a:b]), _pack(w1[a:b]), _pack(rows), own_ids[used].tobytes(), own_digests[used].tobytes(), None], _GRAMS)
 
     for batch in batches:
         data, offsets = K.text_buffer(batch.column(1))
@@ -231,7 +230,7 @@ def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int
         yield from flush()
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
     """Sort each bucket's entries; report the documents of grams that two distinct texts have.  Reports pass through."""
     held: list[dict] = []
 
@@ -254,14 +253,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.where(doc < 0, -1 - np.arange(len(doc)), text[doc] if len(text) else 0)
         new = _new_runs(w0, w1)
         many = _distinct_texts(new, mark) & (doc >= 0)
-        for out in _found(doc[many], _gram_hash(w0[many], w1[many]), ids, digests):
-            yield out.select(["doc_id", "digest", "hashes"])
+        for report in _found(doc[many], _gram_hash(w0[many], w1[many]), ids, digests, places):
+            yield _row(report, _REPORTS)
 
     for batch in batches:
-        reports = batch.filter(pa.array(np.asarray(batch.column(0)) < 0))
-        if reports.num_rows:
-            yield reports.select(["doc_id", "digest", "hashes"])
-        for x in batch.filter(pa.array(np.asarray(batch.column(0)) >= 0)).to_pylist():
+        for x in batch.to_pylist():
+            if x["bucket"] < 0:
+                yield _row([-1 - x["bucket"], x["n"], x["ids"], x["digests"], x["rows"], x["hashes"]], _REPORTS)
+                continue
             if held and held[0]["bucket"] != x["bucket"]:
                 yield from settle()
             held.append(x)
@@ -269,44 +268,58 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def _suffixes(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each reported document: doc_id, digest, the hashes of its grams.  Takes reports sorted by place."""
+    held: list[dict] = []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([np.frombuffer(x["digests"], np.dtype("V16")) for x in held])
+        ids = np.concatenate([np.frombuffer(x["ids"], np.int64) for x in held])
+        full = np.concatenate([ids.view(np.uint64)[:, None], key.view(np.uint64).reshape(-1, 2)], axis=1)
+        own, number = np.unique(full, axis=0, return_inverse=True)
+        rows, base = [], 0
+        for x in held:
+            rows.append(np.frombuffer(x["rows"], np.int32) + base)
+            base += len(x["ids"]) // 8
+        doc = number.reshape(-1)[np.concatenate(rows)]
+        hashes = np.concatenate([np.frombuffer(x["hashes"], np.uint32) for x in held])
+        held.clear()
+        both = np.unique(doc.astype(np.uint64) << np.uint64(32) | hashes.astype(np.uint64))
+        doc, hashes = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
+        first = np.searchsorted(doc, np.arange(len(own) + 1))
+        for a in range(0, len(own), 5000):
+            part = np.arange(a, min(a + 5000, len(own)))
+            texts = pa.array([own[i, 1:].tobytes() for i in part], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[part, 0]).view(np.int64)), texts, pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in part], pa.binary())], names=["doc_id", "digest", "hashes"])
+
+    for batch in batches:
+        for x in batch.to_pylist():
+            if held and held[0]["place"] != x["place"]:
+                yield from settle()
+            held.append(x)
+    if held:
+        yield from settle()
+
+
+def _suffixes(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     """Rows (row_id, doc_id, pos, before, after, left, suffix) of minimizers whose grams are reported.
 
     ``before``, ``after``: how far the first and last of its string starts lie
     before the minimizer.  ``left``: the bytes before it that its strings need.
     """
     data, offsets = K.text_buffer(batch.column(2))
-    hashes = batch.column(3).to_pylist()
-    wanted: dict[int, np.ndarray] = {}
-    out: list[list] = [[] for _ in range(7)]
+    raw, cuts = K.text_buffer(batch.column(3))
+    wanted = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(cuts) // 4) << np.uint64(32) | np.ascontiguousarray(raw).view(np.uint32)
     rows, doc_ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+    found = []
     for a, base, part, own in segments(data, offsets, length):
         doc, at, low, high, _, _, h = minimizers(part, own, length)
-        h = (h >> np.uint64(32)).astype(np.uint32)
-        for d in np.unique(doc):
-            mine = slice(*np.searchsorted(doc, [d, d + 1]))
-            if a + d not in wanted:
-                wanted[a + d] = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in hashes[a + d]]))
-            take = np.flatnonzero(np.isin(h[mine], wanted[a + d])) + mine.start
-            raw = part.tobytes() if len(own) == 2 and d == 0 else part[own[d] : own[d + 1]].tobytes()
-            shift = int(own[d])
-            for i in take:
-                p, lo, hi = int(at[i]) - shift, int(low[i]) - shift, int(high[i]) - shift
-                out[0].append(rows[a + d])
-                out[1].append(doc_ids[a + d])
-                out[2].append(base + shift + p - int(offsets[a + d]))
-                out[3].append(p - lo)
-                out[4].append(p - hi)
-                out[5].append(raw[lo:p])
-                out[6].append(raw[p : hi + length])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["row_id", "doc_id", "pos", "before", "after", "left", "suffix"])
-
-
-def _matrix(values: list[bytes], width: int, right: bool) -> np.ndarray:
-    """Rows of ``width`` bytes, zero-padded at the left or right."""
-    joined = b"".join(v.rjust(width, b"\0") if right else v.ljust(width, b"\0") for v in values)
-    return np.frombuffer(joined, np.uint8).reshape(len(values), width)
+        doc = doc + a
+        take = np.isin(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32), wanted)
+        found.append(np.stack([doc[take], at[take] + base, low[take] + base, high[take] + base]))
+    doc, at, low, high = np.concatenate(found, axis=1)
+    columns = [pa.array(rows[doc]), pa.array(doc_ids[doc]), pa.array(at - offsets[doc]), pa.array((at - low).astype(np.int32)), pa.array((at - high).astype(np.int32)), K.slices(data, low, at - low), K.slices(data, at, high + length - at)]
+    return pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "pos", "before", "after", "left", "suffix"])
 
 
 _FLAGS = "row_id long, pos long, mask binary, low long, high long, doc_id long, back int"
@@ -326,11 +339,10 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     row_id, doc_id, pos = (table[c].to_numpy() for c in ("row_id", "doc_id", "pos"))
     before, after = (table[c].to_numpy().astype(np.int64) for c in ("before", "after"))
     reach = length - GRAM
-    suffix_list = table["suffix"].to_pylist()
-    suffix = _matrix(suffix_list, -(-length // 8) * 8, False)
-    left = _matrix(table["left"].to_pylist(), max(reach, 1), True)
+    suffix = K.matrix(table["suffix"], -(-length // 8) * 8)
+    left = K.matrix(table["left"], max(reach, 1), True)
     words = suffix.view(">u8").astype(np.uint64)
-    lengths = np.array([len(x) for x in suffix_list])
+    lengths = np.diff(K.text_buffer(table["suffix"])[1])
     order = multikey_order(np.concatenate([words, lengths[:, None].astype(np.uint64)], axis=1))
     row_id, doc_id, pos, before, after, left, suffix, lengths = (x[order] for x in (row_id, doc_id, pos, before, after, left, suffix, lengths))
     n = len(order)
@@ -349,16 +361,17 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         own = np.flatnonzero((after <= back) & (back <= before))
         if not len(own):
             continue
-        r, lh, d = run[own], left_hash[own], doc_id[own]
-        o = np.lexsort((d, lh, r))
-        r, lh, d = r[o], lh[o], d[o]
+        group = K.mix(left_hash[own] ^ K.mix(run[own].astype(np.uint64)))
+        o = np.argsort(group, kind="quicksort")
+        group, own = group[o], own[o]
+        r, d = run[own], doc_id[own]
         new = np.ones(len(o), dtype=bool)
-        new[1:] = (r[1:] != r[:-1]) | (lh[1:] != lh[:-1])
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-        flags[own[o], back] = d > least
+        new[1:] = group[1:] != group[:-1]
+        least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+        flags[own, back] = d > least
         edge = np.flatnonzero(((r == 0) | (r == run[-1])) & (d == least))
         if len(edge):
-            at = own[o[edge]]
+            at = own[edge]
             string = np.concatenate([left[at][:, reach - back :] if back else left[at][:, :0], suffix[at][:, :need]], axis=1)
             digest = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in string), np.int64).reshape(-1, 2)
             edges.append((row_id[at], pos[at], digest[:, 0], digest[:, 1], doc_id[at], np.full(len(at), back, dtype=np.int32)))
@@ -373,57 +386,47 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(at), pa.nulls(len(rows), pa.binary()), pa.array(low), pa.array(high), pa.array(docs), pa.array(back)], names=names)
 
 
-def _removed(n: int, marks: list[dict] | None, length: int) -> np.ndarray:
-    """Spans (start, end) of bytes that flagged strings cover."""
-    change = np.zeros(n + 1, dtype=np.int32)
-    for mark in marks or ():
-        if mark["mask"] is not None:
-            back = np.flatnonzero(np.unpackbits(np.frombuffer(mark["mask"], np.uint8)))
-        else:
-            back = np.array([mark["back"]])
-        np.add.at(change, mark["pos"] - back, 1)
-        np.add.at(change, mark["pos"] - back + length, -1)
-    covered = np.zeros(n + 2, dtype=np.int8)
-    covered[1:-1] = np.cumsum(change[:-1]) > 0
-    turn = np.diff(covered)
-    return np.stack([np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)], axis=1)
-
-
-def _cut(text: bytes, spans: np.ndarray) -> bytes:
-    at, out = 0, []
-    for a, b in spans:
-        out.append(text[at:a])
-        at = b
-    return b"".join([*out, text[at:]])
-
-
-def _cut_whole(text: bytes, spans: np.ndarray) -> bytes:
-    """Like ``_cut``, but characters that a span covers in part stay."""
-    inner = []
-    for a, b in spans:
-        while a < b and text[a] & 0xC0 == 0x80:
-            a += 1
-        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
-            b -= 1
-        inner.append((a, b))
-    return _cut(text, inner)
+def _covered(marks, offsets: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Which bytes of a batch flagged strings cover.  ``marks``: a list of (pos, mask, back) for each text."""
+    cuts = np.asarray(marks.value_lengths().fill_null(0))
+    flat = marks.flatten()
+    doc = np.repeat(np.arange(len(marks)), cuts)
+    pos = np.asarray(flat.field("pos"))
+    mask, back = flat.field("mask"), flat.field("back")
+    single = np.asarray(mask.is_null())
+    starts = [offsets[doc[single]] + pos[single] - np.asarray(back.fill_null(0))[single]]
+    if not single.all():
+        data, at = K.text_buffer(mask.filter(pa.array(~single)))
+        row, bit = np.nonzero(np.unpackbits(data.reshape(len(at) - 1, -1), axis=1))
+        starts.append(offsets[doc[~single][row]] + pos[~single][row] - bit)
+    starts = np.concatenate(starts)
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(starts + length, minlength=size + 1)
+    return np.cumsum(change[:size]) > 0
 
 
 def _finish(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """Append n_bytes, n_removed, n_spans, kept_sha256 and kept_text."""
-    texts, marks, copies = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("marks").to_pylist(), batch.column("copy").to_pylist()
-    out: list[tuple] = []
-    for text, mark, copy in zip(texts, marks, copies, strict=True):
-        raw = text or b""
-        spans = np.array([[0, len(raw)]]) if copy and len(raw) >= length else _removed(len(raw), mark, length)
-        removed = int((spans[:, 1] - spans[:, 0]).sum())
-        kept = _cut(raw, spans) if removed else raw
-        out.append((len(raw), removed, len(spans), hashlib.sha256(kept).hexdigest(), text if not removed else _cut_whole(raw, spans)))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    columns = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)]
-    columns[-1] = columns[-1].cast(pa.string())
-    names = [c for c in batch.schema.names if c not in ("text", "marks", "copy")]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+    data, offsets = K.text_buffer(batch.column("text"))
+    gone = _covered(batch.column("marks"), offsets, len(data), length) if len(data) else np.zeros(0, dtype=bool)
+    edge = np.zeros(len(data), dtype=bool)
+    edge[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = gone.copy()
+    starts[1:] &= ~gone[:-1] | edge[1:]
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in (gone, starts)]
+    removed, spans = (x[offsets[1:]] - x[offsets[:-1]] for x in sums)
+    kept = data[~gone].tobytes()
+    cuts = offsets - sums[0][offsets]
+    hashes = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    # Characters that a span covers in part stay whole.
+    if len(data):
+        begin = np.flatnonzero((data & 0xC0 != 0x80) | edge)
+        gone = np.repeat(np.minimum.reduceat(gone, begin), np.diff(np.append(begin, len(data))))
+    total = np.concatenate([[0], np.cumsum(gone)])
+    whole, cuts = np.ascontiguousarray(data[~gone]), offsets - total[offsets]
+    text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(whole)]).cast(pa.binary()).cast(pa.string())
+    names = [c for c in batch.schema.names if c not in ("text", "marks")]
+    new = [pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(hashes, pa.string()), text]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
 def _leading(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -441,7 +444,7 @@ def _splitters(texts: DataFrame, buckets: int, length: int) -> np.ndarray:
     """Quantiles of the leading words of minimizers in SAMPLE_DOCS documents."""
     if buckets < 2:
         return np.zeros(0, dtype=np.uint64)
-    sample = texts.select("text").orderBy(F.xxhash64("digest")).limit(SAMPLE_DOCS)
+    sample = texts.orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).select("text")
     rows = map_arrow(sample, partial(_leading, length=length), "word long").collect()
     words = np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
     return np.unique(words[np.arange(1, buckets) * len(words) // buckets]) if len(words) else words
@@ -464,17 +467,19 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     usable = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "text", "digest")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, round(total * 2 / (length - GRAM + 2) / BUCKET))
-    grams = usable.mapInArrow(partial(_grams, splitters=_splitters(usable, buckets, length), length=length), _GRAMS)
-    grams = grams.repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
-    reports = grams.mapInArrow(_repeats, "doc_id long, digest binary, hashes binary")
-    reports = stored(reports)
+    places = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    splitters = _splitters(usable, buckets, length)
+    grams = usable.mapInArrow(partial(_grams, splitters=splitters, length=length, places=places), _GRAMS)
+    grams = grams.repartition(max(buckets, places), "bucket").sortWithinPartitions("bucket")
+    reports = grams.mapInArrow(partial(_repeats, places=places), _REPORTS).repartition(places, "place").sortWithinPartitions("place")
+    reports = stored(reports.mapInArrow(_merge, "doc_id long, digest binary, hashes binary"))
     ids = usable.select("doc_id", "digest").distinct()
     heads = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
     copies = stored(ids.join(heads, "digest").where("doc_id > head").select("doc_id", "digest"))
-    wanted = reports.groupBy("doc_id", "digest").agg(F.collect_list("hashes").alias("hashes")).join(copies, ["doc_id", "digest"], "left_anti")
-    facts = wanted.select("doc_id", "digest", "hashes", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "digest", F.lit(None).cast("array<binary>").alias("hashes"), F.lit(True).alias("copy")))
+    wanted = reports.join(copies, ["doc_id", "digest"], "left_anti")
+    facts = wanted.select("doc_id", "digest", "hashes", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "digest", F.lit(None).cast("binary").alias("hashes"), F.lit(True).alias("copy")))
     # The texts are shuffled once; those without a reported gram are done here.
-    placed = docs.join(facts, ["doc_id", "digest"], "left").drop("digest").withColumn("marks", F.lit(None).cast("array<struct<pos:long,mask:binary,back:int>>")).withColumn("copy", F.coalesce("copy", F.lit(False)))
+    placed = docs.join(facts, ["doc_id", "digest"], "left").drop("digest").withColumn("copy", F.coalesce("copy", F.lit(False)))
     done = _done_or_open(placed, extra, length)
     done = stored(done.withColumn("row_id", F.monotonically_increasing_id()))
     open_rows = done.where("hashes is not null")
@@ -487,7 +492,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     across = edges.join(least, ["low", "high"]).where("doc_id > least").select("row_id", "pos", F.lit(None).cast("binary").alias("mask"), "back")
     marks = flags.where("mask is not null").select("row_id", "pos", "mask", "back").unionByName(across)
     marks = marks.groupBy("row_id").agg(F.collect_list(F.struct("pos", "mask", "back")).alias("marks"))
-    rest = open_rows.select("row_id", "doc_id", *extra, "text").join(marks, "row_id", "left").withColumn("copy", F.lit(False)).drop("row_id")
+    rest = open_rows.select("row_id", "doc_id", *extra, "text").join(marks, "row_id", "left").drop("row_id")
     cut = map_arrow(rest, partial(_finish, length=length), _schema(docs, extra))
     columns = cut.columns
     return done.where("hashes is null").select(columns).unionByName(cut)
