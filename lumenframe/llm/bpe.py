@@ -221,19 +221,23 @@ class Codec:
             yield automaton.decode(b"".join(map(self.token.__getitem__, block.split(","))))
         yield automaton.decode(b"", True)
 
-    def digests(self, data: bytes) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the decimal ranks, SHA-256 of what they decode to."""
-        ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
+    def digests(self, data: bytes, lists: list | None = None) -> tuple[int, str, str]:
+        """Number of tokens, SHA-256 of the decimal ranks, SHA-256 of what they decode to; the ranks are added to ``lists``."""
+        ids, back, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
 
         def seen(blocks: Iterable[str]) -> Iterator[str]:
             nonlocal n
             for i, block in enumerate(blocks):
                 ids.update((("," if i else "") + block).encode())
                 n += block.count(",") + 1
+                if lists is not None:
+                    kept.extend(map(int, block.split(",")))
                 yield block
 
         for text in self.decode(seen(self.decimal(data))):
             back.update(text.encode("utf-8", "surrogateescape"))
+        if lists is not None:
+            lists.append(kept)
         return n, ids.hexdigest(), back.hexdigest()
 
 
@@ -289,16 +293,24 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token
     return map_arrow(docs, run, out)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: ``key``, n_tokens, ids_sha256, decoded_sha256; the text is encoded and its ranks decoded again."""
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
+    """Per row: ``key``, n_tokens, ids_sha256, decoded_sha256 and, if named, ``ids``; each text is encoded and its ranks decoded again.
+
+    Null and empty texts have no tokens.  Rows are independent: no shuffle.
+    """
     ranks = _shipped(docs, path)
     docs = docs.select(key, text)
     out = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    if ids:
+        out.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = _codec(ranks, pattern)
-        found = [codec.digests(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]
-        n, ids, back = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=out.names)
+        lists: list | None = [] if ids else None
+        found = [codec.digests(x or b"", lists) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+        if ids:
+            columns.append(pa.array(lists, pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=out.names)
 
     return map_arrow(docs, run, out)
