@@ -12,7 +12,8 @@ concentration as for independent sampling.
 3. Stars: in each bucket every class is compared with the smallest one.
 4. Blocks: where a bucket still spans components, all pairs across components
    are compared by sketch, block against block, so that no link is lost.
-5. All candidates are verified on full sets; links give the components.
+5. All candidates are verified on full sets; links give the components.  Blocks
+   verify their candidates themselves and pass on a spanning forest of links.
 """
 
 from __future__ import annotations
@@ -101,7 +102,7 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
             seen[key] = (K.mix(values).astype(np.uint8).tobytes(), bands(values).astype(np.int64))
         marks.append(seen[key][0])
         banded.append(seen[key][1])
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["doc_id", "class", "n_shingles", "sketch", "bands"])
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], names=["doc_id", "key", "class", "n_shingles", "sketch", "bands"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,28 +115,68 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-    keep = np.zeros(batch.num_rows, dtype=bool)
-    for i, (x, y) in enumerate(zip(left, right, strict=True)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        keep[i] = 100 * common >= 75 * (len(x) + len(y) - common)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+    keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(left, right, strict=True)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+_BLOCKS = "bucket long, low int, high int, classes array<binary>, pairs binary"
 
 
 def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs across components of one bucket's block, or between its two blocks, whose sketches nearly agree."""
-    names = table["class"].to_pylist()
+    """Candidates across components of one bucket's block, or between its two blocks: pairs whose sketches nearly agree.
+
+    One row holds the block's candidates.  A pair that shares several buckets
+    belongs to the first of them.
+    """
+    bucket, low, high = (k.as_py() for k in key)
+    names = table["class"]
     marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    banded = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
     part = np.unique(np.array(table["component"].to_pylist(), dtype=object), return_inverse=True)[1]
     side = np.array(table["side"].to_pylist())
-    left, right = [], []
-    low, high = key[1].as_py(), key[2].as_py()
+    found = []
     for i in range(len(names)):
         others = np.flatnonzero((part != part[i]) & ((np.arange(len(names)) > i) if low == high else (side > side[i])))
-        if len(others):
-            near = others[(marks[others] == marks[i]).sum(axis=1) >= LEAST_AGREE]
-            left += [min(names[i], names[j]) for j in near]
-            right += [max(names[i], names[j]) for j in near]
+        others = others[(marks[others] == marks[i]).sum(axis=1) >= LEAST_AGREE]
+        first = (banded[others] == banded[i]).argmax(axis=1)
+        others = others[banded[i][first] == bucket]
+        found.append(np.stack([np.full(len(others), i), others], axis=1))
+    pairs = np.concatenate(found)
+    if not len(pairs):
+        return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.binary())], names=["bucket", "low", "high", "classes", "pairs"])
+    used, back = np.unique(pairs, return_inverse=True)
+    classes = names.take(pa.array(used)).to_pylist()
+    columns = [pa.array([bucket], pa.int64()), pa.array([low], pa.int32()), pa.array([high], pa.int32()), pa.array([classes], pa.list_(pa.binary())), pa.array([back.astype(np.int32).tobytes()], pa.binary())]
+    return pa.table(columns, names=["bucket", "low", "high", "classes", "pairs"])
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are linked: 100 * intersection >= 75 * union."""
+    small, large = min(len(x), len(y)), max(len(x), len(y))
+    if 100 * small < 75 * large:
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= 75 * (len(x) + len(y) - common)
+
+
+def _block_links(members: pa.Table, blocks: pa.Table) -> pa.Table:
+    """Of a block's candidates, verified on full sets, links enough to connect what they connect."""
+    left, right = [], []
+    if blocks.num_rows:
+        classes, pairs = blocks["classes"][0].as_py(), np.frombuffer(blocks["pairs"][0].as_py(), np.int32).reshape(-1, 2)
+        sets = {k: np.frombuffer(v, np.uint64) for k, v in zip(members["class"].to_pylist(), members["shingles"].to_pylist(), strict=True)}
+        up = list(range(len(classes)))
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i, j in pairs.tolist():
+            if top(i) != top(j) and similar(sets[classes[i]], sets[classes[j]]):
+                up[top(i)] = top(j)
+                left.append(classes[i])
+                right.append(classes[j])
     return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
@@ -146,8 +187,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "set_a", "set_b"), _verify, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, class (a digest of the words; null without words).
+
+    A string column ``key`` rides along if named.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a set
     holds the distinct 5-word shingles as 64-bit hashes, with fewer words the
@@ -158,23 +201,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Repeated rows and ids are rows of their own; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(map_arrow(docs, _signatures, "doc_id long, class binary, n_shingles long, sketch binary, bands array<long>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(key) if key else F.lit(None)).cast("string").alias("key"))
+    signed = stored(map_arrow(docs, _signatures, "doc_id long, key string, class binary, n_shingles long, sketch binary, bands array<long>"))
     heads = stored(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head")))
     # One row for each class: that with its smallest doc_id; repeated ids give equal rows, of which one is kept.
     own = signed.where("class is not null").select("class", "doc_id", "sketch", "bands")
-    own = own.join(heads.select("class", "head"), "class").where("doc_id <=> head").select("class", "sketch", "bands").dropDuplicates(["class"])
+    own = own.join(heads, "class").where("doc_id <=> head").select("class", "head", "sketch", "bands").dropDuplicates(["class"])
     own = stored(own)
-    rows = own.select("class", F.explode("bands").alias("bucket"))
-    buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("star")).where("n > 1"))
-    members = stored(rows.join(buckets, "bucket"))
-    stars = stored(members.where("class <> star").select(F.col("star").alias("a"), F.col("class").alias("b")).distinct())
+    rows = own.select("class", "head", F.explode("bands").alias("bucket"))
+    # The star is the class of the smallest doc_id: copies tend to be nearer to what they copy than to each other.
+    first = F.min(F.struct("head", "class"))
+    buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1").select("bucket", "n", F.col("first.class").alias("star")))
+    members = stored(rows.drop("head").join(buckets, "bucket"))
+    stars = stored(members.where("class <> star").select(F.least("star", "class").alias("a"), F.greatest("star", "class").alias("b")).distinct())
 
     def full_sets(pairs: DataFrame) -> DataFrame:
         """Sets of the classes in ``pairs``, from the texts of their first documents."""
         named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         ids = named.join(heads, "class").select(F.col("head").alias("doc_id")).distinct()
-        texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+        # The ids grow with the corpus: never a broadcast.
+        texts = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
         found = map_arrow(texts, _sets, "class binary, shingles binary")
         return stored(found.join(named, "class", "left_semi").dropDuplicates(["class"]))
 
@@ -184,18 +230,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = stored(placed.select("class", "bucket", "n", "component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(mixed, "bucket").join(own.select("class", "sketch"), "class")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.join(mixed, "bucket").join(own.select("class", "sketch", "bands"), "class")
+    sides = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("class"), sides).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     placed = placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
-    pairs = placed.groupBy("bucket", "low", "high").applyInArrow(_block_pairs, "a binary, b binary").distinct()
-    more = stored(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets))
+    block = ["bucket", "low", "high"]
+    blocks = stored(placed.groupBy(*block).applyInArrow(_block_pairs, _BLOCKS))
+    wanted = blocks.select(*(F.col(c).alias(f"of_{c}") for c in block), F.explode("classes").alias("class")).join(sets, "class")
+    more = stored(wanted.groupBy(*(f"of_{c}" for c in block)).cogroup(blocks.groupBy(*block)).applyInArrow(_block_links, "a binary, b binary"))
     if more.take(1):
         labels = components(links.unionByName(more))
     classes = heads.select("class", "head").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = classes.groupBy("component").agg(F.min("head").alias("component_id"))
     classes = classes.join(least, "component").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(classes, "class", "left")
+    out = signed.select("doc_id", "key", "n_shingles", "class").join(classes, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class", *([F.col("key").alias(key)] if key else []))
