@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import bpe, chat, near_dedup, sharding, suffix_dedup, url_filter, warc
+from lumenframe.llm import bpe, chat, decontaminate, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc
 from lumenframe.llm.shared import prepare
 
 #: Host, path and decision of the rules that the url query applies.
@@ -27,8 +27,12 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
 
 
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("class")
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +54,26 @@ def op8_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(turns.unionByName(own))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).drop("text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_warc_archives": op2_warc_archives,
+    "op3_benchmark_passages": op3_benchmark_passages,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_repeated_strings": op5_repeated_strings,
     "op6_kd_shards": op6_kd_shards,
     "op7_url_verdicts": op7_url_verdicts,
     "op8_chat_round_trip": op8_chat_round_trip,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
