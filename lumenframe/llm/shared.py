@@ -67,11 +67,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b) as (node, component): the smallest node reachable.
 
     Each round points every node at its smallest neighbour, follows the
-    pointers once more and contracts the edges; all nodes but local minima
-    vanish, so at least half of the nodes of each component go in a round.
-    Every aggregation pre-aggregates before its shuffle, and hubs appear only
-    on the many-row side of joins against tables with one row a node, which
-    Spark's skew join splits. Null ends and loops are ignored.
+    pointers to their ends and contracts the edges.  Only local minima are
+    ends, so at least half of the nodes of each component go in a round, and
+    following doubles the reach of all pointers at once.  Every aggregation
+    pre-aggregates before its shuffle, and hubs appear only on the many-row
+    side of joins against tables with one row a node, which Spark's skew join
+    splits.  Null ends and loops are ignored.
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -81,8 +82,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         parent = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
         parent = stored(parent.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")))
-        up = parent.select(F.col("node").alias("to"), F.col("to").alias("top"))
-        parent = stored(parent.join(up, "to", "left").select("node", F.coalesce("top", "to").alias("to")))
+        for _ in range(most_rounds):
+            up = parent.select(F.col("node").alias("to"), F.col("to").alias("top"))
+            followed = stored(parent.join(up, "to", "left").select("node", "to", F.coalesce("top", "to").alias("top")))
+            parent = followed.select("node", F.col("top").alias("to"))
+            if not followed.where("top <> to").take(1):
+                break
         up = parent.select(F.col("node").alias("component"), F.col("to").alias("top"))
         labels = parent.select("node", F.col("to").alias("component")) if labels is None else labels.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         labels = stored(labels)

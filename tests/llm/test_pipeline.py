@@ -3,7 +3,9 @@ import hashlib
 import pytest
 
 import corpus_pipeline as P
-from tests.llm import test_decontaminate, test_near_dedup, test_suffix_dedup
+from tests.llm import test_decontaminate as leaks
+from tests.llm import test_near_dedup as near
+from tests.llm import test_suffix_dedup as strings
 from tests.llm.test_quality import brute as counts
 
 DATA = "/root/testdata/sf0.001"
@@ -39,13 +41,13 @@ def test_quality(stages):
 
 def test_near_dedup(stages):
     before, after, *_ = stages[1]
-    want = {r[0] for r in test_near_dedup.brute([(r["doc_id"], r["text"]) for r in before]) if r[3]}
+    want = {r[0] for r in near.brute([(r["doc_id"], r["text"]) for r in before]) if r[3]}
     assert {r["doc_id"] for r in after} == want and {tuple(r) for r in after} <= {tuple(r) for r in before}
 
 
 def test_suffix_dedup(stages):
     before, after, *_ = stages[2]
-    want = {r[0]: r for r in test_suffix_dedup.brute([(r["doc_id"], r["text"]) for r in before], 50)}
+    want = {r[0]: r for r in strings.brute([(r["doc_id"], r["text"]) for r in before], 50)}
     old = {r["doc_id"]: r for r in before}
     for r in after:
         d, n, removed, _, sha = want[r["doc_id"]]
@@ -59,7 +61,7 @@ def test_decontamination(stages):
     before, after, *_ = stages[3]
     items = P.SparkSession.getActiveSession().read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()
     short = [(r["doc_id"], r["text"]) for r in before if len(r["text"]) < 6000]
-    bad = {r[0] for r in test_decontaminate.brute(short, [tuple(i) for i in items])}
+    bad = {r[0] for r in leaks.brute(short, [tuple(i) for i in items])}
     ids = {r["doc_id"] for r in after}
     assert all((d in ids) == (d not in bad) for d, _ in short)
 
