@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from lumenframe import model, schema
 from lumenframe.functions import pixels as px
 from lumenframe.operators import dense, describe, slicing
 from lumenframe.plans import demo
-from lumenframe.sources import arrays, pattern
+from lumenframe.session import shared_folder
+from lumenframe.sources import arrays, files, parquet, pattern, tiff, zarr
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -335,3 +337,59 @@ def kinds_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = describe.describe(_emb(spark, sf_dir))
     return rows.where("size_z > 1").select("image_id").exceptAll(rows.where("size_t > 1").select("image_id"))
+
+
+_ALL = f"WITH {EMB} SELECT image_id, t, c, z, y, x, value FROM px"
+
+
+def _read_back(df: DataFrame) -> DataFrame:
+    """Long form of records that carry their image's id as their own."""
+    rows = df.withColumn("image_id", F.regexp_extract("image.id", r"^(-?\d+)", 1).cast("long"))
+    return _long(rows, F.col("image.planes"), F.col("image.pixels_meta.size_x"))
+
+
+@query(_ALL)
+def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    parquet.write_parquet(_emb(spark, sf_dir).select("image"), path)
+    return _read_back(parquet.read_parquet(spark, path))
+
+
+@query(f"WITH {EMB} SELECT image_id, {KIND} AS kind FROM img")
+def parquet_autodetect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    parquet.write_parquet(_emb(spark, sf_dir), path, column_name="some_scan")
+    rows = parquet.read_parquet(spark, path, "image")
+    return rows.select("image_id", describe.kind(F.col("image.pixels_meta")).alias("kind"))
+
+
+@query(_ALL)
+def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    tiff.write_tiff(_emb(spark, sf_dir).select("image"), path)
+    return _read_back(tiff.read_tiff(spark, path))
+
+
+@query(_ALL)
+def zarr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    df = _emb(spark, sf_dir)
+    zarr.write_zarr(df.select("image"), path, chunks=(1, 1, 2, 3, 3))
+    # The list of stores is what a user would name.
+    stores = [f"{path}/{r['image_id']}.ome.zarr" for r in df.select("image_id").toLocalIterator()]
+    return _read_back(zarr.read_zarr(spark, stores))
+
+
+@query(f"WITH {EMB} SELECT t, c, z, y, x, value FROM px WHERE image_id = (SELECT min(image_id) FROM img WHERE label % 8 = 7)")
+def stack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    one = _emb(spark, sf_dir).where("label % 8 = 7").orderBy("image_id").limit(1)
+    rows = one.select(F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("p.*", "w")
+
+    def file(row: dict):
+        plane = np.array(row["pixels"], dtype=np.uint16).reshape(-1, row["w"])
+        yield f"s_T{row['t']}_C{row['c']}_Z{row['z']:02d}.tif", tiff.encode([plane], "")
+
+    files.written(rows, file, path)
+    back = tiff.read_stack(spark, path, "s_T<0-1>_C<0,1>_Z<00-03>.tif").withColumn("image_id", F.lit(0))
+    return _long(back, F.col("image.planes"), F.col("image.pixels_meta.size_x")).drop("image_id")

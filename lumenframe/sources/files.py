@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.pixels import file_name, stem
+from lumenframe.session import reach
 
 #: Rows of an Arrow batch where rows are whole images.
 ROWS = 16
@@ -41,6 +42,7 @@ def put(store, path: str, data: bytes) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
 
