@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.session import reach, shared_folder, stored
+
+__all__ = ["components", "map_arrow", "prepare", "shared_folder", "stored"]
+
 #: Rows and bytes of an Arrow batch sent to a Python worker: texts can be long.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -22,31 +22,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches and let Python workers find this package."""
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         spark.conf.set(key, str(value))
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="lumenframe-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors.
-
-    The result can serve a returned, lazy DataFrame, so nothing here deletes
-    it: it stays until the folder that ``spark.checkpoint.dir`` names is cleaned.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    reach(spark)
 
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
