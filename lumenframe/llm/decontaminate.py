@@ -28,7 +28,7 @@ from lumenframe.llm.shared import map_arrow, prepare
 
 #: Edits allowed for each word of an item.
 RATIO = 0.2
-REPETITIONS, SAMPLED = 12, 6
+REPETITIONS, SAMPLED = 24, 6
 #: Size classes: words of a window, words between window starts in documents; the item has at least their sum less one.
 CLASSES = ((128, 16), (64, 16), (32, 8), (16, 8), (8, 4), (4, 1), (2, 1), (1, 1))
 #: Items that are searched for in one pass.
