@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lumenframe.operators import dense, slicing
 from lumenframe.operators import describe as _describe
-from lumenframe.operators import slicing
-from lumenframe.schema import canonical, is_record_type
+from lumenframe.schema import IMAGE, canonical, is_record_type
 from lumenframe.sources import arrays, parquet, tiff, zarr
 
 #: Sinks by name; ``_``, ``-`` and case do not matter.
@@ -43,17 +46,15 @@ def read(spark: SparkSession, source, **options) -> DataFrame:
 
 
 def _loose(record: dict):
-    from pyspark.sql import types as T
-
-    from lumenframe.schema import IMAGE
-
     return T.StructType([T.StructField("image", T.StructType([f for f in IMAGE.fields if f.name in record]))])
 
 
 def write(df: DataFrame, how: str, out: str | None = None, **options):
-    """``rows`` collects records as dicts (of small tables only), ``arrow`` gives an Arrow table; the others write under ``out``."""
+    """``rows`` collects records as dicts, ``numpy`` as dense arrays in TCZYX (small tables only), ``arrow`` gives an Arrow table; the others write under ``out``."""
     if how == "rows":
         return [r["image"].asDict(recursive=True) for r in df.select("image").collect()]
+    if how == "numpy":
+        return to_numpy(df, **options)
     if how == "arrow":
         return df.toArrow()
     sink = SINKS.get(how.lower().replace("-", "").replace("_", ""))
@@ -64,6 +65,13 @@ def write(df: DataFrame, how: str, out: str | None = None, **options):
     return sink(df, out, **options)
 
 
+def to_numpy(df: DataFrame, dtype: str = "uint16", strict: bool = True, clamp: bool = False) -> list[np.ndarray]:
+    """Dense arrays (t, c, z, y, x) of the records of a small table, in its order."""
+    meta = F.col("image.pixels_meta")
+    rows = df.select(dense.dense(F.col("image"), dtype, strict, clamp)["pixels"].alias("planes"), F.array(*(meta[f"size_{a}"].cast("int") for a in "tczyx")).alias("shape")).collect()
+    return [np.array(r["planes"]).astype(dtype).reshape(r["shape"]) for r in rows]
+
+
 def info(df: DataFrame, key: str | None = None) -> DataFrame:
     """What each record is; only headers are read."""
     if key is None:

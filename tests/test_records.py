@@ -284,3 +284,29 @@ def test_entry_and_queries(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_functions_of_sql(spark):
+    from lumenframe.functions import sql
+
+    assert len(sql.register(spark)) == len(sql.FUNCTIONS)
+    row = spark.sql("SELECT image_kind(7, 5) k, pixels_crop(array(0,1,2,3,10,11,12,13), 4, 1, 3, 0, 2) c, pixel_clamp_u16(double('NaN')) n, pixel_clamp_u16(99999) h, pixel_wrap_u8(-1) w, rgb_of_rgba(287454020) r, falsy_or_one(0) f").first()
+    assert tuple(row) == ("4D timelapse-volume", [1, 2, 11, 12], 0, 65535, 255, 0x112233, 1.0)
+
+
+def test_views(spark):
+    import zlib
+
+    from lumenframe import view
+
+    df = table(spark, [record([(0, 0, 0, A), (0, 1, 0, B)])])
+    pixels, low, high = view.plane(df, c=1)
+    assert pixels.tolist() == np.array(B).reshape(3, 4).tolist() and (low, high) == (100.0, 123.0)
+    data = view.png(pixels, low, high)
+    at = data.index(b"IDAT")
+    raw = zlib.decompress(data[at + 4 : at + 4 + int.from_bytes(data[at - 4 : at])])
+    assert len(raw) == 3 * 5 and raw[1] == 0 and raw[-1] == 255
+    voxels, spacing, limits = view.volume(df, step=2)
+    assert voxels.shape == (1, 2, 2) and spacing[0] == 2.0 and limits[0] < limits[1]
+    assert view.snapshot(df).startswith("<img") and "2D image" in view.summary_html(df)
+    assert api.write(df, "numpy")[0].tolist() == np.array(A + B).reshape(1, 2, 1, 3, 4).tolist()
