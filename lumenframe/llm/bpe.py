@@ -30,7 +30,7 @@ from lumenframe.llm.shared import map_arrow
 
 #: Remembered pairs and pieces are dropped beyond these counts; they are made anew when needed.
 MOST_PAIRS = 500_000
-MOST_PIECES = 300_000
+MOST_PIECES = 600_000
 LONGEST_PIECE = 48
 #: Bytes after which what is settled is emitted; longer than any token reaches back.
 LOOK = 4096
