@@ -42,7 +42,8 @@ BUCKET = 3 << 19
 SUFFIXES = 100_000
 #: Documents whose grams give the splitters; only the balance of buckets depends on them.
 SAMPLE_DOCS = 400
-SEGMENT = 4 << 20
+#: Bytes of a very long text that are looked at together.
+SEGMENT = 1 << 20
 _M0, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -223,9 +224,11 @@ def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int
             doc, _, _, _, w0, w1, _ = minimizers(part, own, length)
             parts.append((doc + (base + a), w0, w1))
             held += len(doc)
-        if held >= FLUSH:
-            yield from flush()
-            ids, digests, parts, held = [], [], [], 0
+            if held >= FLUSH:
+                yield from flush()
+                parts, held = [], 0
+        if not held:
+            ids, digests = [], []
     if held:
         yield from flush()
 
@@ -301,25 +304,26 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def _suffixes(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
+def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows (row_id, doc_id, pos, before, after, left, suffix) of minimizers whose grams are reported.
 
     ``before``, ``after``: how far the first and last of its string starts lie
     before the minimizer.  ``left``: the bytes before it that its strings need.
     """
-    data, offsets = K.text_buffer(batch.column(2))
-    raw, cuts = K.text_buffer(batch.column(3))
-    wanted = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(cuts) // 4) << np.uint64(32) | np.ascontiguousarray(raw).view(np.uint32)
-    rows, doc_ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-    found = []
-    for a, base, part, own in segments(data, offsets, length):
-        doc, at, low, high, _, _, h = minimizers(part, own, length)
-        doc = doc + a
-        take = np.isin(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32), wanted)
-        found.append(np.stack([doc[take], at[take] + base, low[take] + base, high[take] + base]))
-    doc, at, low, high = np.concatenate(found, axis=1)
-    columns = [pa.array(rows[doc]), pa.array(doc_ids[doc]), pa.array(at - offsets[doc]), pa.array((at - low).astype(np.int32)), pa.array((at - high).astype(np.int32)), K.slices(data, low, at - low), K.slices(data, at, high + length - at)]
-    return pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "pos", "before", "after", "left", "suffix"])
+    for batch in batches:
+        data, offsets = K.text_buffer(batch.column(2))
+        raw, cuts = K.text_buffer(batch.column(3))
+        wanted = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(cuts) // 4) << np.uint64(32) | np.ascontiguousarray(raw).view(np.uint32)
+        rows, doc_ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for a, base, part, own in segments(data, offsets, length):
+            doc, at, low, high, _, _, h = minimizers(part, own, length)
+            doc = doc + a
+            take = np.isin(doc.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32), wanted)
+            if not take.any():
+                continue
+            doc, at, low, high = doc[take], at[take] + base, low[take] + base, high[take] + base
+            columns = [pa.array(rows[doc]), pa.array(doc_ids[doc]), pa.array(at - offsets[doc]), pa.array((at - low).astype(np.int32)), pa.array((at - high).astype(np.int32)), K.slices(data, low, at - low), K.slices(data, at, high + length - at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "pos", "before", "after", "left", "suffix"])
 
 
 _FLAGS = "row_id long, pos long, mask binary, low long, high long, doc_id long, back int"
@@ -483,7 +487,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     done = _done_or_open(placed, extra, length)
     done = stored(done.withColumn("row_id", F.monotonically_increasing_id()))
     open_rows = done.where("hashes is not null")
-    suffixes = stored(map_arrow(open_rows.select("row_id", "doc_id", "text", "hashes"), partial(_suffixes, length=length), "row_id long, doc_id long, pos long, before int, after int, left binary, suffix binary"))
+    suffixes = stored(open_rows.select("row_id", "doc_id", "text", "hashes").mapInArrow(partial(_suffixes, length=length), "row_id long, doc_id long, pos long, before int, after int, left binary, suffix binary"))
     parts = max(1, suffixes.count() // SUFFIXES)
     ranged = suffixes.repartitionByRange(parts, "suffix", "left", "doc_id")
     flags = stored(ranged.mapInArrow(partial(_settle, length=length), _FLAGS))

@@ -88,3 +88,9 @@ def test_multikey_order_sorts():
     words = rng.integers(0, 3, (5000, 4)).astype(np.uint64)
     got = words[S.multikey_order(words)]
     assert (got == words[np.lexsort(words.T[::-1])]).all()
+
+
+def test_long_runs_are_taken_in_pieces(spark):
+    docs = [(0, "ab" * 700_000), (1, "x" + "ab" * 100 + "y" * 60), (2, "ab" * 700_000 + "z")]
+    got, _ = run(spark, docs, 50)
+    assert [r[:4] for r in got] == [(0, 1_400_000, 0, 0), (1, 261, 200, 1), (2, 1_400_001, 1_400_000, 1)]
