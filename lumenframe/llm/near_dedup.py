@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kernels as K
@@ -119,7 +119,7 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-_BLOCKS = "bucket long, low int, high int, classes array<binary>, pairs binary"
+_BLOCKS = "bucket long, low int, high int, nodes array<binary>, pairs binary"
 
 
 def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -129,7 +129,7 @@ def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     belongs to the first of them.
     """
     bucket, low, high = (k.as_py() for k in key)
-    names = table["class"]
+    names = table["node"]
     marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
     banded = np.asarray(table["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
     part = np.unique(np.array(table["component"].to_pylist(), dtype=object), return_inverse=True)[1]
@@ -143,11 +143,11 @@ def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found.append(np.stack([np.full(len(others), i), others], axis=1))
     pairs = np.concatenate(found)
     if not len(pairs):
-        return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.binary())], names=["bucket", "low", "high", "classes", "pairs"])
+        return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.binary())], names=["bucket", "low", "high", "nodes", "pairs"])
     used, back = np.unique(pairs, return_inverse=True)
-    classes = names.take(pa.array(used)).to_pylist()
-    columns = [pa.array([bucket], pa.int64()), pa.array([low], pa.int32()), pa.array([high], pa.int32()), pa.array([classes], pa.list_(pa.binary())), pa.array([back.astype(np.int32).tobytes()], pa.binary())]
-    return pa.table(columns, names=["bucket", "low", "high", "classes", "pairs"])
+    nodes = names.take(pa.array(used)).to_pylist()
+    columns = [pa.array([bucket], pa.int64()), pa.array([low], pa.int32()), pa.array([high], pa.int32()), pa.array([nodes], pa.list_(pa.binary())), pa.array([back.astype(np.int32).tobytes()], pa.binary())]
+    return pa.table(columns, names=["bucket", "low", "high", "nodes", "pairs"])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -163,9 +163,9 @@ def _block_links(members: pa.Table, blocks: pa.Table) -> pa.Table:
     """Of a block's candidates, verified on full sets, links enough to connect what they connect."""
     left, right = [], []
     if blocks.num_rows:
-        classes, pairs = blocks["classes"][0].as_py(), np.frombuffer(blocks["pairs"][0].as_py(), np.int32).reshape(-1, 2)
-        sets = {k: np.frombuffer(v, np.uint64) for k, v in zip(members["class"].to_pylist(), members["shingles"].to_pylist(), strict=True)}
-        up = list(range(len(classes)))
+        nodes, pairs = blocks["nodes"][0].as_py(), np.frombuffer(blocks["pairs"][0].as_py(), np.int32).reshape(-1, 2)
+        sets = {k: np.frombuffer(v, np.uint64) for k, v in zip(members["node"].to_pylist(), members["shingles"].to_pylist(), strict=True)}
+        up = list(range(len(nodes)))
 
         def top(i: int) -> int:
             while up[i] != i:
@@ -173,17 +173,30 @@ def _block_links(members: pa.Table, blocks: pa.Table) -> pa.Table:
             return i
 
         for i, j in pairs.tolist():
-            if top(i) != top(j) and similar(sets[classes[i]], sets[classes[j]]):
+            if top(i) != top(j) and similar(sets[nodes[i]], sets[nodes[j]]):
                 up[top(i)] = top(j)
-                left.append(classes[i])
-                right.append(classes[j])
+                left.append(nodes[i])
+                right.append(nodes[j])
     return pa.table([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
 
+def _node(head: Column, digest: Column) -> Column:
+    """A class as a binary value that sorts by its smallest doc_id, classes without one last."""
+    turned = head.bitwiseXOR(F.lit(-(2**63)))
+    known = F.concat(F.lit("00"), F.lpad(F.hex(turned), 16, "0"))
+    return F.concat(F.unhex(F.when(head.isNull(), F.lit("01" + "0" * 16)).otherwise(known)), digest)
+
+
+def _head(node: Column) -> Column:
+    """The doc_id in a node; null if it has none."""
+    turned = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", turned.bitwiseXOR(F.lit(-(2**63))))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar."""
     for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("class").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     return map_arrow(pairs.select("a", "b", "set_a", "set_b"), _verify, "a binary, b binary")
 
 
@@ -203,47 +216,44 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(key) if key else F.lit(None)).cast("string").alias("key"))
     signed = stored(map_arrow(docs, _signatures, "doc_id long, key string, class binary, n_shingles long, sketch binary, bands array<long>"))
-    heads = stored(signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head")))
+    heads = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"))
+    heads = stored(heads.withColumn("node", _node(F.col("head"), F.col("class"))))
     # One row for each class: that with its smallest doc_id; repeated ids give equal rows, of which one is kept.
     own = signed.where("class is not null").select("class", "doc_id", "sketch", "bands")
-    own = own.join(heads, "class").where("doc_id <=> head").select("class", "head", "sketch", "bands").dropDuplicates(["class"])
-    own = stored(own)
-    rows = own.select("class", "head", F.explode("bands").alias("bucket"))
-    # The star is the class of the smallest doc_id: copies tend to be nearer to what they copy than to each other.
-    first = F.min(F.struct("head", "class"))
-    buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1").select("bucket", "n", F.col("first.class").alias("star")))
-    members = stored(rows.drop("head").join(buckets, "bucket"))
-    stars = stored(members.where("class <> star").select(F.least("star", "class").alias("a"), F.greatest("star", "class").alias("b")).distinct())
-
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        """Sets of the classes in ``pairs``, from the texts of their first documents."""
-        named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        ids = named.join(heads, "class").select(F.col("head").alias("doc_id")).distinct()
+    own = stored(own.join(heads, "class").where("doc_id <=> head").select("node", "sketch", "bands").dropDuplicates(["node"]))
+    rows = own.select("node", F.explode("bands").alias("bucket"))
+    # The star has the smallest doc_id: copies tend to be nearer to what they copy than to each other.
+    buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("star")).where("n > 1"))
+    members = stored(rows.join(buckets, "bucket"))
+    stars = stored(members.where("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct())
+
+    def full_sets() -> DataFrame:
+        """Sets of the nodes that share a bucket, from the texts of their first documents."""
+        named = stored(members.select("node").distinct().join(heads, "node"))
+        ids = named.select(F.col("head").alias("doc_id")).distinct()
         # The ids grow with the corpus: never a broadcast.
         texts = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
         found = map_arrow(texts, _sets, "class binary, shingles binary")
-        return stored(found.join(named, "class", "left_semi").dropDuplicates(["class"]))
+        return stored(found.join(named.select("class", "node"), "class").select("node", "shingles").dropDuplicates(["node"]))
 
-    sets = full_sets(members.select(F.col("star").alias("a"), F.col("class").alias("b")))
+    sets = full_sets()
     links = stored(_confirmed(stars, sets))
     labels = components(links)
-    placed = members.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    placed = stored(placed.select("class", "bucket", "n", "component"))
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stored(placed.select("node", "bucket", "n", "component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(mixed, "bucket").join(own.select("class", "sketch", "bands"), "class")
+    placed = placed.join(mixed, "bucket").join(own, "node")
     sides = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("class"), sides).cast("int"))
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), sides).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
     placed = placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
     block = ["bucket", "low", "high"]
     blocks = stored(placed.groupBy(*block).applyInArrow(_block_pairs, _BLOCKS))
-    wanted = blocks.select(*(F.col(c).alias(f"of_{c}") for c in block), F.explode("classes").alias("class")).join(sets, "class")
+    wanted = blocks.select(*(F.col(c).alias(f"of_{c}") for c in block), F.explode("nodes").alias("node")).join(sets, "node")
     more = stored(wanted.groupBy(*(f"of_{c}" for c in block)).cogroup(blocks.groupBy(*block)).applyInArrow(_block_links, "a binary, b binary"))
     if more.take(1):
         labels = components(links.unionByName(more))
-    classes = heads.select("class", "head").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = classes.groupBy("component").agg(F.min("head").alias("component_id"))
-    classes = classes.join(least, "component").select("class", "component_id")
+    classes = heads.join(labels, "node", "left").select("class", _head(F.coalesce("component", "node")).alias("component_id"))
     out = signed.select("doc_id", "key", "n_shingles", "class").join(classes, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "class", *([F.col("key").alias(key)] if key else []))

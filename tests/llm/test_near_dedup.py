@@ -79,3 +79,10 @@ def test_on_documents(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_nodes_sort_by_id(spark):
+    ids = [-(2**63), -5, -1, 0, 1, 2**40, 2**63 - 1, None]
+    df = spark.createDataFrame([(i, bytes([k])) for k, i in enumerate(ids)], "head long, digest binary")
+    rows = df.withColumn("node", N._node(df["head"], df["digest"])).select("head", "node", N._head(N.F.col("node")).alias("back")).orderBy("node").collect()
+    assert [r["head"] for r in rows] == ids == [r["back"] for r in rows]
