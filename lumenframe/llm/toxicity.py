@@ -8,7 +8,7 @@ features that tell the classes apart best.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import sqrt
 
@@ -33,10 +33,9 @@ STEPS = 200
 _MUL = {n: np.uint64(m) for n, m in zip(SIZES, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93), strict=True)}
 
 
-def features(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, sorted; with ``wanted`` (a mark for each feature) only those marked."""
+def feature_blocks(column, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (text, feature) pairs, sorted, a block of texts at a time; with ``wanted`` (a mark for each feature) only those marked."""
     data, offsets = K.text_buffer(column)
-    found = [np.zeros(0, dtype=np.int64)]
     for a, b in K.blocks(offsets):
         part, own = K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         w = words_at(part)
@@ -47,9 +46,32 @@ def features(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.n
             doc = np.searchsorted(own, at, "right") - 1
             inside = at + n <= own[doc + 1] if len(at) else np.zeros(0, dtype=bool)
             pairs.append((doc[inside] + a) << BITS | ids[at[inside]])
-        found.append(np.unique(np.concatenate(pairs)))
-    pairs = np.concatenate(found)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+        found = np.unique(np.concatenate(pairs))
+        yield found >> BITS, found & ((1 << BITS) - 1)
+
+
+def document_counts(column, groups: np.ndarray, most: int) -> np.ndarray:
+    """For each group (0 to ``most - 1``, a number for each text) how many of its texts have each feature."""
+    data, offsets = K.text_buffer(column)
+    out = np.zeros((most, 1 << BITS), dtype=np.int64)
+    seen = np.zeros(1 << BITS, dtype=bool)
+    for a, b in K.blocks(offsets):
+        part, own = K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+        w = words_at(part)
+        ids = [((w >> np.uint64(64 - 8 * n)) * _MUL[n] >> np.uint64(64 - BITS)).astype(np.int64) for n in SIZES]
+        for d in range(b - a):
+            for n, x in zip(SIZES, ids, strict=True):
+                seen[x[own[d] : max(own[d], own[d + 1] - n + 1)]] = True
+            found = np.flatnonzero(seen)
+            out[groups[a + d], found] += 1
+            seen[found] = False
+    return out
+
+
+def features(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``feature_blocks``."""
+    found = [(np.zeros(0, dtype=np.int64),) * 2, *feature_blocks(column, wanted)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 @dataclass
@@ -104,10 +126,7 @@ def train(column, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
     if not len(toxic) or toxic.all() or not toxic.any():
         p = (toxic.sum() + 0.5) / (len(toxic) + 1)
         return Model(weights, float(np.log(p / (1 - p))))
-    doc, feature = features(column)
-    own = toxic[doc] == 1
-    p = np.bincount(feature[own], minlength=1 << BITS)
-    n = np.bincount(feature[~own], minlength=1 << BITS)
+    n, p = document_counts(column, toxic, 2)
     ratio = np.log((p + 1.0) / (p.sum() + len(p))) - np.log((n + 1.0) / (n.sum() + len(n)))
     pos, neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     apart = (p / pos - n / neg) ** 2 / np.maximum((p + n) / len(toxic), 1e-12)
@@ -116,8 +135,8 @@ def train(column, toxic: np.ndarray, shares: tuple[float, float]) -> Model:
     best = best[apart[best] > 0]
     number = np.full(1 << BITS, -1, dtype=np.int64)
     number[best] = np.arange(len(best))
-    keep = number[feature] >= 0
-    doc, col = doc[keep], number[feature[keep]]
+    doc, feature = features(column, number >= 0)
+    col = number[feature]
     x, r = ratio[best][col], len(best)
     share = np.where(toxic == 1, shares[0] / pos, shares[1] / neg)
 

@@ -26,6 +26,11 @@ def test_features_against_brute_force():
             for i in range(len(raw) - n + 1):
                 want.add((d, int.from_bytes(raw[i : i + n]) * int(X._MUL[n]) % 2**64 >> 64 - X.BITS))
     assert got == sorted(want)
+    counts = X.document_counts(pa.array(texts), np.array([0, 1, 0, 1, 0, 1, 1]), 2)
+    groups = [0, 1, 0, 1, 0, 1, 1]
+    for g in (0, 1):
+        found = np.bincount([f for d, f in want if groups[d] == g], minlength=1 << X.BITS)
+        assert (counts[g] == found).all()
 
 
 @pytest.fixture(scope="module")
