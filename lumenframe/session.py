@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,10 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The result can serve a returned, lazy DataFrame, so nothing here deletes
-    it: it stays until the folder that ``spark.checkpoint.dir`` names is cleaned.
+    The result can serve a returned, lazy DataFrame; it stays until ``released``
+    or until the folder that ``spark.checkpoint.dir`` names is cleaned.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def _path_of(df: DataFrame) -> str | None:
+    return df.__dict__.get("_stored_at")
+
+
+def released(spark: SparkSession, *frames: DataFrame) -> None:
+    """Delete stored tables that nothing will read again, and let shuffle files of finished work go.
+
+    Spark removes shuffle files when the driver's JVM collects the plan that
+    made them; between large steps it is asked to.  Call it only when all that
+    was derived from the frames is itself stored.
+    """
+    jvm = spark.sparkContext._jvm
+    for df in frames:
+        if path := _path_of(df):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    # The listener bus holds on to the last execution until the next one ends.
+    spark.range(1).collect()
+    gc.collect()
+    jvm.System.gc()

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.fs  # noqa: F401  (pa.fs)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
