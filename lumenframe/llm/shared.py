@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.session import reach, shared_folder, stored
+from lumenframe.session import reach, released, shared_folder, stored
 
-__all__ = ["components", "map_arrow", "prepare", "shared_folder", "stored"]
+__all__ = ["components", "map_arrow", "prepare", "released", "shared_folder", "stored"]
 
 #: Rows and bytes of an Arrow batch sent to a Python worker: texts can be long.
 BATCH_ROWS = 1000

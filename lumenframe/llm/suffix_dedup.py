@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm import kernels as K
-from lumenframe.llm.shared import map_arrow, prepare, stored
+from lumenframe.llm.shared import map_arrow, prepare, released, stored
 
 LENGTH = 50
 GRAM = 16
@@ -40,8 +40,8 @@ FLUSH = 1 << 20
 BUCKET = 3 << 19
 #: Suffixes meant for a bucket of the second sort.
 SUFFIXES = 100_000
-#: Documents whose grams give the splitters; only the balance of buckets depends on them.
-SAMPLE_DOCS = 400
+#: Documents whose grams give the splitters, and buckets for each further one; only the balance of buckets depends on them.
+SAMPLE_DOCS, BUCKETS_A_DOC = 400, 20
 #: Bytes of a very long text that are looked at together.
 SEGMENT = 1 << 20
 _M0, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -445,10 +445,10 @@ def _leading(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 
 def _splitters(texts: DataFrame, buckets: int, length: int) -> np.ndarray:
-    """Quantiles of the leading words of minimizers in SAMPLE_DOCS documents."""
+    """Quantiles of the leading words of minimizers in a sample of documents that follows the number of buckets."""
     if buckets < 2:
         return np.zeros(0, dtype=np.uint64)
-    sample = texts.orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS).select("text")
+    sample = texts.orderBy(F.xxhash64("doc_id")).limit(max(SAMPLE_DOCS, buckets // BUCKETS_A_DOC)).select("text")
     rows = map_arrow(sample, partial(_leading, length=length), "word long").collect()
     words = np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
     return np.unique(words[np.arange(1, buckets) * len(words) // buckets]) if len(words) else words
@@ -470,13 +470,15 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest"))
     usable = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "text", "digest")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, round(total * 2 / (length - GRAM + 2) / BUCKET))
     places = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(places, round(total * 2 / (length - GRAM + 2) / BUCKET))
     splitters = _splitters(usable, buckets, length)
     grams = usable.mapInArrow(partial(_grams, splitters=splitters, length=length, places=places), _GRAMS)
-    grams = grams.repartition(max(buckets, places), "bucket").sortWithinPartitions("bucket")
-    reports = grams.mapInArrow(partial(_repeats, places=places), _REPORTS).repartition(places, "place").sortWithinPartitions("place")
+    own = F.when(F.col("bucket") < 0, F.pmod(-1 - F.col("bucket"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    grams = grams.repartitionById(buckets, own).sortWithinPartitions("bucket")
+    reports = grams.mapInArrow(partial(_repeats, places=places), _REPORTS).repartitionById(places, "place").sortWithinPartitions("place")
     reports = stored(reports.mapInArrow(_merge, "doc_id long, digest binary, hashes binary"))
+    released(spark)
     ids = usable.select("doc_id", "digest").distinct()
     heads = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
     copies = stored(ids.join(heads, "digest").where("doc_id > head").select("doc_id", "digest"))
@@ -486,11 +488,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     placed = docs.join(facts, ["doc_id", "digest"], "left").drop("digest").withColumn("copy", F.coalesce("copy", F.lit(False)))
     done = _done_or_open(placed, extra, length)
     done = stored(done.withColumn("row_id", F.monotonically_increasing_id()))
+    released(spark, reports, copies)
     open_rows = done.where("hashes is not null")
     suffixes = stored(open_rows.select("row_id", "doc_id", "text", "hashes").mapInArrow(partial(_suffixes, length=length), "row_id long, doc_id long, pos long, before int, after int, left binary, suffix binary"))
     parts = max(1, suffixes.count() // SUFFIXES)
     ranged = suffixes.repartitionByRange(parts, "suffix", "left", "doc_id")
     flags = stored(ranged.mapInArrow(partial(_settle, length=length), _FLAGS))
+    released(spark, suffixes)
     edges = flags.where("mask is null")
     least = edges.groupBy("low", "high").agg(F.min("doc_id").alias("least"))
     across = edges.join(least, ["low", "high"]).where("doc_id > least").select("row_id", "pos", F.lit(None).cast("binary").alias("mask"), "back")
