@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import kernels as K
-from lumenframe.llm.shared import components, map_arrow, prepare, stored
+from lumenframe.llm.shared import components, map_arrow, prepare, released, stored
 
 WIDTH = 5
 #: A pair at the threshold 0.75 shares no band with probability (1 - 0.75**5)**50 = 1.3e-6.
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     # The star has the smallest doc_id: copies tend to be nearer to what they copy than to each other.
     buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("star")).where("n > 1"))
     members = stored(rows.join(buckets, "bucket"))
+    released(docs.sparkSession, buckets)
     stars = stored(members.where("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct())
 
     def full_sets() -> DataFrame:
@@ -237,10 +238,12 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
         return stored(found.join(named.select("class", "node"), "class").select("node", "shingles").dropDuplicates(["node"]))
 
     sets = full_sets()
+    released(docs.sparkSession)
     links = stored(_confirmed(stars, sets))
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = stored(placed.select("node", "bucket", "n", "component"))
+    released(docs.sparkSession, members, stars)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     placed = placed.join(mixed, "bucket").join(own, "node")
     sides = F.ceil(F.col("n") / BLOCK).cast("int")
