@@ -7,10 +7,11 @@ same bits resynchronise after an edit, so few edits mean few differing steps.
 Each repetition samples SAMPLED steps; windows that agree with a window of an
 item there are candidates, and the exact edit distance decides.
 
-Windows are as long as the item's size class.  Those of documents start at every
-``stride``-th word and those of items at every word, so an unedited stretch of an
-item always meets its like.  Repetitions are many and each occurrence offers
-several windows, which brings recall to the target (measured in the tests).
+Windows are as long as the item's size class, which is at most half of the item
+but for the shortest.  Those of documents start at every ``stride``-th word and
+those of items at every word, so an unedited stretch of an item always meets its
+like.  Repetitions are many and each occurrence offers several windows, which
+brings recall to the target (measured in the tests).
 """
 
 from __future__ import annotations
@@ -29,15 +30,16 @@ from lumenframe.llm.shared import map_arrow, prepare
 #: Edits allowed for each word of an item.
 RATIO = 0.2
 REPETITIONS, SAMPLED = 24, 6
-#: Size classes: words of a window, words between window starts in documents; the item has at least their sum less one.
-CLASSES = ((128, 16), (64, 16), (32, 8), (16, 8), (8, 4), (4, 1), (2, 1), (1, 1))
+#: Size classes: words of a window, words between window starts in documents, least words of an item (more than their sum, where
+#: items may be edited, so that each occurrence offers several windows).
+CLASSES = ((32, 8, 64), (16, 8, 32), (8, 4, 14), (4, 1, 5), (2, 1, 2), (1, 1, 1))
 #: Items that are searched for in one pass.
 ITEMS = 5000
 _TABLE = 16
 _CHUNK = 1 << 15
 _RNG = np.random.default_rng(4242)
-_BITS = {n: _RNG.integers(1, 2**63, (REPETITIONS, 2 * n), dtype=np.uint64) | np.uint64(1) for n, _ in CLASSES}
-_STEPS = {n: [np.sort(_RNG.choice(2 * n, min(SAMPLED, 2 * n), replace=False)) for _ in range(REPETITIONS)] for n, _ in CLASSES}
+_BITS = {n: _RNG.integers(1, 2**63, (REPETITIONS, 2 * n), dtype=np.uint64) | np.uint64(1) for n, *_ in CLASSES}
+_STEPS = {n: [np.sort(_RNG.choice(2 * n, min(SAMPLED, 2 * n), replace=False)) for _ in range(REPETITIONS)] for n, *_ in CLASSES}
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,8 +88,8 @@ class Index:
         self.sets = [frozenset(w.tolist()) for w in self.words]
         self.masks: dict[int, dict[int, int]] = {}
         self.classes = []
-        for size, stride in CLASSES:
-            mine = [i for i, w in enumerate(self.words) if size + stride - 1 <= len(w) and self._class(len(w)) == (size, stride)]
+        for size, stride, least in CLASSES:
+            mine = [i for i, w in enumerate(self.words) if len(w) and self._class(len(w)) == (size, stride, least)]
             if not mine:
                 continue
             padded = np.concatenate([np.concatenate([self.words[i], np.zeros(size + 1, dtype=np.uint64)]) for i in mine])
@@ -112,8 +114,8 @@ class Index:
             self.classes.append((size, stride, repetitions))
 
     @staticmethod
-    def _class(n: int) -> tuple[int, int]:
-        return next(c for c in CLASSES if c[0] + c[1] - 1 <= n)
+    def _class(n: int) -> tuple[int, int, int]:
+        return next(c for c in CLASSES if c[2] <= n)
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         """Distinct (item, where the item would start) in the words of documents; ``words`` ends in zeros."""

@@ -72,6 +72,28 @@ def test_recall_of_edited_passages():
     assert found / total >= 0.9
 
 
+def edited_recall(n, trials, rate=D.RATIO):
+    """Share of passages of ``n`` words found after ``rate`` edits a word."""
+    rng = random.Random(n)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items, docs = [], []
+    for i in range(trials):
+        item = [rng.choice(vocabulary) for _ in range(n)]
+        own = list(item)
+        for _ in range(int(rate * n)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [own[at], rng.choice(vocabulary)]])
+        around = [[rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))] for _ in range(2)]
+        items.append((i, " ".join(item)))
+        docs.append(" ".join(around[0] + own + around[1]))
+    return sum(i in found for i, found in enumerate(D.Index(items).leaks(D.pa.array(docs)))) / trials
+
+
+def test_recall_at_the_limit_around_class_edges():
+    for n in (14, 23, 32, 39, 63, 64, 79, 143, 200):
+        assert edited_recall(n, 60) >= 0.95, n
+
+
 def test_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
