@@ -173,7 +173,7 @@ class Index:
             part, own = K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
             starts, ends, first = K.word_bounds(part, own)
             words = np.concatenate([K.word_hashes(part, starts, ends), np.zeros(max((c[0] for c in self.classes), default=0) + 1, dtype=np.uint64)])
-            done: set[tuple[int, int, int]] = set()
+            done: set[tuple[int, int, int, int]] = set()
             for item, at in self.candidates(words, first):
                 most, n = self.most[item], len(self.words[item])
                 anchor = at + n // 2
@@ -181,9 +181,9 @@ class Index:
                 if at < 0 or doc >= b - a or anchor >= first[doc + 1]:
                     doc = int(np.searchsorted(first, min(max(anchor, 0), first[-1] - 1), "right")) - 1
                 lo, hi = max(int(first[doc]), at - 2 * most - 1), min(int(first[doc + 1]), at + n + 2 * most + 1)
-                if (doc, item, lo) in done or hi - lo < n - most:
+                if (doc, item, lo, hi) in done or hi - lo < n - most:
                     continue
-                done.add((doc, item, lo))
+                done.add((doc, item, lo, hi))
                 if out[a + doc].get(item, most + 1) == 0:
                     continue
                 region = words[lo:hi].tolist()

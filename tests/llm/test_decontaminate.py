@@ -94,6 +94,14 @@ def test_recall_at_the_limit_around_class_edges():
         assert edited_recall(n, 60) >= 0.95, n
 
 
+def test_whole_item_after_a_piece_of_it_at_the_start():
+    rng = random.Random(4)
+    items = [(i, [f"w{rng.randrange(2000)}" for _ in range(20)]) for i in range(200)]
+    docs = [" ".join([*t[6:14], *t, *(rng.choice("xy") for _ in range(30))]) for _, t in items]
+    found = D.Index([(i, " ".join(t)) for i, t in items]).leaks(D.pa.array(docs))
+    assert [x.get(i) for i, x in enumerate(found)] == [0] * len(items)
+
+
 def test_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
