@@ -393,3 +393,16 @@ def stack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.written(rows, file, path)
     back = tiff.read_stack(spark, path, "s_T<0-1>_C<0,1>_Z<00-03>.tif").withColumn("image_id", F.lit(0))
     return _long(back, F.col("image.planes"), F.col("image.pixels_meta.size_x")).drop("image_id")
+
+
+@query(_ALL)
+def stacks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("image_id", "p.*", "w")
+
+    def file(row: dict):
+        plane = np.array(row["pixels"], dtype=np.uint16).reshape(-1, row["w"])
+        yield f"{row['image_id']}/s_T{row['t']}_C{row['c']}_Z{row['z']:02d}.tif", tiff.encode([plane], "")
+
+    files.written(rows, file, path)
+    return _read_back(tiff.read_stacks(spark, path, "s_T<0-3>_C<0-3>_Z<00-03>.tif"))

@@ -19,7 +19,7 @@ from xml.sax.saxutils import quoteattr
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import schema
@@ -423,53 +423,83 @@ def export_rows(df: DataFrame, column: str, dtype: str, clamp: bool, file, use_c
     )
 
 
-def read_stack(spark: SparkSession, folder: str, name_pattern: str, default_axis: str = "C", series_as: str | None = "T", channel_names: list[str] | None = None, clamp_to_uint16: bool = True, image_id: str | None = None, name: str | None = None) -> DataFrame:
-    """One record from the files of ``folder`` that a pattern names.
-
-    A file with several depths fills from its own depth on; real planes come
-    before zero planes, which fill what no file has.  All files must have one
-    size.  Several times or channels in a file are refused.
-    """
-    parsed = pattern.parse(name_pattern)
-    found = pattern.match(files.listing(spark, folder).select("path", "name"), name_pattern, default_axis, series_as)
-    placed = found.select("path", F.col("t").alias("file_t"), F.col("c").alias("file_c"), F.col("z").alias("file_z"))
-    size = pattern.sizes(found).first()
-    if size["size_t"] is None:
-        raise FileNotFoundError(f"no files match {folder}/{name_pattern}")
-    names = channel_names or pattern.channel_names(parsed, default_axis, series_as) or [f"C{i}" for i in range(size["size_c"])]
-    if channel_names and len(channel_names) != size["size_c"]:
-        raise ValueError(f"{len(channel_names)} channel names for {size['size_c']} channels")
-    names = (names + [f"C{i}" for i in range(len(names), size["size_c"])])[: size["size_c"]]
-    # Only the matched files are opened.
-    planes = read_planes(spark, [r["path"] for r in placed.select("path").distinct().toLocalIterator()], clamp_to_uint16=clamp_to_uint16).join(placed, "path")
+def _gathered(planes: DataFrame, placed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The planes of matched files, listed in a row for each stack."""
+    planes = planes.join(placed, "path")
     single = (F.col("size_t") == 1) & (F.col("size_c") == 1)
     planes = planes.withColumn("z", F.when(single, F.col("file_z") + F.col("z")).otherwise(F.raise_error(F.concat(F.lit("several times or channels in "), F.col("path"))).cast("int")))
-    planes = planes.select(F.col("file_t").alias("t"), F.col("file_c").cast("short").alias("c"), "z", "pixels", "size_y", "size_x", "dtype", "spacing", "units", "file_z")
+    planes = planes.select(F.col("file_t").alias("t"), F.col("file_c").cast("short").alias("c"), "z", "pixels", "size_y", "size_x", "dtype", "spacing", "units", "file_z", *by)
     # A file that starts at a depth comes before one that spills into it.
-    best = planes.groupBy("t", "c", "z").agg(F.max_by(F.struct("pixels", "size_y", "size_x", "dtype", "spacing", "units"), "file_z").alias("p")).select("t", "c", "z", "p.*")
-    listed = best.agg(
+    best = planes.groupBy(*by, "t", "c", "z").agg(F.max_by(F.struct("pixels", "size_y", "size_x", "dtype", "spacing", "units"), "file_z").alias("p")).select(*by, "t", "c", "z", "p.*")
+    listed = best.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed"),
         F.max("z").alias("last_z"),
         *(f(a).alias(f"{f.__name__}_{a}") for a in ("size_y", "size_x") for f in (F.min, F.max)),
         *(F.first(c).alias(c) for c in ("dtype", "spacing", "units")),
     )
     even = (F.col("min_size_y") == F.col("max_size_y")) & (F.col("min_size_x") == F.col("max_size_x"))
-    listed = listed.withColumn("listed", F.when(even, F.col("listed")).otherwise(F.raise_error(F.lit("the files have several sizes")).cast(listed.schema["listed"].dataType)))
-    size_z = F.greatest(F.lit(size["size_z"]), F.col("last_z") + 1)
+    return listed.withColumn("listed", F.when(even, F.col("listed")).otherwise(F.raise_error(F.lit("the files have several sizes")).cast(listed.schema["listed"].dataType)))
+
+
+def _stacked(listed: DataFrame, image_id: Column, name: Column, size_t: Column, size_c: Column, size_z: Column, names: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Records of listed planes; zero planes fill what no file has."""
     record = schema.image(
-        image_id=F.lit(image_id or re.sub(r"(?<=.)\.[^.]*$", "", name_pattern.strip())),
-        name=F.lit(name or f"{folder.rstrip('/')}/{name_pattern.strip()}"),
+        image_id=image_id,
+        name=name,
         dtype=F.col("dtype"),
         size_x=F.col("min_size_x"),
         size_y=F.col("min_size_y"),
-        size_z=size_z,
-        size_c=F.lit(size["size_c"]),
-        size_t=F.lit(size["size_t"]),
+        size_z=F.greatest(size_z, F.col("last_z") + 1),
+        size_c=size_c,
+        size_t=size_t,
         **{f"physical_size_{a}": falsy_or(F.get("spacing", F.lit(i)), 1.0) for i, a in enumerate("xyz")},
         physical_size_unit=F.get("units", F.lit(0)),
-        channels=schema.synthetic_channels(F.lit(size["size_c"]), F.array(*map(F.lit, names))),
+        channels=schema.synthetic_channels(size_c, names),
         planes=F.transform("listed", lambda p: F.struct(p["z"].alias("z"), p["t"].alias("t"), p["c"].alias("c"), p["pixels"].alias("pixels"))),
     )
-    out = listed.select(record.alias("image"))
+    out = listed.select(*keep, record.alias("image"))
     filled = F.transform(dense(F.col("image")), lambda p: F.struct(p["z"].alias("z"), p["t"].alias("t"), p["c"].cast("short").alias("c"), F.transform(p["pixels"], lambda v: v.cast("int")).alias("pixels")))
     return out.withColumn("image", F.col("image").withField("planes", filled))
+
+
+def read_stack(spark: SparkSession, folder: str, name_pattern: str, default_axis: str = "C", series_as: str | None = "T", channel_names: list[str] | None = None, clamp_to_uint16: bool = True, image_id: str | None = None, name: str | None = None) -> DataFrame:
+    """One record from the files of ``folder`` that a pattern names.
+
+    A file with several depths fills from its own depth on; real planes come
+    before zero planes, which fill what no file has.  All files must have one
+    size.  Several times or channels in a file are refused.
+    """
+    parsed = pattern.parse(name_pattern)
+    found = pattern.match(files.listing(spark, folder).select("path", "name"), name_pattern, default_axis, series_as)
+    placed = found.select("path", F.col("t").alias("file_t"), F.col("c").alias("file_c"), F.col("z").alias("file_z"))
+    size = pattern.sizes(found).first()
+    if size["size_t"] is None:
+        raise FileNotFoundError(f"no files match {folder}/{name_pattern}")
+    names = channel_names or pattern.channel_names(parsed, default_axis, series_as) or [f"C{i}" for i in range(size["size_c"])]
+    if channel_names and len(channel_names) != size["size_c"]:
+        raise ValueError(f"{len(channel_names)} channel names for {size['size_c']} channels")
+    names = (names + [f"C{i}" for i in range(len(names), size["size_c"])])[: size["size_c"]]
+    # Only the matched files are opened.
+    planes = read_planes(spark, [r["path"] for r in placed.select("path").distinct().toLocalIterator()], clamp_to_uint16=clamp_to_uint16)
+    own_id, own_name = F.lit(image_id or re.sub(r"(?<=.)\.[^.]*$", "", name_pattern.strip())), F.lit(name or f"{folder.rstrip('/')}/{name_pattern.strip()}")
+    return _stacked(_gathered(planes, placed), own_id, own_name, *(F.lit(size[f"size_{a}"]) for a in "tcz"), F.array(*map(F.lit, names)))
+
+
+def read_stacks(spark: SparkSession, folder: str, name_pattern: str, default_axis: str = "C", series_as: str | None = "T", clamp_to_uint16: bool = True) -> DataFrame:
+    """(folder, image): a record from each folder at or below ``folder`` whose files a pattern names, as ``read_stack`` reads one.
+
+    Sizes are a stack's own; the id is the folder's name.  Stacks are read
+    together: no job and no list on the driver for each.
+    """
+    parsed = pattern.parse(name_pattern)
+    found = pattern.match(files.listing(spark, folder, recursive=True).select("path", "name", "folder"), name_pattern, default_axis, series_as, by=["folder"])
+    placed = found.select("path", "folder", F.col("t").alias("file_t"), F.col("c").alias("file_c"), F.col("z").alias("file_z"))
+    # Only the matched files are opened.
+    content = files.listing(spark, folder, recursive=True).select("path", "content").join(found.select("path").distinct(), "path", "left_semi")
+    files.small_batches(spark)
+    planes = content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, True), _READ)
+    listed = _gathered(planes, placed, ("folder",)).join(pattern.sizes(found, ["folder"]), "folder")
+    known = F.array(*map(F.lit, pattern.channel_names(parsed, default_axis, series_as) or [])).cast("array<string>")
+    names = F.transform(F.sequence(F.lit(0), F.col("size_c") - 1), lambda i: F.coalesce(F.get(known, i), F.concat(F.lit("C"), i.cast("string"))))
+    own = files.file_name(F.col("folder"))
+    return _stacked(listed, own, F.concat(F.col("folder"), F.lit(f"/{name_pattern.strip()}")), *(F.col(f"size_{a}") for a in "tcz"), names, ("folder",))

@@ -251,6 +251,21 @@ def test_stack_with_deep_files(spark, tmp_path):
     assert flat == [v for p in want["s_C0_Z0.tif"] for v in p.ravel()] + [*want["s_C1_Z0.tif"][0].ravel(), *[0] * 40]
 
 
+def test_stacks_of_a_folder(spark, tmp_path):
+    first, second = tmp_path / "one", tmp_path / "two"
+    first.mkdir()
+    second.mkdir()
+    want = stack(first, {"p_Cred_Z00.tif": 1, "p_Cred_Z01.tif": 1, "p_Cblue_Z01.tif": 1}), stack(second, {"p_Cred_Z00.tif": 1})
+    (second / "other.tif").write_bytes(b"not a TIFF file")
+    pattern = "p_C<red,blue>_Z<00-01>.tif"
+    got = tiff.read_stacks(spark, str(tmp_path), pattern)
+    found = pixels(got)
+    assert {k: v[0][:3] for k, v in found.items()} == {"one": (1, 2, 2), "two": (1, 1, 1)}
+    for folder, name in ((first, "one"), (second, "two")):
+        assert found[name] == next(iter(pixels(tiff.read_stack(spark, str(folder), pattern)).values()))
+    assert want and [c["name"] for c in got.where("image.id = 'one'").first()["image"]["pixels_meta"]["channels"]] == ["red", "blue"]
+
+
 def test_stack_by_regular_expression(spark, tmp_path):
     want = stack(tmp_path, {"b2.tif": 1, "b1.tif": 1, "c1.tif": 1})
     (size, flat) = next(iter(pixels(api.read(spark, f"{tmp_path}/b.*[.]tif")).values()))
