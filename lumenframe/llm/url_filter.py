@@ -58,8 +58,9 @@ def _absolute(target: Column, url: Column) -> Column:
 def link_edges(pages: DataFrame) -> DataFrame:
     """Distinct (a, b) between the resources of pages and the targets of their canonical links and refresh redirects."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    canonical = F.concat(F.regexp_extract(html, _LINK, 1), F.regexp_extract(html, _LINK, 2), F.regexp_extract(html, _LINK, 3))
-    targets = F.array(canonical, F.regexp_extract(html, _REFRESH, 1))
+    # A page may hold several of each; an empty href is dropped below.
+    links = [F.regexp_extract_all(html, F.lit(_LINK), F.lit(k)) for k in (1, 2, 3)]
+    targets = F.concat(*links, F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
     rows = pages.where(html.contains("<")).select("url", F.explode(targets).alias("target")).where("target <> '' and url is not null")
     edges = rows.select(resource(F.col("url")).alias("a"), resource(_absolute(F.col("target"), F.col("url"))).alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()

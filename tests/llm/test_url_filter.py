@@ -83,3 +83,15 @@ def test_components_of_long_chains_hubs_and_loops(spark):
 def test_the_main_path_is_native(spark):
     plan = url_filter.judge_urls(spark.createDataFrame([(1, "http://a.org/", "<p>")], PAGES), queries.URL_RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_all_links_of_a_page_count(spark):
+    html = (
+        "<link rel=canonical href=\"\"><link rel=canonical href='https://b.org/1'><link href=https://c.org/2 rel=canonical>"
+        "<meta http-equiv=refresh content='0; url=https://d.org/3'><meta http-equiv=refresh content='5; url=https://e.org/4'>"
+    )
+    pages = spark.createDataFrame([(1, "https://a.org/", html), (2, "https://c.org/2", ""), (3, "https://e.org/4", "")], "page_id long, url string, html string")
+    edges = {(r["a"], r["b"]) for r in url_filter.link_edges(pages).collect()}
+    assert edges == {("https://a.org/", t) for t in ("https://b.org/1", "https://c.org/2", "https://d.org/3", "https://e.org/4")}
+    judged = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, [("block", "a.org", "/")]).collect()}
+    assert judged == {1: "block", 2: "block", 3: "block"}
