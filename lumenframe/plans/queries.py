@@ -395,8 +395,8 @@ def stack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(back, F.col("image.planes"), F.col("image.pixels_meta.size_x")).drop("image_id")
 
 
-@query(_ALL)
 def stacks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stack for every image, written and read back; equals the SQL of ``tiff_roundtrip``.  Not registered."""
     path = shared_folder(spark)
     rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("image_id", "p.*", "w")
 
