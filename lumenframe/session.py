@@ -1,15 +1,24 @@
-"""What an operator needs of the session: shared storage, and workers that find this package."""
+"""What an operator needs of the session: shared storage, bounded Arrow batches, and workers that find this package."""
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch sent to a Python worker, the same for all plans: texts and images can be long.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+#: Spark's setting that removes a finished execution's shuffle files.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def reach(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
@@ -20,23 +29,63 @@ def reach(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+def prepare(spark: SparkSession) -> None:
+    """Bound the Arrow batches, one bound for every plan of the session, and let workers find this package.
+
+    Spark reads the bound when a plan runs, not when it is defined.  All
+    operators use the same one, so that the order of definition does not
+    matter.  A stricter bound that the session has is kept.
+    """
+    for key, most in _LIMITS.items():
+        now = spark.conf.get(key, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+    reach(spark)
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of batches as dicts, one at a time: a row may be a whole image."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset."""
+    """A new path under ``spark.checkpoint.dir``; a temporary folder only where that is unset and all workers are on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lumenframe-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions within leave no shuffle files behind."""
+    old = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, old)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The result can serve a returned, lazy DataFrame; it stays until ``released``
-    or until the folder that ``spark.checkpoint.dir`` names is cleaned.
+    Spark removes the shuffle files of the write when it is done.  The result
+    can serve a returned, lazy DataFrame; it stays until ``released`` or until
+    the folder that ``spark.checkpoint.dir`` names is cleaned.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stored_at"] = path
     return out
@@ -47,18 +96,9 @@ def _path_of(df: DataFrame) -> str | None:
 
 
 def released(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete stored tables that nothing will read again, and let shuffle files of finished work go.
-
-    Spark removes shuffle files when the driver's JVM collects the plan that
-    made them; between large steps it is asked to.  Call it only when all that
-    was derived from the frames is itself stored.
-    """
+    """Delete stored tables that nothing will read again: all that was derived from them is itself stored."""
     jvm = spark.sparkContext._jvm
     for df in frames:
         if path := _path_of(df):
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    # The listener bus holds on to the last execution until the next one ends.
-    spark.range(1).collect()
-    gc.collect()
-    jvm.System.gc()

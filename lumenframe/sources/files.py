@@ -17,10 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions.pixels import file_name, stem
-from lumenframe.session import reach
-
-#: Rows of an Arrow batch where rows are whole images.
-ROWS = 16
+from lumenframe.session import one_by_one, prepare
 
 
 def store_of(path: str):
@@ -41,11 +38,6 @@ def put(store, path: str, data: bytes) -> None:
     store.move(part, path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    reach(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
-
-
 def listing(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, name, stem, folder, length, content) of files; ``content`` is read only if selected."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -57,17 +49,16 @@ def listing(spark: SparkSession, paths: str | list[str], glob: str | None = None
 
 def written(df: DataFrame, one: Callable[[dict], Iterator[tuple[str, bytes]]], out: str) -> int:
     """Write the files that ``one`` makes of each row, named relative to ``out``; returns their number."""
-    small_batches(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = store_of(out)
-        for batch in batches:
-            n = 0
-            for row in batch.to_pylist():
-                for name, data in one(row):
-                    put(store, f"{root.rstrip('/')}/{name}", data)
-                    n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+        n = 0
+        for row in one_by_one(batches):
+            for name, data in one(row):
+                put(store, f"{root.rstrip('/')}/{name}", data)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
 
     return df.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
 

@@ -280,7 +280,7 @@ def read_planes(spark: SparkSession, paths: str | list[str], glob: str | None =
 
     A task decodes a file at a time and passes on a page at a time.
     """
-    files.small_batches(spark)
+    files.prepare(spark)
     content = files.listing(spark, paths, glob, recursive).select("path", "content")
     return content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, True), _READ)
 
@@ -496,7 +496,7 @@ def read_stacks(spark: SparkSession, folder: str, name_pattern: str, default_axi
     placed = found.select("path", "folder", F.col("t").alias("file_t"), F.col("c").alias("file_c"), F.col("z").alias("file_z"))
     # Only the matched files are opened.
     content = files.listing(spark, folder, recursive=True).select("path", "content").join(found.select("path").distinct(), "path", "left_semi")
-    files.small_batches(spark)
+    files.prepare(spark)
     planes = content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, True), _READ)
     listed = _gathered(planes, placed, ("folder",)).join(pattern.sizes(found, ["folder"]), "folder")
     known = F.array(*map(F.lit, pattern.channel_names(parsed, default_axis, series_as) or [])).cast("array<string>")

@@ -274,7 +274,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], clamped: bool) -> Iterator[pa.Rec
 
 def read_zarr(spark: SparkSession, paths: str | list[str], channel_names: list[str] | None = None, clamp_to_uint16: bool = True) -> DataFrame:
     """(path, image) of OME-Zarr groups: largest level, a task for each run of chunks, one shuffle to join planes."""
-    files.small_batches(spark)
+    files.prepare(spark)
     roots = spark.createDataFrame([(p.rstrip("/"),) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
     heads = roots.repartition(max(1, min(200, len(roots.take(200))))).mapInArrow(_tasks, _HEADER_SQL)
     keys = heads.select("path", "header", F.explode("keys").alias("key")).repartition(spark.sparkContext.defaultParallelism)

@@ -10,7 +10,7 @@ from lumenframe.sources import files, tiff
 
 def stream_planes(spark: SparkSession, folder: str, glob: str = "*.tif*", clamp_to_uint16: bool = True, files_per_trigger: int = 100) -> DataFrame:
     """Pages of TIFF files as they arrive in ``folder``: path, place, pixels and what the file says; ``modified`` is event time."""
-    files.small_batches(spark)
+    files.prepare(spark)
     schema = spark.read.format("binaryFile").load(folder).schema
     stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).load(folder)
     return stream.select("path", "content").mapInArrow(lambda batches: tiff._decode(batches, clamp_to_uint16, True), tiff._READ)
