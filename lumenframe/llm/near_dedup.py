@@ -238,7 +238,6 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
         return stored(found.join(named.select("class", "node"), "class").select("node", "shingles").dropDuplicates(["node"]))
 
     sets = full_sets()
-    released(docs.sparkSession)
     links = stored(_confirmed(stars, sets))
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

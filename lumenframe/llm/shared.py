@@ -5,25 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.session import reach, released, shared_folder, stored
+from lumenframe.session import prepare, released, shared_folder, stored
 
 __all__ = ["components", "map_arrow", "prepare", "released", "shared_folder", "stored"]
 
-#: Rows and bytes of an Arrow batch sent to a Python worker: texts can be long.
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
-
-
-def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches and let Python workers find this package."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(key, str(value))
-    reach(spark)
-
 
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches pass no rows."""
@@ -37,8 +26,6 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b) as (node, component): the smallest node reachable.
 

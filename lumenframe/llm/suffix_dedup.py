@@ -10,11 +10,17 @@ need be sorted at minimizers only.
    those found in two or more distinct texts.  A task settles what repeats
    among its own texts itself and passes on one entry for each gram and text.
 2. The suffixes at reported minimizers, with the bytes before them that their
-   strings need, are range-partitioned by (suffix, left bytes, doc_id).  Buckets
-   sort locally by multikey quicksort; common prefixes of neighbours give the
-   groups of equal strings, and all but those of the smallest doc_id go.
-3. Groups at a bucket's edges are compared across boundaries: their local
-   minima are aggregated by string.
+   strings need, are range-partitioned by (suffix, left bytes, doc_id, place).
+   Buckets sort locally by multikey quicksort; common prefixes of neighbours
+   give the groups of equal strings, and all but those of the smallest doc_id go.
+3. Groups at a bucket's edges are compared across boundaries: each bucket passes
+   on one row for each of them, with its smallest doc_id and where that stands;
+   the least by string is aggregated and answers the rows.
+
+Splitters have two levels.  At most RANGES ranges have splitters from a sample
+of fixed size, which is all that the driver sees.  Where a range should hold
+several buckets, its task cuts it again by splitters from its own first entries
+(step 1), or takes it a bucket at a time in Spark's spilling sort order (step 2).
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ from pyspark.sql import types as T
 
 from lumenframe.llm import kernels as K
 from lumenframe.llm.shared import map_arrow, prepare, released, stored
+from lumenframe.session import one_by_one
 
 LENGTH = 50
 GRAM = 16
@@ -40,8 +47,10 @@ FLUSH = 1 << 20
 BUCKET = 3 << 19
 #: Suffixes meant for a bucket of the second sort.
 SUFFIXES = 100_000
-#: Documents whose grams give the splitters, and buckets for each further one; only the balance of buckets depends on them.
-SAMPLE_DOCS, BUCKETS_A_DOC = 400, 20
+#: First-level ranges at most, and documents whose grams give their splitters; only the balance of ranges depends on them.
+RANGES, SAMPLE_DOCS, SAMPLE_WORDS = 8192, 512, 256
+#: Occurrences that a row of an edge group lists at most; further rows list the rest.
+HITS = 20_000
 #: Bytes of a very long text that are looked at together.
 SEGMENT = 1 << 20
 _M0, _M1 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -182,6 +191,30 @@ def _row(values: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _pieces(bucket: np.ndarray, doc: np.ndarray, w0: np.ndarray, w1: np.ndarray, ids: np.ndarray, digests: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed entries, sorted by ``bucket``; -1 in ``doc`` stands for several texts."""
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used, back = np.unique(doc[a:b], return_inverse=True)
+        rows = (back - (1 if used[0] < 0 else 0)).astype(np.int32)
+        used = used[used >= 0]
+        yield _row([int(bucket[a]), int(b - a), _pack(w0[a:b]), _pack(w1[a:b]), _pack(rows), ids[used].tobytes(), digests[used].tobytes(), None], _GRAMS)
+
+
+def _opened(held: list[dict]) -> tuple[np.ndarray, ...]:
+    """doc (a row of ids and digests, or -1), w0, w1, ids, digests of packed entries."""
+    w0 = np.concatenate([_unpack(x["grams"], np.uint64, x["n"]) for x in held])
+    w1 = np.concatenate([_unpack(x["seconds"], np.uint64, x["n"]) for x in held])
+    ids = np.concatenate([np.frombuffer(x["ids"], np.int64) for x in held])
+    digests = np.concatenate([np.frombuffer(x["digests"], np.dtype("V16")) for x in held])
+    doc, base = [], 0
+    for x in held:
+        rows = _unpack(x["rows"], np.int32, x["n"]).astype(np.int64)
+        doc.append(np.where(rows < 0, -1, rows + base))
+        base += len(x["ids"]) // 8
+    return np.concatenate(doc), w0, w1, ids, digests
+
+
 def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int, places: int) -> Iterator[pa.RecordBatch]:
     """Entries (gram, text) of a task's documents for the buckets, and reports of grams that already repeat here."""
     ids, digests, parts, held = [], [], [], 0
@@ -207,13 +240,7 @@ def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int
         # One entry for a gram that repeats here (no document: any other text with it repeats it), else one for its text.
         doc = np.where(many, -1, doc)[new].astype(np.int32)
         w0, w1 = w0[new], w1[new]
-        bucket = np.searchsorted(splitters, w0, "right")
-        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            used, back = np.unique(doc[a:b], return_inverse=True)
-            rows = (back - (1 if used[0] < 0 else 0)).astype(np.int32)
-            used = used[used >= 0]
-            yield _row([int(bucket[a]), int(b - a), _pack(w0[a:b]), _pack(w1[a:b]), _pack(rows), own_ids[used].tobytes(), own_digests[used].tobytes(), None], _GRAMS)
+        yield from _pieces(np.searchsorted(splitters, w0, "right"), doc, w0, w1, own_ids, own_digests)
 
     for batch in batches:
         data, offsets = K.text_buffer(batch.column(1))
@@ -233,21 +260,40 @@ def _grams(batches: Iterator[pa.RecordBatch], splitters: np.ndarray, length: int
         yield from flush()
 
 
+def _recut(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A range's entries cut into ``buckets`` by second-level splitters: quantiles of the first FLUSH of them.  Reports pass through."""
+    held: list[dict] = []
+    splitters, size = None, 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal splitters
+        doc, w0, w1, ids, digests = _opened(held)
+        held.clear()
+        o = np.argsort(w0, kind="stable")
+        doc, w0, w1 = doc[o], w0[o], w1[o]
+        if splitters is None:
+            splitters = np.unique(w0[np.arange(1, buckets) * len(w0) // buckets])
+        yield from _pieces(np.searchsorted(splitters, w0, "right"), doc, w0, w1, ids, digests)
+
+    for x in one_by_one(batches):
+        if x["bucket"] < 0:
+            yield _row(list(x.values()), _GRAMS)
+            continue
+        held.append(x)
+        size += x["n"]
+        if size >= FLUSH:
+            yield from flush()
+            size = 0
+    if held:
+        yield from flush()
+
+
 def _repeats(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
     """Sort each bucket's entries; report the documents of grams that two distinct texts have.  Reports pass through."""
     held: list[dict] = []
 
     def settle() -> Iterator[pa.RecordBatch]:
-        w0 = np.concatenate([_unpack(x["grams"], np.uint64, x["n"]) for x in held])
-        w1 = np.concatenate([_unpack(x["seconds"], np.uint64, x["n"]) for x in held])
-        ids = np.concatenate([np.frombuffer(x["ids"], np.int64) for x in held])
-        digests = np.concatenate([np.frombuffer(x["digests"], np.dtype("V16")) for x in held])
-        doc, base = [], 0
-        for x in held:
-            rows = _unpack(x["rows"], np.int32, x["n"]).astype(np.int64)
-            doc.append(np.where(rows < 0, -1, rows + base))
-            base += len(x["ids"]) // 8
-        doc = np.concatenate(doc)
+        doc, w0, w1, ids, digests = _opened(held)
         held.clear()
         o = multikey_order(np.stack([w0, w1], axis=1))
         doc, w0, w1 = doc[o], w0[o], w1[o]
@@ -259,14 +305,13 @@ def _repeats(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.Reco
         for report in _found(doc[many], _gram_hash(w0[many], w1[many]), ids, digests, places):
             yield _row(report, _REPORTS)
 
-    for batch in batches:
-        for x in batch.to_pylist():
-            if x["bucket"] < 0:
-                yield _row([-1 - x["bucket"], x["n"], x["ids"], x["digests"], x["rows"], x["hashes"]], _REPORTS)
-                continue
-            if held and held[0]["bucket"] != x["bucket"]:
-                yield from settle()
-            held.append(x)
+    for x in one_by_one(batches):
+        if x["bucket"] < 0:
+            yield _row([-1 - x["bucket"], x["n"], x["ids"], x["digests"], x["rows"], x["hashes"]], _REPORTS)
+            continue
+        if held and held[0]["bucket"] != x["bucket"]:
+            yield from settle()
+        held.append(x)
     if held:
         yield from settle()
 
@@ -295,11 +340,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = pa.array([own[i, 1:].tobytes() for i in part], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(own[part, 0]).view(np.int64)), texts, pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in part], pa.binary())], names=["doc_id", "digest", "hashes"])
 
-    for batch in batches:
-        for x in batch.to_pylist():
-            if held and held[0]["place"] != x["place"]:
-                yield from settle()
-            held.append(x)
+    for x in one_by_one(batches):
+        if held and held[0]["place"] != x["place"]:
+            yield from settle()
+        held.append(x)
     if held:
         yield from settle()
 
@@ -326,20 +370,33 @@ def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "pos", "before", "after", "left", "suffix"])
 
 
-_FLAGS = "row_id long, pos long, mask binary, low long, high long, doc_id long, back int"
+_FLAGS = "row_id long, pos long, mask binary, low long, high long, doc_id long, back int, hits binary"
+
 
+def _settle(batches: Iterator[pa.RecordBatch], length: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """A partition's buckets: all of it, or ``most`` suffixes at a time where Spark has sorted it."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if most and n >= most:
+            yield from _bucket(held, length)
+            held, n = [], 0
+    if held:
+        yield from _bucket(held, length)
 
-def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Sort a bucket's suffixes; flag strings that a smaller doc_id has too; report local minima at the edges.
+
+def _bucket(batches: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Sort a bucket's suffixes; flag strings that a smaller doc_id has too; report the groups at the edges.
 
     Flag rows have ``mask``: for each ``back`` from ``after`` to ``before``
     whether the string starting that far before the minimizer goes.  Edge rows
-    have ``low`` and ``high`` (128 bits of the string), ``doc_id`` and ``back``.
+    have ``low`` and ``high`` (128 bits of the string), the group's smallest
+    ``doc_id``, and in ``hits`` the (row_id, pos) of its occurrences there.
     """
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
     table = pa.Table.from_batches(batches).combine_chunks()
+    batches.clear()
     row_id, doc_id, pos = (table[c].to_numpy() for c in ("row_id", "doc_id", "pos"))
     before, after = (table[c].to_numpy().astype(np.int64) for c in ("before", "after"))
     reach = length - GRAM
@@ -375,19 +432,34 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         flags[own, back] = d > least
         edge = np.flatnonzero(((r == 0) | (r == run[-1])) & (d == least))
         if len(edge):
-            at = own[edge]
-            string = np.concatenate([left[at][:, reach - back :] if back else left[at][:, :0], suffix[at][:, :need]], axis=1)
+            # A row for each group; a long one goes on in further rows.
+            at, number = own[edge], (np.cumsum(new) - 1)[edge]
+            nth = np.arange(len(at)) - np.searchsorted(number, number)
+            begin = np.flatnonzero(nth % HITS == 0)
+            heads = at[begin]
+            string = np.concatenate([left[heads][:, reach - back :] if back else left[heads][:, :0], suffix[heads][:, :need]], axis=1)
             digest = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in string), np.int64).reshape(-1, 2)
-            edges.append((row_id[at], pos[at], digest[:, 0], digest[:, 1], doc_id[at], np.full(len(at), back, dtype=np.int32)))
+            places = np.stack([row_id[at], pos[at]], axis=1).astype("<i8").view(np.uint8).reshape(-1)
+            hits = K.slices(places, begin * 16, np.diff(np.append(begin, len(at))) * 16)
+            edges.append((digest[:, 0], digest[:, 1], doc_id[heads], np.full(len(heads), back, dtype=np.int32), hits))
     some = np.flatnonzero(flags.any(axis=1))
     names = [x.split()[0] for x in _FLAGS.split(", ")]
     packed = np.packbits(flags, axis=1)
     for a in range(0, len(some), 20_000):
         at = some[a : a + 20_000]
         n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(row_id[at]), pa.array(pos[at]), pa.array([packed[i].tobytes() for i in at], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=names)
-    for rows, at, low, high, docs, back in edges:
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(at), pa.nulls(len(rows), pa.binary()), pa.array(low), pa.array(high), pa.array(docs), pa.array(back)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(row_id[at]), pa.array(pos[at]), pa.array([packed[i].tobytes() for i in at], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+    for low, high, docs, back, hits in edges:
+        n = len(low)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(low), pa.array(high), pa.array(docs), pa.array(back), hits], names=names)
+
+
+def _answered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The occurrences (row_id, pos, back) that edge rows list."""
+    data, offsets = K.text_buffer(batch.column("hits"))
+    places = np.ascontiguousarray(data).view("<i8").reshape(-1, 2)
+    back = np.repeat(np.asarray(batch.column("back")), np.diff(offsets) // 16)
+    return pa.RecordBatch.from_arrays([pa.array(places[:, 0].copy()), pa.array(places[:, 1].copy()), pa.array(back)], names=["row_id", "pos", "back"])
 
 
 def _covered(marks, offsets: np.ndarray, size: int, length: int) -> np.ndarray:
@@ -434,24 +506,34 @@ def _finish(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 
 def _leading(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Leading words of up to 256 minimizers, evenly spread over each text."""
+    """Leading words of up to about SAMPLE_WORDS minimizers, evenly spread over each text."""
     out = []
-    for text in batch.column(0).cast(pa.binary()).to_pylist():
+    for text in batch.column("text").cast(pa.binary()).to_pylist():
         data = np.frombuffer(text, np.uint8)
-        for _, _, part, own in segments(data, np.array([0, len(data)]), length):
-            words = minimizers(part, own, length)[4]
-            out.append(words[:: len(words) // 256 + 1].astype(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["word"])
+        found = [minimizers(part, own, length)[4] for _, _, part, own in segments(data, np.array([0, len(data)]), length)]
+        words = np.concatenate(found)
+        out.append(words[:: len(words) // SAMPLE_WORDS + 1].tobytes())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(out, pa.binary())], names=["doc_id", "digest", "words"])
 
 
-def _splitters(texts: DataFrame, buckets: int, length: int) -> np.ndarray:
-    """Quantiles of the leading words of minimizers in a sample of documents that follows the number of buckets."""
-    if buckets < 2:
+def _splitters(texts: DataFrame, ranges: int, length: int) -> np.ndarray:
+    """Quantiles of the leading words of minimizers in SAMPLE_DOCS documents.
+
+    Ids are sampled first; the texts stay in their tasks, which send at most
+    SAMPLE_WORDS words of each.
+    """
+    if ranges < 2:
         return np.zeros(0, dtype=np.uint64)
-    sample = texts.orderBy(F.xxhash64("doc_id")).limit(max(SAMPLE_DOCS, buckets // BUCKETS_A_DOC)).select("text")
-    rows = map_arrow(sample, partial(_leading, length=length), "word long").collect()
-    words = np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
-    return np.unique(words[np.arange(1, buckets) * len(words) // buckets]) if len(words) else words
+    picked = texts.select("doc_id", "digest").orderBy(F.xxhash64("doc_id", "digest")).limit(SAMPLE_DOCS).distinct()
+    # At most SAMPLE_DOCS ids are broadcast.
+    sample = texts.join(F.broadcast(picked), ["doc_id", "digest"], "left_semi")
+    rows = map_arrow(sample, partial(_leading, length=length), "doc_id long, digest binary, words binary").dropDuplicates(["doc_id", "digest"]).select("words").collect()
+    words = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], np.uint64) for r in rows)]))
+    return np.unique(words[np.arange(1, ranges) * len(words) // ranges]) if len(words) else words
+
+
+#: Columns that the result adds; old ones of these names are replaced.
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -462,23 +544,29 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     not cross documents.  ``kept_text`` leaves characters whole that a span
     covers in part.  Null text is empty (kept_text stays null).  Rows with a
     null doc_id are neither cut nor compared.  Rows that share a doc_id never
-    cut each other.  An empty table gives no rows.
+    cut each other.  Other columns may have any names (they ride in one struct);
+    old ones named as results are replaced.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest"))
+    extra = [c for c in docs.columns if c.lower() not in ("doc_id", "text", *RESULTS)]
+    rest = F.struct(*(F.col(f"`{c}`") for c in extra)) if extra else F.lit(None).cast("struct<none:int>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", rest.alias("rest"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("digest"))
     usable = docs.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "text", "digest")
     total = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    places = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(places, round(total * 2 / (length - GRAM + 2) / BUCKET))
-    splitters = _splitters(usable, buckets, length)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), round(total * 2 / (length - GRAM + 2) / BUCKET))
+    ranges = min(buckets, RANGES)
+    # Reports go to as many places; a partition takes its places one after the other.
+    places, parts = buckets, ranges
+    splitters = _splitters(usable, ranges, length)
     grams = usable.mapInArrow(partial(_grams, splitters=splitters, length=length, places=places), _GRAMS)
-    own = F.when(F.col("bucket") < 0, F.pmod(-1 - F.col("bucket"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
-    grams = grams.repartitionById(buckets, own).sortWithinPartitions("bucket")
-    reports = grams.mapInArrow(partial(_repeats, places=places), _REPORTS).repartitionById(places, "place").sortWithinPartitions("place")
+    own = F.when(F.col("bucket") < 0, F.pmod(-1 - F.col("bucket"), F.lit(ranges))).otherwise(F.col("bucket")).cast("int")
+    grams = grams.repartitionById(ranges, own)
+    if buckets > ranges:
+        grams = grams.mapInArrow(partial(_recut, buckets=-(-buckets // ranges)), _GRAMS)
+    reports = grams.sortWithinPartitions("bucket").mapInArrow(partial(_repeats, places=places), _REPORTS)
+    reports = reports.repartitionById(parts, F.pmod("place", F.lit(parts)).cast("int")).sortWithinPartitions("place")
     reports = stored(reports.mapInArrow(_merge, "doc_id long, digest binary, hashes binary"))
-    released(spark)
     ids = usable.select("doc_id", "digest").distinct()
     heads = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
     copies = stored(ids.join(heads, "digest").where("doc_id > head").select("doc_id", "digest"))
@@ -486,32 +574,37 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     facts = wanted.select("doc_id", "digest", "hashes", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", "digest", F.lit(None).cast("binary").alias("hashes"), F.lit(True).alias("copy")))
     # The texts are shuffled once; those without a reported gram are done here.
     placed = docs.join(facts, ["doc_id", "digest"], "left").drop("digest").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    done = _done_or_open(placed, extra, length)
+    done = _done_or_open(placed, length)
     done = stored(done.withColumn("row_id", F.monotonically_increasing_id()))
     released(spark, reports, copies)
     open_rows = done.where("hashes is not null")
     suffixes = stored(open_rows.select("row_id", "doc_id", "text", "hashes").mapInArrow(partial(_suffixes, length=length), "row_id long, doc_id long, pos long, before int, after int, left binary, suffix binary"))
-    parts = max(1, suffixes.count() // SUFFIXES)
-    ranged = suffixes.repartitionByRange(parts, "suffix", "left", "doc_id")
-    flags = stored(ranged.mapInArrow(partial(_settle, length=length), _FLAGS))
+    wanted_parts = max(1, suffixes.count() // SUFFIXES)
+    order = ("suffix", "left", "doc_id", "row_id", "pos")
+    ranged = suffixes.repartitionByRange(min(wanted_parts, RANGES), *order)
+    if wanted_parts > RANGES:
+        ranged = ranged.sortWithinPartitions(*order)
+    flags = stored(ranged.mapInArrow(partial(_settle, length=length, most=SUFFIXES if wanted_parts > RANGES else None), _FLAGS))
     released(spark, suffixes)
-    edges = flags.where("mask is null")
-    least = edges.groupBy("low", "high").agg(F.min("doc_id").alias("least"))
-    across = edges.join(least, ["low", "high"]).where("doc_id > least").select("row_id", "pos", F.lit(None).cast("binary").alias("mask"), "back")
+    edges = flags.where("mask is null").select("low", "high", "doc_id", "back", "hits")
+    # Only strings that several buckets hold, from different documents, have an answer.
+    least = edges.groupBy("low", "high").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("low", "high", "least")
+    asked = edges.join(least, ["low", "high"]).where("doc_id > least").select("back", "hits")
+    across = map_arrow(asked, _answered, "row_id long, pos long, back int").select("row_id", "pos", F.lit(None).cast("binary").alias("mask"), "back")
     marks = flags.where("mask is not null").select("row_id", "pos", "mask", "back").unionByName(across)
     marks = marks.groupBy("row_id").agg(F.collect_list(F.struct("pos", "mask", "back")).alias("marks"))
-    rest = open_rows.select("row_id", "doc_id", *extra, "text").join(marks, "row_id", "left").drop("row_id")
-    cut = map_arrow(rest, partial(_finish, length=length), _schema(docs, extra))
-    columns = cut.columns
-    return done.where("hashes is null").select(columns).unionByName(cut)
+    open_rows = open_rows.select("row_id", "doc_id", "rest", "text").join(marks, "row_id", "left").drop("row_id")
+    cut = map_arrow(open_rows, partial(_finish, length=length), _schema(docs))
+    out = done.where("hashes is null").select(cut.columns).unionByName(cut)
+    return out.select("doc_id", *(F.col("rest").getField(c).alias(c) for c in extra), *RESULTS)
 
 
-def _schema(docs: DataFrame, extra: list[str]) -> T.StructType:
-    new = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.StringType()) for c in ("kept_sha256", "kept_text")]
-    return T.StructType([*(docs.schema[c] for c in ("doc_id", *extra)), *new])
+def _schema(docs: DataFrame) -> T.StructType:
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+    return T.StructType([docs.schema["doc_id"], docs.schema["rest"], *(T.StructField(c, k) for c, k in zip(RESULTS, kinds, strict=True))])
 
 
-def _done_or_open(placed: DataFrame, extra: list[str], length: int) -> DataFrame:
+def _done_or_open(placed: DataFrame, length: int) -> DataFrame:
     """Results for texts that no report concerns; the others with text and hashes."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long")
@@ -519,7 +612,7 @@ def _done_or_open(placed: DataFrame, extra: list[str], length: int) -> DataFrame
     is_open = F.col("hashes").isNotNull()
     return placed.select(
         "doc_id",
-        *extra,
+        "rest",
         size.alias("n_bytes"),
         F.when(whole, size).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"),

@@ -94,3 +94,41 @@ def test_long_runs_are_taken_in_pieces(spark):
     docs = [(0, "ab" * 700_000), (1, "x" + "ab" * 100 + "y" * 60), (2, "ab" * 700_000 + "z")]
     got, _ = run(spark, docs, 50)
     assert [r[:4] for r in got] == [(0, 1_400_000, 0, 0), (1, 261, 200, 1), (2, 1_400_001, 1_400_000, 1)]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_second_level_of_splitters(spark, monkeypatch, seed):
+    monkeypatch.setattr(S, "RANGES", 3)
+    monkeypatch.setattr(S, "BUCKET", 100)
+    monkeypatch.setattr(S, "SUFFIXES", 20)
+    docs = fixture(seed)
+    got, _ = run(spark, docs, 50)
+    assert got == brute(docs, 50)
+
+
+def test_common_strings_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(S, "SUFFIXES", 10)
+    monkeypatch.setattr(S, "HITS", 7)
+    line = "one very common line that is found in nearly every text of a table "
+    docs = [(d, f"own {d} " + line * (d % 5 + 1) + f"end {d % 7}") for d in range(120)] + [(200, "-" * 300 + line), (201, "-" * 200), (202, "-" * 250 + line * 2)]
+    got, _ = run(spark, docs, 50)
+    assert got == brute(docs, 50)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = []
+    real = S.stored
+    monkeypatch.setattr(S, "stored", lambda x: kept.append(out := real(x)) or out)
+    S.repeated_strings(df, 50).collect()
+    flags = next(x for x in kept if "hits" in x.columns).where("mask is null")
+    # A string at an edge is one row in each bucket, but for lists of more than HITS places.
+    assert flags.groupBy("low", "high", "doc_id").count().where("count > 100").count() == 0
+
+
+def test_other_columns_may_have_any_names(spark):
+    docs = [(d, t) for d, t in fixture(6) if d is not None][:40]
+    names = ["digest", "hashes", "copy", "marks", "row_id", "rest", "pos", "mask", "low", "head", "n", "a.b", "back", "suffix", "words"]
+    rows = [(d, t, *(f"{c}{i}" for c in names)) for i, (d, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    found = S.repeated_strings(df.withColumn("n_bytes", S.F.lit("old"))).collect()
+    assert found[0].__fields__ == ["doc_id", *names, *S.RESULTS]
+    assert sorted(tuple(r)[: len(names) + 1] for r in found) == sorted((r[0], *r[2:]) for r in rows)
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=repr) == brute(docs, 50)
