@@ -15,9 +15,13 @@ from lumenframe.llm.shared import components
 
 #: Characters of A-Z and a-z for ASCII-only lower-casing.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (?is): any case, over lines.  A canonical link, and a redirect by a meta refresh, with the attributes in any order.
-_LINK = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*(?:\"([^\">]*)\"|'([^'>]*)'|([^\s\"'>]+))"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'>\s]+)"
+#: What holds no tags: comments, scripts and styles, to the end of the page if not closed.  Each match ends, so a scan is linear.
+_RAW = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)"
+#: A whole tag (no ``<`` or ``>`` within), then its attributes: after white space or a slash a name, ``=``, a value.
+_TAG = r"(?i)<(?:link|meta)\b[^<>]*>"
+_ATTRIBUTE = r"""(?s)[\s/]([^\s"'<>/=]+)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+#: Seconds, then the target of a refresh.
+_REFRESH = r"""(?is)^[\s\d.]*+[;,]?+\s*+url\s*+=\s*+["']?+\s*+([^"'\s]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -55,13 +59,36 @@ def _absolute(target: Column, url: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes; null if it has none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), lambda x: F.translate(x, _UPPER, _LOWER))
+    at = F.array_position(names, F.lit(name))
+    value = F.get(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)), (at - 1).cast("int"))
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(at > 0, F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+
+
+def link_targets(pages: DataFrame) -> DataFrame:
+    """(url, target) of every canonical link and refresh of a page, as written.
+
+    Tags in comments, scripts and styles do not count.  ``rel`` is a list of
+    words, of which one is ``canonical``.  A tag is isolated before its
+    attributes are read, so hostile pages take time in proportion to their size.
+    """
+    found = pages.where("url is not null").where(F.col("html").rlike("(?i)canonical|refresh"))
+    cleaned = F.regexp_replace("html", _RAW, " ")
+    tags = found.select("url", F.explode(F.regexp_extract_all(cleaned, F.lit(_TAG), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    words = F.split(F.translate(F.trim(_attribute(tag, "rel")), _UPPER, _LOWER), r"\s+")
+    link = F.when(F.array_contains(words, "canonical"), _attribute(tag, "href"))
+    refresh = F.translate(F.trim(_attribute(tag, "http-equiv")), _UPPER, _LOWER) == "refresh"
+    meta = F.when(refresh, F.regexp_extract(_attribute(tag, "content"), _REFRESH, 1))
+    return tags.select("url", F.when(tag.rlike("(?i)^<link"), link).otherwise(meta).alias("target")).where("target <> ''")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """Distinct (a, b) between the resources of pages and the targets of their canonical links and refresh redirects."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    # A page may hold several of each; an empty href is dropped below.
-    links = [F.regexp_extract_all(html, F.lit(_LINK), F.lit(k)) for k in (1, 2, 3)]
-    targets = F.concat(*links, F.regexp_extract_all(html, F.lit(_REFRESH), F.lit(1)))
-    rows = pages.where(html.contains("<")).select("url", F.explode(targets).alias("target")).where("target <> '' and url is not null")
+    rows = link_targets(pages)
     edges = rows.select(resource(F.col("url")).alias("a"), resource(_absolute(F.col("target"), F.col("url"))).alias("b"))
     return edges.where("a is not null and b is not null and a <> b").distinct()
 

@@ -1,5 +1,9 @@
+import random
+import time
 from urllib.parse import urljoin
 
+import duckdb
+
 from lumenframe.llm import queries, url_filter
 from lumenframe.llm.shared import components
 
@@ -95,3 +99,61 @@ def test_all_links_of_a_page_count(spark):
     assert edges == {("https://a.org/", t) for t in ("https://b.org/1", "https://c.org/2", "https://d.org/3", "https://e.org/4")}
     judged = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, [("block", "a.org", "/")]).collect()}
     assert judged == {1: "block", 2: "block", 3: "block"}
+
+
+def targets(spark, *html):
+    rows = [(i, "http://h.net/p", x) for i, x in enumerate(html)]
+    return sorted(r["target"] for r in url_filter.link_targets(spark.createDataFrame(rows, PAGES)).collect())
+
+
+def test_only_links_of_the_page_itself_count(spark):
+    assert targets(spark, '<link rel="alternate canonical" href="/a">', "<LINK HREF=/b REL='Canonical'>") == ["/a", "/b"]
+    assert targets(spark, '<link rel=canonical href=/c data-href=/x>', '<link data-href="/x" rel=canonical href="/d">') == ["/c", "/d"]
+    assert targets(spark, '<!-- <link rel=canonical href="/x"> --><link rel=canonical href=/e>', "<!-- <link rel=canonical href=/x>") == ["/e"]
+    assert targets(spark, "<script>'<link rel=canonical href=/x>'</script><link rel=canonical href=/f><style><!--</style>") == ["/f"]
+    assert targets(spark, '<link title="a rel=canonical" rel=next href="/x">', "<linkx rel=canonical href=/x>", "<link rel=canonical-x href=/x>") == []
+    assert targets(spark, "<meta http-equiv=refresh content=\"0;URL='/g'\">", '<meta content="5 ; url = /h" http-equiv="Refresh">', '<meta name=refresh content="0;url=/x">') == ["/g", "/h"]
+    assert targets(spark, '<link rel=canonical\nhref\n=\n"/i">', "<link rel='canonical' href=''>", "<link rel=canonical>", None, "") == ["/i"]
+
+
+def test_hostile_pages_take_linear_time(spark):
+    hostile = ["<link rel=canonical ", "<link ", "<!--", "<link rel=canonical href=x", "<script", "<meta http-equiv=refresh content=\"", "<link a='", '<link a=" ', "<link rel = ", "url=  "]
+    targets(spark, "warm up")
+    for text in hostile:
+        began = time.time()
+        assert targets(spark, (text * (1_000_000 // len(text))) + "<link rel=canonical href=/z>")[-1:] in ([], ["/z"])
+        assert time.time() - began < 20, text
+    whole = "<link rel=canonical " + "a " * 500_000 + "href=/z>"
+    assert targets(spark, whole) == ["/z"]
+
+
+def test_aliases_against_sql(spark):
+    rng = random.Random(11)
+    hosts = [*(f"h{i}.net" for i in range(12)), "example.org", "x.com", "y.com"]
+    paths = ["/", "/es/1", "/en/1", "/fr/2", "/de/3", "/p", "/q", "/r"]
+    every = [f"http://{h}{p}" for h in hosts for p in paths]
+    form = ['<link rel=canonical href="{}">', "<meta http-equiv=refresh content='0; url={}'>", "<link href={} rel='nofollow canonical'>"]
+    pages, links = [], []
+    for i in range(90):
+        url = rng.choice(every)
+        out = [rng.choice(every) for _ in range(rng.choice([0, 1, 1, 2]))] if i % 2 else []
+        pages.append((i, url, "<p>" + "".join(rng.choice(form).format(t) for t in out)))
+        links += [(url, t) for t in out]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    con.execute("CREATE TABLE links (a VARCHAR, b VARCHAR)")
+    con.executemany("INSERT INTO links VALUES (?, ?)", links)
+    rules = ", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in queries.URL_RULES)
+    sql = f"""WITH RECURSIVE u AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT a FROM links UNION ALL SELECT b FROM links)),
+e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+r AS (SELECT url AS node, url AS reached FROM u UNION SELECT node, b FROM r JOIN e ON reached = a),
+v(kind, h, p) AS (VALUES {rules}),
+o AS (SELECT url, arg_max(kind, length(h || p)) AS own FROM u JOIN v ON (split_part(split_part(url, '://', 2), '/', 1) = h OR split_part(split_part(url, '://', 2), '/', 1) LIKE '%.' || h) AND starts_with(substr(split_part(url, '://', 2), strpos(split_part(url, '://', 2), '/')), p) GROUP BY url),
+s AS (SELECT node, min(own) AS shared FROM r JOIN o ON reached = o.url GROUP BY node)
+SELECT page_id, coalesce(own, shared, 'allow') FROM pages LEFT JOIN o USING (url) LEFT JOIN s ON node = pages.url ORDER BY page_id"""
+    want = con.execute(sql).fetchall()
+    got = url_filter.judge_urls(spark.createDataFrame(pages, PAGES).repartition(4), queries.URL_RULES).select("page_id", "verdict").collect()
+    assert sorted(tuple(r) for r in got) == want
+    plain = url_filter.judge_urls(spark.createDataFrame([(i, u, "") for i, u, _ in pages], PAGES), queries.URL_RULES).select("page_id", "verdict").collect()
+    assert sorted(tuple(r) for r in plain) != want
