@@ -8,16 +8,19 @@ A formatted conversation is a sequence of turns, nothing between them:
     any other  [TURN role] text [/TURN]
 
 (no spaces around the text).  After a closing mark the parser expects an
-opening mark or the end, so each turn can be read on its own.  Inside a text a
-backslash before a backslash or a control string makes that literal.  A turn is
-first rendered as it is; if reparsing does not give it back, its control
-strings and the backslashes before them are escaped; if it still differs, every
-backslash is.  The last form always reads back.
+opening mark or the end.  Inside a text a backslash before a backslash or a
+control string makes that literal.  A turn is first rendered as it is; if
+reparsing does not give it back, its control strings and the backslashes before
+them are escaped; if it still differs, every backslash is.  The last form always
+reads back.  The rendered turns of a conversation are then joined and reparsed
+as one text, by a parser that is not told where turns end, and compared to the
+source turn by turn.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,6 +64,10 @@ def _unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+class Unfinished(ValueError):
+    """The text ends before its turn does."""
+
+
 def parse_turn(data: str, at: int = 0) -> tuple[str, str, int, int, int]:
     """Role, text, start and end of the raw text, and where the next turn begins."""
     for role, (opening, closing) in MARKS.items():
@@ -69,7 +76,9 @@ def parse_turn(data: str, at: int = 0) -> tuple[str, str, int, int, int]:
             break
     else:
         if not data.startswith(OTHER[0], at):
-            raise ValueError("a turn must open here")
+            openings = [m[0] for m in MARKS.values()] + [OTHER[0]]
+            cut = any(o.startswith(data[at : at + len(o)]) for o in openings)
+            raise (Unfinished if cut else ValueError)("a turn must open here")
         end = _end(data, at + len(OTHER[0]), "]")
         role, closing, start = _role(data[at + len(OTHER[0]) : end]), OTHER[1], end + 1
     for match in _TOKEN.finditer(data, start):
@@ -77,13 +86,13 @@ def parse_turn(data: str, at: int = 0) -> tuple[str, str, int, int, int]:
             return role, _unescape(data[start : match.start()]), start, match.start(), match.end()
         if not match[0].startswith("\\"):
             raise ValueError(f"{match[0]} within a turn")
-    raise ValueError("a turn does not close")
+    raise Unfinished("a turn does not close")
 
 
 def _end(data: str, at: int, mark: str) -> int:
     found = data.find(mark, at)
     if found < 0:
-        raise ValueError("a turn's role does not close")
+        raise Unfinished("a turn's role does not close")
     return found
 
 
@@ -120,26 +129,60 @@ def parse(data: str) -> list[tuple[str, str]]:
     return out
 
 
+class Reader:
+    """Reparses a formatted conversation that arrives in pieces of any size; it holds what is not yet a whole turn."""
+
+    def __init__(self):
+        self.held, self.at = "", 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """Turns (role, text) that are whole now."""
+        self.held += piece
+        at = 0
+        while at < len(self.held):
+            try:
+                role, text, _, _, end = parse_turn(self.held, at)
+            except Unfinished:
+                break
+            yield role, text
+            at = end
+        self.held = self.held[at:]
+
+    def close(self) -> None:
+        if self.held:
+            raise ValueError("a conversation ends within a turn")
+
+
+def turn_digest(role: str, text: str) -> str:
+    return hashlib.sha256(f"{role}\n{text}".encode("utf-8", "surrogateescape")).hexdigest()
+
+
 class _Conversation:
-    """What is read back from a conversation's formatted turns, one at a time."""
+    """What is read back from a conversation's formatted text, compared to its source turns on the way."""
 
     def __init__(self, conv_id):
         self.conv_id = conv_id
         self.turns = self.loss_chars = self.chars = 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.reader, self.source = Reader(), deque()
 
-    def add(self, formatted: str) -> None:
-        role, text, _, _, end = parse_turn(formatted)
-        if end != len(formatted):
-            raise ValueError("more than a turn")
-        self.turns += 1
+    def add(self, formatted: str, source: str) -> None:
+        """The next piece of the text, and the digest of the turn that it was rendered from."""
         self.chars += len(formatted)
-        self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogateescape"))
-        if role == "assistant":
-            self.loss_chars += len(text)
-            self.loss.update(text.encode("utf-8", "surrogateescape"))
+        self.source.append(source)
+        for role, text in self.reader.feed(formatted):
+            if not self.source or turn_digest(role, text) != self.source.popleft():
+                raise ValueError(f"conversation {self.conv_id} does not read back")
+            self.turns += 1
+            self.all.update(f"{role}\n{text}\n".encode("utf-8", "surrogateescape"))
+            if role == "assistant":
+                self.loss_chars += len(text)
+                self.loss.update(text.encode("utf-8", "surrogateescape"))
 
     def row(self) -> tuple:
+        self.reader.close()
+        if self.source:
+            raise ValueError(f"conversation {self.conv_id} lost turns")
         return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
@@ -153,13 +196,13 @@ def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, rows = None, []
     for batch in batches:
-        ids, formatted = batch.column(0).to_pylist(), batch.column(1)
+        ids, formatted, source = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
         for i, conv_id in enumerate(ids):
             if now is None or now.conv_id != conv_id:
                 if now is not None:
                     rows.append(now.row())
                 now = _Conversation(conv_id)
-            now.add(formatted[i].as_py().decode("utf-8", "surrogateescape"))
+            now.add(formatted[i].as_py().decode("utf-8", "surrogateescape"), source[i])
         if len(rows) >= 1000:
             yield _rows(rows)
             rows = []
@@ -189,11 +232,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def round_trip(turns: DataFrame) -> DataFrame:
     """Per conversation, read back from its formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Turns are formatted before the shuffle by conv_id.  After it they stream,
-    sorted, through incremental digests, so that a task holds one turn however
-    long the conversation is.  Null conv_id is a conversation of its own; an
+    Turns are formatted before the shuffle by conv_id.  After it the joined text
+    streams, sorted, through one parser a conversation and incremental digests,
+    so that a task holds one turn however long the conversation is; turns that
+    read back differ from the source are an error.  Null conv_id is a conversation of its own; an
     empty table gives no rows; repeated rows are turns of their own.  Turns
     that share a number come in the order of a digest of role and text.
     """
     rows = format_turns(turns).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "tie")
-    return rows.select("conv_id", "formatted").mapInArrow(_read_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.select("conv_id", "formatted", "tie").mapInArrow(_read_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from lumenframe.llm import chat
 
 
@@ -43,3 +45,29 @@ def test_query(spark):
 
 def test_empty(spark):
     assert chat.round_trip(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_the_reader_needs_no_turn_boundaries():
+    rng = random.Random(5)
+    bits = [*chat.CONTROL, "\\", "a", "]", "é😀", ""]
+    for _ in range(500):
+        turns = [(rng.choice(["user", "assistant", "system", "tool"]), "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for _ in range(rng.randrange(1, 6))]
+        data, reader, got = chat.render(turns), chat.Reader(), []
+        while data:
+            # No piece ends within an escape or a mark's start that could mean something else.
+            n = rng.randrange(1, 12)
+            got += reader.feed(data[:n])
+            data = data[n:]
+        reader.close()
+        assert got == turns
+
+
+def test_turns_that_run_together_are_an_error():
+    one = chat._Conversation(1)
+    one.add("<s>a", chat.turn_digest("assistant", "a"))
+    with pytest.raises(ValueError):
+        one.row()
+    two = chat._Conversation(2)
+    with pytest.raises(ValueError):
+        two.add("<s>a</s>[INST]b[/INST]", chat.turn_digest("assistant", "a"))
+        two.row()
