@@ -182,15 +182,20 @@ def verdict(rules: list[tuple[Term, ...]]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[Term, ...]]:
-    """Rules learned from up to ``sample`` labelled documents (quality 0 is to be rejected) that pass the base rules."""
+    """Rules learned from up to ``sample`` labels (quality 0 is to be rejected) of documents that pass the base rules.
+
+    Of rows that share a labelled id one counts: that with the smallest
+    statistics.  Null ids and labels are left out.
+    """
     own = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("quality").cast("int").alias("quality_label")).where("labelled_id is not null and quality_label is not null").distinct()
     own = own.orderBy(F.xxhash64("labelled_id"), "labelled_id", "quality_label").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most ``sample`` pairs of numbers are broadcast.
-    rows = with_counts(texts.join(F.broadcast(own), texts["doc_id"] == own["labelled_id"]).select("text", "quality_label"))
-    rows = rows.where(~base_failed()).select("quality_label", *(F.expr(e).alias(c) for c, e in FEATURES.items()))
-    found = rows.orderBy(*FEATURES, "quality_label").limit(2 * sample).collect()
-    x = {c: np.array([r[c] for r in found], dtype=float) for c in FEATURES}
+    rows = with_counts(texts.join(F.broadcast(own), texts["doc_id"] == own["labelled_id"]).select("text", "labelled_id", "quality_label"))
+    rows = rows.where(~base_failed()).select("labelled_id", "quality_label", F.struct(*(F.expr(e).alias(c) for c, e in FEATURES.items())).alias("x"))
+    # One row for each label, so at most ``sample`` reach the driver; order does not depend on the partitioning.
+    found = rows.groupBy("labelled_id", "quality_label").agg(F.min("x").alias("x")).orderBy("x", "quality_label").collect()
+    x = {c: np.array([r["x"][c] for r in found], dtype=float) for c in FEATURES}
     y = np.array([int(r["quality_label"] == 0) for r in found], dtype=np.int64)
     return learn(x, y)
 
