@@ -16,7 +16,9 @@ brings recall to the target (measured in the tests).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm import kernels as K
-from lumenframe.llm.shared import map_arrow, prepare
+from lumenframe.llm.shared import prepare, stored, with_text_columns
 
 #: Edits allowed for each word of an item.
 RATIO = 0.2
 REPETITIONS, SAMPLED = 24, 6
-#: Size classes: words of a window, words between window starts in documents, least words of an item (more than their sum, where
-#: items may be edited, so that each occurrence offers several windows).
-CLASSES = ((32, 8, 64), (16, 8, 32), (8, 4, 14), (4, 1, 5), (2, 1, 2), (1, 1, 1))
-#: Items that are searched for in one pass.
-ITEMS = 5000
+#: Size classes: words of a window, words between window starts in documents, least words of an item (several times their sum
+#: for long ones, so that an occurrence that lost a fifth of its words to cuts still offers windows with few edits).
+CLASSES = ((32, 8, 160), (16, 8, 64), (8, 4, 14), (4, 1, 5), (2, 1, 2), (1, 1, 1))
+#: Items that are searched for in one pass, and about the characters that they may have together.
+ITEMS, ITEM_BYTES = 5000, 16 << 20
 _TABLE = 16
 _CHUNK = 1 << 15
 _RNG = np.random.default_rng(4242)
@@ -199,18 +201,45 @@ class Index:
 _INDEX: dict[tuple, Index] = {}
 
 
-def _index(items: list[tuple[int, str]], ratio: float) -> Index:
-    key = (ratio, hash(tuple(items)))
-    if key not in _INDEX:
+def _index(key: str, items: list[tuple[int, str]], ratio: float) -> Index:
+    """One index for each worker process: that of the block it searches for."""
+    if (key, ratio) not in _INDEX:
         _INDEX.clear()
-        _INDEX[key] = Index(items, ratio)
-    return _INDEX[key]
+        _INDEX[key, ratio] = Index(items, ratio)
+    return _INDEX[key, ratio]
 
 
 _LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("item_words", T.LongType())]))
 _ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("item_words", pa.int64())]))
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items with a text, ITEMS of them or about ITEM_BYTES at a time."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct().orderBy("item_id", "text")
+    held, size = [], 0
+    for row in rows.toLocalIterator():
+        held.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+        if len(held) == ITEMS or size >= ITEM_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _searched(docs: DataFrame, items: list[tuple[int, str]], text: str, leaks: str, ratio: float) -> DataFrame:
+    """``docs`` with the items of one block that are found in each text: one Python worker a task."""
+    shipped = docs.sparkSession.sparkContext.broadcast(items)
+    key = hashlib.sha256(repr(items).encode()).hexdigest()
+
+    def found(column: pa.Array) -> list[pa.Array]:
+        index = _index(key, shipped.value, ratio)
+        rows = [[{"item_id": index.items[i][0], "edits": d, "item_words": len(index.words[i])} for i, d in sorted(x.items())] for x in index.leaks(column)]
+        return [pa.array(rows, _ARROW)]
+
+    return with_text_columns(docs, text, found, [T.StructField(leaks, _LEAKS)])
+
+
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks: str = "leaks", ratio: float = RATIO) -> DataFrame:
     """``docs`` with the column ``leaks``: the items of ``benchmark`` (item_id, text) found in the text.
 
@@ -219,36 +248,34 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", leaks:
     Items without words are never found, nor is anything in null or empty texts.
     Repeated rows are judged alike.  Items are the query set: they reach the
     workers in blocks of ITEMS, and every row is read whole against each block.
-    Rows are independent, so nothing is shuffled.
+    One block needs no shuffle.  Of several each is a scan of its own, and what
+    they find is joined to the rows, so that a task never holds more than one
+    block's index.  Other columns may have any names; an old ``leaks`` is replaced.
     """
     prepare(docs.sparkSession)
     docs = docs.drop(leaks)
-    held, parts = [], []
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct().orderBy("item_id", "text")
-    for row in rows.toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        if len(held) == ITEMS:
-            parts.append(held)
-            held = []
-    if held:
-        parts.append(held)
-    if not parts:
+    blocks = list(_blocks(benchmark))
+    if not blocks:
         return docs.withColumn(leaks, F.array().cast(_LEAKS))
+    if len(blocks) == 1:
+        return _searched(docs, blocks[0], text, leaks, ratio)
     columns = docs.columns
-    for k, items in enumerate(parts):
-        shipped = docs.sparkSession.sparkContext.broadcast(items)
-        schema = T.StructType([*docs.schema.fields, T.StructField(f"{leaks}_{k}", _LEAKS)])
-
-        def run(batch: pa.RecordBatch, shipped=shipped, names=schema.names) -> pa.RecordBatch:
-            index = _index(shipped.value, ratio)
-            found = [[{"item_id": index.items[i][0], "edits": d, "item_words": len(index.words[i])} for i, d in sorted(x.items())] for x in index.leaks(batch.column(text))]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW)], names=names)
-
-        docs = map_arrow(docs, run, schema)
-    return docs.select(*columns, F.concat(*(F.col(f"{leaks}_{k}") for k in range(len(parts)))).alias(leaks))
+    held = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")).withColumn("row_id", F.monotonically_increasing_id()))
+    texts = held.select("row_id", F.col("row").getField(text).alias("text"))
+    found = reduce(DataFrame.unionByName, (_searched(texts, items, "text", "leaks", ratio).where(F.size("leaks") > 0).select("row_id", "leaks") for items in blocks))
+    found = found.groupBy("row_id").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    out = held.join(found, "row_id", "left")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in columns), F.coalesce("leaks", F.array().cast(_LEAKS)).alias(leaks))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and item found in it: doc_id, item_id, edits, item_words; repeated rows repeat theirs."""
-    found = with_leaks(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("leaks").alias("leak"))
+    """A row for each document and item found in it: doc_id, item_id, edits, item_words; repeated rows repeat theirs.
+
+    Blocks of items are scans beside each other: no shuffle however many there are.
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    none = docs.where("false").select("doc_id", F.explode(F.array().cast(_LEAKS)).alias("leak"))
+    parts = [_searched(docs, items, "text", "leaks", RATIO).select("doc_id", F.explode("leaks").alias("leak")) for items in _blocks(benchmark)]
+    found = reduce(DataFrame.unionByName, parts) if parts else none
     return found.select("doc_id", "leak.item_id", "leak.edits", "leak.item_words")

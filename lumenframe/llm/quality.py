@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm import kernels as K
-from lumenframe.llm.shared import map_arrow, prepare
+from lumenframe.llm.shared import prepare, with_text_columns
 
 #: Labelled rows that the rules are learned from at most; those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -63,16 +63,14 @@ def count(column) -> np.ndarray:
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with COUNTS of each whole text (null: none); old columns of these names are replaced."""
+    """``docs`` with COUNTS of each whole text (null: none); old columns of these names are replaced, others may have any names."""
     prepare(docs.sparkSession)
-    docs = docs.drop(*COUNTS)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = count(batch.column(text))
-        return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(COUNTS)))], names=schema.names)
+    def counted(column: pa.Array) -> list[pa.Array]:
+        found = count(column)
+        return [pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(COUNTS))]
 
-    return map_arrow(docs, run, schema)
+    return with_text_columns(docs, text, counted, [T.StructField(c, T.LongType()) for c in COUNTS])
 
 
 def base_failed() -> Column:

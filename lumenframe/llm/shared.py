@@ -26,6 +26,27 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(run, schema)
 
 
+def with_text_columns(docs: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """``docs`` with new columns that ``function`` makes of a batch of the column ``text``.
+
+    Other columns ride along in one struct, so they may have any names; old ones
+    of the new names are replaced.  No shuffle.
+    """
+    new = {f.name.lower() for f in fields}
+    kept = [c for c in docs.columns if c.lower() not in new or c == text]
+    others = [c for c in kept if c != text]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("struct<none:int>")
+    packed = docs.select(rest.alias("rest"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([*packed.schema.fields, *(T.StructField(f"new_{i}", f.dataType) for i, f in enumerate(fields))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(1))], names=schema.names)
+
+    out = map_arrow(packed, run, schema)
+    old = {c: F.col("text") if c == text else F.col("rest").getField(c) for c in kept}
+    return out.select(*(v.alias(c) for c, v in old.items()), *(F.col(f"new_{i}").alias(f.name) for i, f in enumerate(fields)))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b) as (node, component): the smallest node reachable.
 
