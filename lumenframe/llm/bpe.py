@@ -7,9 +7,9 @@ its start.  By the local-validity property of merge orders, the encoding of a
 prefix is the one token sequence whose neighbours are all valid pairs, so a
 state determines the last token of every longer prefix.  Nothing is built
 ahead: nodes, moves and pair validity are made when first reached and kept.
-What all ways on from a state share is emitted, after a lookahead bounded by
-the longest token's reach.  Decoding joins token bytes and runs an incremental
-UTF-8 automaton over them.
+What all ways on from a state share is emitted, after a lookahead of the longest
+token's length.  Decoding runs an incremental UTF-8 automaton over the bytes of
+token after token.
 """
 
 from __future__ import annotations
@@ -24,17 +24,18 @@ import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.shared import map_arrow
+from lumenframe.llm.shared import map_arrow, with_text_columns
 
 #: Remembered pairs and pieces are dropped beyond these counts; they are made anew when needed.
 MOST_PAIRS = 500_000
 MOST_PIECES = 600_000
 LONGEST_PIECE = 48
-#: Bytes after which what is settled is emitted; longer than any token reaches back.
-LOOK = 4096
-#: Longer texts are split into pieces bit by bit.
+#: Pieces that are encoded, and whose tokens are decoded, at a time.
+STEP = 2048
+#: Texts of more characters are split into pieces bit by bit.
 LONG_TEXT = 1 << 20
 
 
@@ -55,6 +56,8 @@ class Transducer:
         self.size = {rank: len(token) for token, rank in ranks.items()}
         self.token = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        #: No token reaches further back: what is settled is looked for and emitted after so many bytes.
+        self.look = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         # A node: the suffixes of the input that start a token, longest first; 0 is the start.
@@ -138,20 +141,23 @@ class Transducer:
         return out
 
     def encode(self, piece: bytes) -> list[int]:
-        """Ranks of one piece; a piece that is a token is that token.
+        """Ranks of one piece; a piece that is a token is that token."""
+        if (rank := self.ranks.get(piece)) is not None:
+            return [rank]
+        return [rank for block in self.emit(piece) for rank in block]
+
+    def emit(self, data: Iterable[int]) -> Iterator[list[int]]:
+        """Ranks of a stream of bytes, a block at a time as they settle.
 
         For each byte: move the suffix automaton, then take the token ending
         here that is valid after the last token before its start; exactly one
-        is.  Tokens before the border that all ways on share are emitted; no
-        later byte changes them.
+        is.  Every ``look`` bytes the tokens before the border that all ways on
+        share are emitted; no later byte changes them.
         """
-        if (rank := self.ranks.get(piece)) is not None:
-            return [rank]
-        out: list[int] = []
         ends: list[int] = []
-        node, before_all, n = 0, -1, 0
+        node, before_all, n, check = 0, -1, 0, self.look
         moves, pairs = self.moves, self.pairs
-        for byte in piece:
+        for byte in data:
             move = moves.get(node << 8 | byte)
             node, ending = move if move is not None else self._move(node, byte)
             n += 1
@@ -163,12 +169,14 @@ class Transducer:
             else:
                 raise ValueError("the ranks are not a merge order")
             ends.append(rank)
-            if n >= LOOK:
+            if n >= check:
                 settled = self._settled(node, ends)
                 if settled:
-                    out += self._path(ends, settled)
-                    before_all, ends, n = out[-1], ends[settled:], n - settled
-        return out + self._path(ends, n)
+                    block = self._path(ends, settled)
+                    yield block
+                    before_all, ends, n = block[-1], ends[settled:], n - settled
+                check = n + self.look
+        yield self._path(ends, n)
 
 
 class _Pieces(dict):
@@ -202,18 +210,20 @@ class Codec:
     def decimal(self, data: bytes) -> Iterator[str]:
         """Decimal ranks joined by commas, in blocks of pieces, so that a very long text needs little memory."""
         text = data.decode("utf-8", "surrogateescape")
-        if len(text) <= LONG_TEXT:
-            found = self.pattern.findall(text)
-            if found:
-                yield ",".join(map(self.pieces.__getitem__, found))
-            return
-        matches = self.pattern.finditer(text)
-        while found := [m[0] for m in islice(matches, 50_000)]:
-            yield ",".join(map(self.pieces.__getitem__, found))
+        found = iter(self.pattern.findall(text)) if len(text) <= LONG_TEXT else (m[0] for m in self.pattern.finditer(text))
+        while block := ",".join(map(self.pieces.__getitem__, islice(found, STEP))):
+            yield block
 
     def encode(self, data: bytes) -> list[int]:
         return [int(x) for block in self.decimal(data) for x in block.split(",")]
 
+    def decode_tokens(self, ids: Iterable[int]) -> Iterator[str]:
+        """What each rank adds to the text, as soon as it is known: whole characters only; what is left over comes last."""
+        automaton = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+        for rank in ids:
+            yield automaton.decode(self.transducer.token[rank])
+        yield automaton.decode(b"", True)
+
     def decode(self, blocks: Iterable[str]) -> Iterator[str]:
         """Text of blocks of decimal ranks; a character may span tokens and blocks."""
         automaton = codecs.getincrementaldecoder("utf-8")("surrogateescape")
@@ -264,43 +274,49 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """``docs`` with the column ``ids`` (array<int>): the encoding of each whole text.
 
     Null and empty texts give an empty array.  All other columns, repeated rows
-    and null keys stay as they are; an old column named ``ids`` is replaced.
-    Rows are independent: no shuffle, and a lost task is simply run again.
+    and null keys stay as they are, whatever their names; an old column named
+    ``ids`` is replaced.  An empty table gives no rows.  Rows are independent:
+    no shuffle, and a lost task is simply run again.
     """
     ranks = _shipped(docs, path)
-    docs = docs.drop(ids)
-    out = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def encoded(column: pa.Array) -> list[pa.Array]:
         codec = _codec(ranks, pattern)
-        found = [codec.encode(x or b"") for x in batch.column(text).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=out.names)
+        return [pa.array([codec.encode(x or b"") for x in column.cast(pa.binary()).to_pylist()], pa.list_(pa.int32()))]
 
-    return map_arrow(docs, run, out)
+    return with_text_columns(docs, text, encoded, [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", text: str = "text") -> DataFrame:
-    """``docs`` with the column ``text`` decoded from the ranks in ``ids``; null counts as no tokens."""
+    """``docs`` with the column ``text`` decoded from the ranks in ``ids``, token by token.
+
+    Null counts as no tokens and gives an empty text; an unknown rank is an
+    error.  Repeated rows and other columns stay as they are, an old ``text`` is
+    replaced, an empty table gives no rows.
+    """
     ranks = _shipped(docs, path)
-    docs = docs.drop(text)
-    out = T.StructType([*docs.schema.fields, T.StructField(text, T.StringType())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def decoded(column: pa.Array) -> list[pa.Array]:
         codec = _codec(ranks, pattern)
-        found = ["".join(codec.decode([",".join(map(str, x))] if x else [])).encode("utf-8", "surrogateescape") for x in batch.column(ids).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary()).cast(pa.string())], names=out.names)
+        found = ["".join(codec.decode_tokens(x or [])).encode("utf-8", "surrogateescape") for x in column.to_pylist()]
+        return [pa.array(found, pa.binary()).cast(pa.string())]
 
-    return map_arrow(docs, run, out)
+    return with_text_columns(docs, ids, decoded, [T.StructField(text, T.StringType())])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: str | None = None) -> DataFrame:
     """Per row: ``key``, n_tokens, ids_sha256, decoded_sha256 and, if named, ``ids``; each text is encoded and its ranks decoded again.
 
-    Null and empty texts have no tokens.  Rows are independent: no shuffle.
+    Null and empty texts have no tokens, repeated rows are rows of their own, an
+    empty table gives no rows.  Other columns are left out, so that no name can
+    clash; ``key`` may have any name but those of the results.  Rows are
+    independent: no shuffle.
     """
+    if key in ("n_tokens", "ids_sha256", "decoded_sha256", ids):
+        raise ValueError(f"the key is named like a result: {key}")
     ranks = _shipped(docs, path)
-    docs = docs.select(key, text)
-    out = T.StructType([docs.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    out = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if ids:
         out.add(ids, T.ArrayType(T.IntegerType()))
 
@@ -313,4 +329,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
             columns.append(pa.array(lists, pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=out.names)
 
-    return map_arrow(docs, run, out)
+    return map_arrow(docs, run, out).withColumnRenamed("key", key)

@@ -41,15 +41,48 @@ def test_ranks_as_the_library_gives(codec, library):
 
 
 def test_bounded_lookahead_changes_nothing(ranks, library, monkeypatch):
-    monkeypatch.setattr(bpe, "LOOK", 200)
+    monkeypatch.setattr(bpe, "STEP", 3)
     monkeypatch.setattr(bpe, "LONG_TEXT", 500)
     small = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    small.transducer.look = 9
     rng = random.Random(5)
     for _ in range(60):
         text = "".join(rng.choice(["th", "er", "ing", "x", "中", "aa"]) for _ in range(1500))
         assert small.encode(text.encode()) == library.encode_ordinary(text)
 
 
+def test_tokens_are_emitted_after_the_longest_token_has_passed(ranks, library):
+    transducer = bpe.Transducer(ranks)
+    assert transducer.look == max(map(len, ranks))
+    rng = random.Random(9)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(20_000))
+    read, seen, waiting = 0, 0, []
+
+    def stream():
+        nonlocal read
+        for byte in text.encode():
+            read += 1
+            yield byte
+
+    out = []
+    for block in transducer.emit(stream()):
+        out += block
+        seen += sum(transducer.size[r] for r in block)
+        waiting.append(read - seen)
+    assert seen == len(text) and out == library._core_bpe.encode_single_piece(text.encode())
+    assert max(waiting) <= 2 * transducer.look and len(waiting) > 100
+
+
+def test_decoding_token_by_token(codec):
+    text = "é中😀 and plain \u0301"
+    ids = codec.encode(text.encode())
+    steps = list(codec.decode_tokens(ids))
+    assert len(steps) == len(ids) + 1 and "".join(steps) == text
+    split = [codec.transducer.ranks[bytes([b])] for b in "中😀".encode()]
+    assert list(codec.decode_tokens(split)) == ["", "", "中", "", "", "", "😀", ""]
+    assert "".join(codec.decode_tokens(split[:2])).encode("utf-8", "surrogateescape") == "中".encode()[:2]
+
+
 def test_round_trip_of_any_bytes(codec):
     rng = random.Random(6)
     for _ in range(300):
