@@ -1,11 +1,11 @@
 """WARC archives compressed by record with a Zstandard dictionary.
 
 An archive is one file: a skippable frame that holds the dictionary, then one
-Zstandard frame for each record.  Each task trains the dictionary of its own
-archive from records of that archive.  Spark's text writer lays the frames
-down (an empty skippable frame serves as its line separator), so its commit
-protocol keeps archives whole when an executor is lost, and any store that
-Spark can write to will do.
+Zstandard frame for each record.  Its dictionary is built from records of that
+archive; a task's records make as many archives as their bytes need.  Spark's
+text writer lays archives down, one a file (an empty skippable frame serves as
+its line separator), so its commit protocol keeps them whole when an executor is
+lost, and any store that Spark can write to will do.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.shared import prepare, shared_folder
 
-#: Fixed values of the format: magic numbers of the dictionary frame, of dictionaries, of an empty skippable frame.
+#: Fixed values of the format: magic numbers of the dictionary frame, of a compressed frame, of an empty skippable frame.
 DICTIONARY_FRAME = 0x184D2A5D
-DICTIONARY_MAGIC = b"\x37\xa4\x30\xec"
+FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 EMPTY_FRAME = "P*M\x18\0\0\0\0"
-#: Bytes of records that a task holds back to train its dictionary from, and the dictionary's size.
+#: Bytes of records that are held back to train a dictionary from, and the dictionary's size.
 TRAIN_BYTES = 16 << 20
 DICTIONARY_BYTES = 112 << 10
-#: Bytes of payload meant for an archive; a task's rows make one archive.
+#: Bytes of records in an archive: the record that reaches them is its last.
 ARCHIVE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -44,8 +44,11 @@ def _header(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, length: int) -> bytes:
-    """A response record, or a revisit record if ``refers_to`` names the page whose response has this payload."""
+def make_record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, length: int, nth: int = 0, refers_nth: int = 0) -> bytes:
+    """A response record, or a revisit record if ``refers_to`` names the page whose response has this payload.
+
+    ``nth`` tells records of one page_id apart, ``refers_nth`` says to which of them a revisit refers.
+    """
     digest = "sha1:" + base64.b32encode(sha1).decode()
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "") or f"urn:page:{page_id}"
     own = "" if page_id is None else str(page_id)
@@ -54,8 +57,8 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, sha1: byte
         kind = [("WARC-Type", "response")]
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-        kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
-    fields = [*kind, ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("X-Page", own), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
+        kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, refers_nth)), ("X-Refers-To-Page", str(refers_to))]
+    fields = [*kind, ("WARC-Record-ID", record_id(page_id, nth)), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("X-Page", own), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return _header(fields) + block + b"\r\n\r\n"
 
 
@@ -73,15 +76,15 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, block[:cut], block[cut:]
 
 
-def train(records: list[bytes]) -> bytes | None:
-    """A dictionary from all these records; None where they are too few or too short to train from."""
-    size = min(DICTIONARY_BYTES, sum(map(len, records)) // 10)
-    if len(records) < 8 or size < 1024:
-        return None
-    try:
-        return zstandard.train_dictionary(size, records, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return None
+def train(records: list[bytes]) -> bytes:
+    """A dictionary from records: trained on all of them, or where they are too few or too alike for that, their first bytes as raw content."""
+    size = max(64, min(DICTIONARY_BYTES, sum(map(len, records)) // 10))
+    if len(records) >= 8 and size >= 1024:
+        try:
+            return zstandard.train_dictionary(size, records, k=256, d=8).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(r[: max(8, size // len(records))] for r in records)[: max(size, 8)]
 
 
 def dictionary_frame(dictionary: bytes) -> bytes:
@@ -100,11 +103,8 @@ def frames(records: Iterator[bytes], level: int = 3) -> Iterator[bytes]:
     if not held:
         return
     dictionary = train(held)
-    if dictionary:
-        yield dictionary_frame(dictionary)
-        compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
-    else:
-        compressor = zstandard.ZstdCompressor(level=level, write_checksum=True)
+    yield dictionary_frame(dictionary)
+    compressor = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
     for record in held:
         yield compressor.compress(record)
     held.clear()
@@ -112,6 +112,21 @@ def frames(records: Iterator[bytes], level: int = 3) -> Iterator[bytes]:
         yield compressor.compress(record)
 
 
+def archives(records: Iterator[bytes]) -> Iterator[bytes]:
+    """Whole archives, each of about ARCHIVE_BYTES of records and led by a dictionary of its own."""
+    records = iter(records)
+
+    def one(record: bytes) -> Iterator[bytes]:
+        size = 0
+        while record is not None:
+            yield record
+            size += len(record)
+            record = next(records, None) if size < ARCHIVE_BYTES else None
+
+    for first in records:
+        yield b"".join(frames(one(first)))
+
+
 def read_archive(data: bytes) -> Iterator[bytes]:
     """The records of an archive; other skippable frames are skipped."""
     at, decompressor = 0, zstandard.ZstdDecompressor()
@@ -122,7 +137,7 @@ def read_archive(data: bytes) -> Iterator[bytes]:
             size = int.from_bytes(view[at + 4 : at + 8], "little")
             if magic == DICTIONARY_FRAME and at == 0:
                 dictionary = bytes(view[8 : 8 + size])
-                if not dictionary.startswith(DICTIONARY_MAGIC):
+                if dictionary.startswith(FRAME_MAGIC):
                     dictionary = zstandard.ZstdDecompressor().decompress(dictionary)
                 decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
             at += 8 + size
@@ -141,20 +156,13 @@ def read_archive(data: bytes) -> Iterator[bytes]:
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records() -> Iterator[bytes]:
         for batch in batches:
-            ids, urls, digests, sizes, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            ids, urls, digests, sizes, refers, nth, refers_nth = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7))
             html = batch.column(2).cast(pa.binary())
             for i in range(batch.num_rows):
-                yield make_record(ids[i], urls[i], html[i].as_py() or b"", digests[i], refers[i], sizes[i])
+                yield make_record(ids[i], urls[i], html[i].as_py() or b"", digests[i], refers[i], sizes[i], nth[i], refers_nth[i] or 0)
 
-    held, size = [], 0
-    for frame in frames(records()):
-        held.append(frame)
-        size += len(frame)
-        if size >= 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["frame"])
+    for archive in archives(records()):
+        yield pa.RecordBatch.from_arrays([pa.array([archive], pa.large_binary()).cast(pa.binary())], names=["archive"])
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -166,16 +174,21 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     share their payload with no page_id.  Null html is an empty payload; a null
     url becomes a URN.  Equal payloads are told by SHA-1, whose largest page_id
     is aggregated before the shuffle; the join back is split by Spark if one
-    payload is very frequent.  An empty table gives no archive.
+    payload is very frequent.  Every record has an id of its own, also where
+    rows or page_ids repeat or are null.  An empty table gives no archive.
     """
     prepare(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.unhex(F.sha1(html.cast("binary"))).alias("sha1"), F.octet_length(html).cast("long").alias("bytes"))
-    last = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"))
+    # The place in the scan tells rows apart; ids are made of it, decisions are not.
+    rows = rows.withColumn("nth", F.monotonically_increasing_id())
+    last = rows.where((F.col("bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max(F.struct("page_id", "nth")).alias("last"))
     rows = rows.join(last, "sha1", "left")
-    rows = rows.select("page_id", "url", F.when(F.col("last").isNull() | F.col("page_id").eqNullSafe(F.col("last")) | (F.col("bytes") < least_bytes), F.col("html")).alias("kept"), "sha1", "bytes", F.when(~F.col("page_id").eqNullSafe(F.col("last")) & (F.col("bytes") >= least_bytes), F.col("last")).alias("refers_to"))
-    packed = rows.mapInArrow(_write, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    packed.write.option("lineSep", EMPTY_FRAME).text(path)
+    to, small = F.col("last.page_id"), F.col("bytes") < least_bytes
+    response = to.isNull() | F.col("page_id").eqNullSafe(to) | small
+    rows = rows.select("page_id", "url", F.when(response, F.col("html")).alias("kept"), "sha1", "bytes", F.when(~response, to).alias("refers_to"), "nth", F.when(~response, F.col("last.nth")).alias("refers_nth"))
+    packed = rows.mapInArrow(_write, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    packed.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +202,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not match its digest")
                 refers = fields.get("X-Refers-To-Page")
-                rows.append((int(fields["X-Page"]) if fields["X-Page"] else None, size, digest, kind, int(refers) if refers else None, fields["WARC-Target-URI"], fields["WARC-Record-ID"]))
+                rows.append((int(fields["X-Page"]) if fields["X-Page"] else None, size, digest, kind, int(refers) if refers else None, fields["WARC-Target-URI"], fields["WARC-Record-ID"], fields.get("WARC-Refers-To")))
                 if len(rows) >= 5000:
                     yield _table(rows)
                     rows = []
@@ -198,19 +211,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id"])
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "refers_to_id"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives under ``path``; every response's payload is checked against its digest.
 
-    A task reads one archive at a time, whole; archives are as large as a
-    writing task's share of compressed records.
+    A task reads one archive at a time, whole: ARCHIVE_BYTES of records, or one
+    that is longer.
     """
     prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string")
+    return files.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, refers_to_id string")
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -56,12 +56,45 @@ def test_dictionary_leads_and_helps():
     assert sum(map(len, frames[1:])) < sum(len(plain.compress(r)) for r in own)
 
 
-def test_few_records_need_no_dictionary():
-    own = records(2)
-    assert list(warc.read_archive(b"".join(warc.frames(iter(own))))) == own
+@pytest.mark.parametrize("n", [1, 2, 7, 20])
+def test_few_records_have_a_dictionary_too(n):
+    own = records(n)
+    frames = list(warc.frames(iter(own)))
+    assert list(warc.read_archive(b"".join(frames))) == own
+    assert int.from_bytes(frames[0][:4], "little") == warc.DICTIONARY_FRAME and len(frames) == n + 1
     assert list(warc.frames(iter([]))) == []
 
 
+def test_archives_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 50_000)
+    own = records(300)
+    found = list(warc.archives(iter(own)))
+    assert len(found) > 3 and [r for a in found for r in warc.read_archive(a)] == own
+    for archive in found:
+        assert int.from_bytes(archive[:4], "little") == warc.DICTIONARY_FRAME
+        assert sum(map(len, list(warc.read_archive(archive))[:-1])) < 50_000
+    monkeypatch.undo()
+    rows = [(i, "u", f"page {i} " * 400_000) for i in range(60)]
+    path = str(tmp_path / "out")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), path)
+    sizes = spark.read.format("binaryFile").load(path).select("length", "content").collect()
+    assert len(sizes) >= 3
+    for r in sizes:
+        assert sum(len(x) for x in list(warc.read_archive(bytes(r["content"])))[:-1]) < warc.ARCHIVE_BYTES
+    assert warc.read_archives(spark, path).count() == 60
+
+
+def test_every_record_has_its_own_id_and_revisits_name_one(spark):
+    rows = pages() + [(7, "again", "é中😀"), (7, "again", "é中😀"), (None, "no id", "é中😀"), (None, "no id", "é中😀"), (99, "u", "é中😀"), (99, "u", "é中😀")]
+    got = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), 0).collect()
+    assert len({r["record_id"] for r in got}) == len(got) == len(rows)
+    responses = {r["record_id"]: r for r in got if r["record_type"] == "response"}
+    for r in got:
+        if r["record_type"] == "revisit":
+            to = responses[r["refers_to_id"]]
+            assert to["page_id"] == r["refers_to"] and to["payload_digest"] == r["payload_digest"]
+
+
 def test_a_cut_archive_is_an_error():
     data = b"".join(warc.frames(iter(records(3))))
     with pytest.raises(ValueError):
