@@ -3,169 +3,112 @@
 Documents with equal texts form a group that is never split.  Groups are points
 in metadata space (first id, bytes, language, source); a node of the tree is cut
 at the distributed weighted median along its widest dimension until a leaf
-carries its target of bytes.  All nodes of a level are cut together, and each
-median is found by narrowing histograms, so the driver sees a few thousand
-sums at a time however many groups there are.
+carries its target of bytes.  All nodes of a level are cut together: groups are
+range-partitioned by node and coordinate, and a group's place among its node's
+bytes is the sum of the partitions before it and of the rows before it in its
+own.  Nodes, spans and cuts are tables; the driver sees a few numbers however
+many groups or leaves there are.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from math import ceil
+from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.shared import prepare, stored
+from lumenframe.llm.shared import prepare, released, stored
 
-#: Buckets of a histogram; each pass narrows a range of values by this factor.
-BUCKETS = 2048
 DIMENSIONS = ("d_id", "d_bytes", "d_lang", "d_source")
 
 
-@dataclass
-class _Cut:
-    """The search for a weighted median: groups order by (value, tie); [lo, hi] holds the cut, ``below`` bytes lie before it."""
+def _groups(docs: DataFrame) -> DataFrame:
+    """One row per distinct text (null is the empty text) with its weight and its point in metadata space."""
+    name = lambda c: F.xxhash64(F.coalesce(F.col(c), F.lit(""))).cast("double")
+    return docs.groupBy("text_key").agg(F.sum("size").alias("weight"), F.min(F.col("doc_id").cast("double")).alias("d_id"), F.min(F.col("size").cast("double")).alias("d_bytes"), F.min(name("lang")).alias("d_lang"), F.min(name("source")).alias("d_source")).select("text_key", "weight", *(F.coalesce(d, F.lit(0.0)).alias(d) for d in DIMENSIONS))
 
-    node: int
-    shards: int
-    total: int
-    dimension: str
-    lo: float
-    hi: float
-    goal: float
-    below: int = 0
-    value: float | None = None
-    tie: float | None = None
 
-    def settled(self) -> bool:
-        return self.tie is not None
+def _placed(rows: DataFrame, order: tuple[str, ...], by: str, weight: Column) -> DataFrame:
+    """``rows`` with ``below``: the weight of the rows of the same ``by`` that come before in ``order``, which starts with ``by``.
 
+    Rows are range-partitioned and sorted.  A window sums within a partition's
+    run of one ``by``, another over the runs of a ``by``: one row for each
+    partition that it spans.  No window holds more than a partition.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.withColumn("own_weight", weight).repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("part", F.shiftright("place", 33)))
+    runs = ranged.groupBy(by, "part").agg(F.sum("own_weight").alias("run"))
+    earlier = Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(by, "part", F.coalesce(F.sum("run").over(earlier), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy(by, "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("within", F.coalesce(F.sum("own_weight").over(inside), F.lit(0)))
+    return found.join(runs, [by, "part"]).withColumn("below", F.col("earlier") + F.col("within")).drop("own_weight", "place", "part", "within", "earlier")
 
-def _groups(docs: DataFrame) -> DataFrame:
-    """One row per distinct text (null is the empty text) with its weight and its point in metadata space."""
-    key = F.xxhash64
-    name = lambda c: key(F.coalesce(F.col(c), F.lit(""))).cast("double")
-    return docs.groupBy("text_key").agg(F.sum("size").alias("weight"), F.min(F.col("doc_id").cast("double")).alias("d_id"), F.min(F.col("size").cast("double")).alias("d_bytes"), F.min(name("lang")).alias("d_lang"), F.min(name("source")).alias("d_source")).select("text_key", "weight", *(F.coalesce(d, F.lit(0.0)).alias(d) for d in DIMENSIONS), _tie().alias("tie"))
-
-
-def _tie() -> Column:
-    """A number from the text's digest, exact in a double (48 bits), that orders groups of equal metadata."""
-    return F.conv(F.substring("text_key", 1, 12), 16, 10).cast("double")
-
-
-def _case(nodes: dict[int, Column], otherwise: Column | None = None, by: str = "node") -> Column:
-    out = None
-    for node, value in nodes.items():
-        out = F.when(F.col(by) == node, value) if out is None else out.when(F.col(by) == node, value)
-    return out if otherwise is None else out.otherwise(otherwise)
-
-
-def _bucket(x: Column, lo: float, hi: float) -> Column:
-    width = (hi - lo) or 1.0
-    return F.least(F.lit(BUCKETS - 1), F.greatest(F.lit(0), F.floor((x - F.lit(lo)) / F.lit(width) * BUCKETS))).cast("int")
-
-
-def _medians(groups: DataFrame, cuts: list[_Cut]) -> None:
-    """Find where each cut falls: first the value of its dimension, then among equal values the tie."""
-    ranges = {c.node: (0.0, float(2**48)) for c in cuts}
-    while pending := [c for c in cuts if not c.settled()]:
-        x, inside = {}, {}
-        for c in pending:
-            if c.value is None:
-                x[c.node] = _bucket(F.col(c.dimension), c.lo, c.hi)
-                inside[c.node] = F.col(c.dimension).between(c.lo, c.hi)
-            else:
-                lo, hi = ranges[c.node]
-                x[c.node] = _bucket(F.col("tie"), lo, hi)
-                inside[c.node] = (F.col(c.dimension) == c.value) & F.col("tie").between(lo, hi)
-        at = _case({c.node: F.col(c.dimension) if c.value is None else F.col("tie") for c in pending})
-        rows = groups.where(_case(inside, F.lit(False))).groupBy("node", _case(x).alias("bucket")).agg(F.sum("weight").alias("weight"), F.min(at).alias("lo"), F.max(at).alias("hi")).collect()
-        for c in pending:
-            own = sorted((r for r in rows if r["node"] == c.node), key=lambda r: r["bucket"])
-            for r in own:
-                if c.below + r["weight"] >= c.goal or r is own[-1]:
-                    break
-                c.below += r["weight"]
-            if r["lo"] < r["hi"]:
-                if c.value is None:
-                    c.lo, c.hi = r["lo"], r["hi"]
-                else:
-                    ranges[c.node] = (r["lo"], r["hi"])
-            elif c.value is None:
-                c.value = r["lo"]
-                ranges[c.node] = (0.0, float(2**48))
-            else:
-                # The group at the cut goes to the side that leaves the halves nearer to the goal.
-                c.tie = r["lo"] if c.goal - c.below > c.below + r["weight"] - c.goal else r["lo"] - 0.5
+
+def _alone(groups: DataFrame, shards: int, total: int) -> DataFrame:
+    """(text_key, alone) of groups heavier than an equal share of what heavier ones leave: each gets a shard, the last first.
+
+    At most ``shards`` groups are looked at; one window goes over them.
+    """
+    order = Window.orderBy(F.desc("weight"), "text_key")
+    top = groups.orderBy(F.desc("weight"), "text_key").limit(shards).select("text_key", "weight")
+    before = F.coalesce(F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.lit(shards + 1) - F.row_number().over(order)
+    top = top.select("text_key", "weight", left.alias("left"), (F.lit(total) - before).alias("rest"))
+    heavy = ((F.col("left") > 1) & (F.col("weight") * F.col("left") > F.col("rest"))).cast("int")
+    top = top.withColumn("alone", F.min(heavy).over(Window.orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, 0)))
+    return top.where("alone = 1").select("text_key", (F.col("left") - 1).cast("int").alias("alone"))
+
+
+def _cut(groups: DataFrame, whole: dict[str, float]) -> DataFrame:
+    """One level: every node of several shards is cut in two; ``groups`` has node (its first shard) and shards."""
+    open_groups = groups.where("shards > 1")
+    spans = open_groups.groupBy("node").agg(F.sum("weight").alias("total"), *((F.max(d) - F.min(d)).alias(f"span_{d}") for d in DIMENSIONS))
+    wide = F.array(*(F.col(f"span_{d}") / F.lit(whole[d]) for d in DIMENSIONS))
+    spans = spans.select("node", "total", F.array_position(wide, F.array_max(wide)).cast("int").alias("dimension"))
+    at = open_groups.join(spans, "node").withColumn("x", F.element_at(F.array(*DIMENSIONS), F.col("dimension")))
+    at = _placed(at, ("node", "x", "text_key"), "node", F.col("weight"))
+    half = F.floor(F.col("shards") / 2).cast("int")
+    # A group goes to the side that leaves the halves nearer to their shares.
+    right = 2 * F.col("below") + F.col("weight") >= 2.0 * F.col("total") * half / F.col("shards")
+    cut = at.select("text_key", "weight", *DIMENSIONS, F.when(right, F.col("node") + half).otherwise(F.col("node")).cast("int").alias("node"), F.when(right, F.col("shards") - half).otherwise(half).cast("int").alias("shards"))
+    return groups.where("shards = 1").unionByName(cut)
 
 
 def kd_shards(docs: DataFrame, shards: int) -> DataFrame:
     """``docs`` (doc_id, text_key, size, lang, source) with the column ``shard``, 0 to ``shards - 1``.
 
     A group heavier than an equal share of what is left gets a shard of its
-    own first, which leaves the others as even as can be.  The number of shards
-    bounds every list on the driver.
+    own first, which leaves the others as even as can be.  There is a level of
+    cuts for each doubling of ``shards``.
     """
-    groups = _groups(docs)
-    heavy = groups.orderBy(F.desc("weight"), "text_key").limit(shards).select("text_key", "weight").collect()
-    total = groups.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    left, alone = shards, []
-    for row in heavy:
-        if left > 1 and row["weight"] * left > total:
-            alone.append(row["text_key"])
-            left, total = left - 1, total - row["weight"]
-        else:
-            break
-    # node: shards first to first + n - 1 carry the number of the first; alone groups take the last shards.
-    node = F.lit(0)
-    for i, key in enumerate(alone):
-        node = F.when(F.col("text_key") == key, F.lit(shards - 1 - i)).otherwise(node)
-    groups = stored(groups.withColumn("node", node))
-    own = {0: left}
-    while any(n > 1 for n in own.values()):
-        wide = {n for n in own if own[n] > 1}
-        spans = [F.sum("weight").alias("total"), *(f(d).alias(f"{f.__name__}_{d}") for d in DIMENSIONS for f in (F.min, F.max))]
-        facts = {r["node"]: r for r in groups.where(F.col("node").isin(*wide)).groupBy("node").agg(*spans).collect()}
-        if first := facts.get(0) if len(own) == 1 else None:
-            whole = {d: (first[f"max_{d}"] - first[f"min_{d}"]) or 1.0 for d in DIMENSIONS}
-        cuts = []
-        for n in wide:
-            if r := facts.get(n):
-                dimension = max(DIMENSIONS, key=lambda d: (r[f"max_{d}"] - r[f"min_{d}"]) / whole[d])
-                cuts.append(_Cut(n, own[n], r["total"], dimension, r[f"min_{dimension}"], r[f"max_{dimension}"], r["total"] * (own[n] // 2) / own[n]))
-        _medians(groups, cuts)
-        moved = {}
-        for c in cuts:
-            right = (F.col(c.dimension) > c.value) | ((F.col(c.dimension) == c.value) & (F.col("tie") > c.tie))
-            moved[c.node] = F.when(right, F.lit(c.node + own[c.node] // 2)).otherwise(F.lit(c.node))
-        if moved:
-            groups = groups.withColumn("node", _case(moved, F.col("node")))
-        own = {k: v for n, size in own.items() for k, v in (((n, size // 2), (n + size // 2, size - size // 2)) if size > 1 else ((n, size),))}
+    groups = stored(_groups(docs))
+    facts = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("total"), *((F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS)).first()
+    alone = stored(_alone(groups, shards, facts["total"]))
+    left = shards - alone.count()
+    known = F.col("alone").isNotNull()
+    groups = groups.join(alone, "text_key", "left").select("text_key", "weight", *DIMENSIONS, F.coalesce("alone", F.lit(0)).alias("node"), F.when(known, 1).otherwise(left).alias("shards"))
+    whole = groups.where("shards > 1").agg(*((F.max(d) - F.min(d)).alias(d) for d in DIMENSIONS)).first()
+    whole = {d: whole[d] or 1.0 for d in DIMENSIONS}
+    groups = stored(groups)
+    for _ in range(ceil(log2(left)) if left > 1 else 0):
+        new = stored(_cut(groups, whole))
+        released(docs.sparkSession, groups)
+        groups = new
     return docs.join(groups.select("text_key", F.col("node").alias("shard")), "text_key")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``slot``: 0, 1, ... within each shard, in order of text_key and doc_id.
-
-    Rows are range-partitioned by shard and order; a row's slot is its place in
-    its partition's run of the shard plus the rows of that shard in earlier
-    partitions.  Only those counts (partitions x shards) reach the driver's plan.
-    """
-    spark = rows.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ("shard", "text_key", "doc_id")
-    ranged = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
-    runs = ranged.groupBy("shard", F.shiftright("place", 33).alias("part")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = runs.alias("a").join(runs.alias("b"), (F.col("a.shard") == F.col("b.shard")) & (F.col("b.part") < F.col("a.part")), "left").groupBy("a.shard", "a.part", "a.first").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    keyed = ranged.withColumn("part", F.shiftright("place", 33))
-    return keyed.join(earlier, ["shard", "part"]).withColumn("slot", F.col("place") - F.col("first") + F.col("before")).drop("part", "place", "first", "before")
+    """``rows`` with ``slot``: 0, 1, ... within each shard, in order of text_key and doc_id."""
+    return _placed(rows, ("shard", "text_key", "doc_id"), "shard", F.lit(1).cast("long")).withColumnRenamed("below", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, target_bytes: int | None = None) -> DataFrame:
     """All rows as (doc_id, size, text_crc32, law, shard, slot, grown_shard), sharded by bytes.
 
-    size: UTF-8 bytes of the text (null: none) plus 1.  With ``target_bytes``
+    ``docs`` has doc_id, text, lang and source; other columns are left out, null
+    lang and source count as empty.  size: UTF-8 bytes of the text (null: none) plus 1.  With ``target_bytes``
     the number of shards follows from the table.  The law is ``bytes``: shards
     are as near equal as whole groups allow.  Repeated rows each take a slot;
     null texts group with empty ones; an empty table gives no rows.  Texts stay
