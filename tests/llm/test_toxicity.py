@@ -15,24 +15,71 @@ def area(score, label):
     return np.mean([(p > neg).mean() + 0.5 * (p == neg).mean() for p in pos])
 
 
-def test_features_against_brute_force():
-    texts = ["", None, "ab", "Abc", "abcabcabc", "é" * 9, "xyz abc xyz"]
-    doc, feature = X.features(pa.array(texts))
-    got = sorted(zip(doc.tolist(), feature.tolist(), strict=True))
+def wanted_features(texts):
+    """(text, feature) of every n-gram of characters, by looking at each."""
     want = set()
     for d, t in enumerate(texts):
-        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+        own = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         for n in X.SIZES:
-            for i in range(len(raw) - n + 1):
-                want.add((d, int.from_bytes(raw[i : i + n]) * int(X._MUL[n]) % 2**64 >> 64 - X.BITS))
+            for i in range(len(own) - n + 1):
+                held = 0
+                for c in own[i : i + n]:
+                    held = (held * int(X._BASE) + int.from_bytes(c.encode())) % 2**64
+                want.add((d, held * int(X._MUL[n]) % 2**64 >> 64 - X.BITS))
+    return want
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 50])
+def test_features_against_brute_force(monkeypatch, segment):
+    monkeypatch.setattr(X, "SEGMENT", segment)
+    texts = ["", None, "ab", "Abc", "abcabcabc", "é" * 9, "xyz abc xyz", "中文字符测试", "a😀b中é" * 40, "Ж" * 3 + "word " * 30]
+    real = X.K.blocks
+    monkeypatch.setattr(X.K, "blocks", lambda offsets: real(offsets, segment))
+    doc, feature = X.features(pa.array(texts))
+    got = sorted(zip(doc.tolist(), feature.tolist(), strict=True))
+    want = wanted_features(texts)
     assert got == sorted(want)
-    counts = X.document_counts(pa.array(texts), np.array([0, 1, 0, 1, 0, 1, 1]), 2)
-    groups = [0, 1, 0, 1, 0, 1, 1]
+    groups = [0, 1, 0, 1, 0, 1, 1, 0, 1, 0]
+    counts = X.document_counts(pa.array(texts), np.array(groups), 2)
     for g in (0, 1):
         found = np.bincount([f for d, f in want if groups[d] == g], minlength=1 << X.BITS)
         assert (counts[g] == found).all()
 
 
+def test_the_fit_is_the_least_loss(spark):
+    """Distributed counts, picked features and the fitted weights, against the plain sums and the gradient at the solution."""
+    rng = np.random.default_rng(3)
+    texts = [(i, " ".join(rng.choice(["fine", "good", "awful", "vile", "day"], 6)) + (" vile awful" if i % 3 == 0 else "")) for i in range(90)]
+    labels = [(i, int(i % 3 == 0)) for i in range(90)]
+    model = X.fit(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    want = wanted_features([t for _, t in texts])
+    y = np.array([t for _, t in labels])
+    p, n = (np.bincount([f for d, f in want if y[d] == g], minlength=1 << X.BITS) for g in (1, 0))
+    apart = (p / y.sum() - n / (1 - y).sum()) ** 2
+    usable = (p + n >= X.LEAST_DOCS) & (apart > 0)
+    ratio = np.log((p + 1) / (p.sum() + len(p))) - np.log((n + 1) / (n.sum() + len(n)))
+    assert set(np.flatnonzero(model.weights)) <= set(np.flatnonzero(usable))
+    share = np.where(y == 1, np.sqrt(30) / (np.sqrt(30) + np.sqrt(60)) / 30, np.sqrt(60) / (np.sqrt(30) + np.sqrt(60)) / 60)
+    rows = np.zeros((90, 1 << X.BITS), dtype=bool)
+    for d, f in want:
+        rows[d, f] = True
+    z = rows @ model.weights + model.intercept
+    error = share * (1 / (1 + np.exp(-z)) - y)
+    gradient = (rows.T.astype(float) @ error)[usable] * ratio[usable] + X.PENALTY * (model.weights[usable] / ratio[usable])
+    assert np.abs(gradient).max() < 1e-3 and abs(error.sum()) < 1e-3
+
+
+def test_repeated_ids_count_once(spark):
+    docs = [(1, f"bad text number {i}") for i in range(50)] + [(i, f"good words {i}") for i in range(2, 20)]
+    labels = spark.createDataFrame([(1, 1), *((i, 0) for i in range(2, 20))], "doc_id long, toxic int")
+    seen = []
+    real = X.stored
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(X, "stored", lambda df: seen.append((out := real(df)).count()) or out)
+        X.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels)
+    assert seen[0] == 19
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
