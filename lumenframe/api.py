@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe import view as _view
 from lumenframe.operators import dense, slicing
 from lumenframe.operators import describe as _describe
-from lumenframe.schema import IMAGE, canonical, is_record_type
-from lumenframe.sources import arrays, parquet, tiff, zarr
+from lumenframe.schema import IMAGE, canonical
+from lumenframe.sources import arrays, files, parquet, tiff, zarr
 
 #: Sinks by name; ``_``, ``-`` and case do not matter.
 SINKS = {"ometiff": tiff.write_tiff, "omezarr": zarr.write_zarr, "parquet": parquet.write_parquet, "omeparquet": parquet.write_interop}
 
 
 def read(spark: SparkSession, source, **options) -> DataFrame:
-    """A table with the column ``image`` from a path, a file pattern, an array, a record or a DataFrame.
+    """A table with the column ``image`` from a path, a file pattern, an array, a record (a dict or an Arrow struct) or a DataFrame.
 
     Paths: ``<``, ``>`` or ``*`` in the file name make it a stack pattern (a
     regular expression without brackets), then ``.zarr``, ``.parquet`` and
@@ -25,6 +27,8 @@ def read(spark: SparkSession, source, **options) -> DataFrame:
     """
     if isinstance(source, DataFrame):
         return canonical(source.withColumnRenamed(parquet.record_column(source), "image"))
+    if isinstance(source, pa.StructScalar):
+        source = source.as_py()
     if isinstance(source, dict):
         return canonical(spark.createDataFrame([(source,)], _loose(source)))
     if hasattr(source, "ndim") and hasattr(source, "dtype"):
@@ -73,7 +77,13 @@ def to_numpy(df: DataFrame, dtype: str = "uint16", strict: bool = True, clamp: b
 
 
 def info(df: DataFrame, key: str | None = None) -> DataFrame:
-    """What each record is; only headers are read."""
+    """What each record is; only headers are read.
+
+    Of Parquet these are the header's leaves.  Of a table that comes right from
+    ``read`` of TIFF files, a stack or Zarr they are read anew, without decoding
+    pixels; once such a table is changed, its pixels are decoded for the change.
+    """
+    df = files.headers_of(df)
     if key is None:
         df, key = df.withColumn("image_id", df["image.id"]), "image_id"
     return _describe.describe(df, "image", key)
@@ -83,5 +93,12 @@ def crop(df: DataFrame, x_min: int, x_max: int, y_min: int, y_max: int, **select
     return slicing.slice_images(df, x_min, x_max, y_min, y_max, **selection)
 
 
-def has_records(df: DataFrame) -> bool:
-    return any(is_record_type(f.dataType) for f in df.schema.fields)
+#: What ``view`` knows, by name.
+VIEWS = {"plane": _view.plane, "volume": _view.volume, "png": _view.snapshot, "html": _view.summary_html}
+
+
+def view(df: DataFrame, how: str = "plane", **options):
+    """A viewer's data of the first record: ``plane``, ``volume`` or ``png``; ``html`` summarises records."""
+    if how not in VIEWS:
+        raise ValueError(f"unknown view {how}")
+    return VIEWS[how](df, **options)

@@ -21,6 +21,11 @@ def ints(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def crop(pixels: Column, size_x: Column, x_min: Column, x_max: Column, y_min: Column, y_max: Column) -> Column:
     """The half-open rectangle [y_min, y_max) x [x_min, x_max)."""
     return F.flatten(F.transform(ints(y_min, y_max - 1), lambda y: F.slice(pixels, (y * size_x + x_min + 1).cast("int"), (x_max - x_min).cast("int"))))
@@ -39,10 +44,6 @@ def wrap(value: Column, dtype: str) -> Column:
     return F.pmod(value.cast("long") - low, F.lit(high - low + 1)) + low
 
 
-def each(pixels: Column, function) -> Column:
-    return F.transform(pixels, function)
-
-
 def pad_or_cut(pixels: Column, n: Column) -> Column:
     """Exactly ``n`` pixels: zeros on the right, or the rest dropped."""
     n = n.cast("int")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.pixels import RANGES, clamp, ints, pad_or_cut, wrap
-from lumenframe.operators.slicing import last_plane, latest
+from lumenframe.functions.pixels import RANGES, clamp, ints, let, pad_or_cut, wrap
+from lumenframe.operators.slicing import grid, latest
 
 
 def cast_pixels(pixels: Column, dtype: str = "uint16", clamped: bool = False) -> Column:
@@ -18,6 +18,19 @@ def cast_pixels(pixels: Column, dtype: str = "uint16", clamped: bool = False) ->
     return F.transform(pixels, lambda v: clamp(v, dtype) if clamped else wrap(v, dtype))
 
 
+def dense_problem(image: Column, strict: bool = True) -> Column:
+    """Why a record has no dense grid; null if it has."""
+    meta, planes = image["pixels_meta"], image["planes"]
+    n = meta["size_x"] * meta["size_y"]
+    positive = (meta["size_x"] > 0) & (meta["size_y"] > 0) & (meta["size_z"] > 0) & (meta["size_c"] > 0) & (meta["size_t"] > 0)
+    inside = F.forall(planes, lambda p: p["t"].between(0, meta["size_t"] - 1) & p["c"].between(0, meta["size_c"] - 1) & p["z"].between(0, meta["size_z"] - 1))
+    out = F.when(~F.coalesce(positive, F.lit(False)), F.lit("all sizes must be positive")).when(~F.coalesce(inside, F.lit(True)), F.lit("a plane's index is out of range"))
+    if strict:
+        lengths = F.forall(planes, lambda p: F.size(p["pixels"]) == n)
+        out = out.when(~F.coalesce(lengths, F.lit(True)), F.lit("a plane has the wrong length"))
+    return out
+
+
 def dense(image: Column, dtype: str = "uint16", strict: bool = True, clamped: bool = False) -> Column:
     """Planes in order of t, c, z, none missing (zeros instead), each of size_y * size_x pixels.
 
@@ -25,27 +38,26 @@ def dense(image: Column, dtype: str = "uint16", strict: bool = True, clamped: bo
     length is an error, or with ``strict=False`` cut or padded with zeros.  Of
     duplicates the last counts.
     """
-    meta, planes = image["pixels_meta"], image["planes"]
-    n = meta["size_x"] * meta["size_y"]
-    positive = (meta["size_x"] > 0) & (meta["size_y"] > 0) & (meta["size_z"] > 0) & (meta["size_c"] > 0) & (meta["size_t"] > 0)
-    inside = F.forall(planes, lambda p: p["t"].between(0, meta["size_t"] - 1) & p["c"].between(0, meta["size_c"] - 1) & p["z"].between(0, meta["size_z"] - 1))
-    lengths = F.forall(planes, lambda p: F.size(p["pixels"]) == n)
+    meta = image["pixels_meta"]
+    bound = F.struct(image["planes"].alias("planes"), *(meta[f"size_{a}"].cast("int").alias(f"size_{a}") for a in "tczyx"))
 
-    def one(t: Column, c: Column, z: Column) -> Column:
-        found = last_plane(planes, t, c, z)["pixels"]
-        pixels = F.coalesce(found if strict else pad_or_cut(found, n), F.array_repeat(F.lit(0), n))
-        return F.struct(t.alias("t"), c.alias("c"), z.alias("z"), cast_pixels(pixels, dtype, clamped).alias("pixels"))
+    def gridded(b: Column) -> Column:
+        n = b["size_x"] * b["size_y"]
 
-    axes = [ints(F.lit(0), meta[f"size_{a}"].cast("int") - 1) for a in "tcz"]
-    grid = F.flatten(F.flatten(F.transform(axes[0], lambda t: F.transform(axes[1], lambda c: F.transform(axes[2], lambda z: one(t, c, z))))))
+        def place(p: Column) -> Column:
+            return (p["t"] * b["size_c"] + p["c"]) * b["size_z"] + p["z"]
 
-    def refuse(why: str) -> Column:
-        return F.raise_error(F.lit(why)).cast("array<struct<t:int,c:int,z:int,pixels:array<bigint>>>")
+        def cell(pixels: Column, k: Column) -> Column:
+            index = {"t": F.floor(k / (b["size_z"] * b["size_c"])), "c": F.floor(k / b["size_z"]) % b["size_c"], "z": k % b["size_z"]}
+            whole = F.coalesce(pixels, F.array_repeat(F.lit(0), n))
+            return F.struct(*(v.cast("int").alias(a) for a, v in index.items()), cast_pixels(whole, dtype, clamped).alias("pixels"))
 
-    out = F.when(~F.coalesce(positive, F.lit(False)), refuse("all sizes must be positive")).when(~F.coalesce(inside, F.lit(True)), refuse("a plane's index is out of range"))
-    if strict:
-        out = out.when(~F.coalesce(lengths, F.lit(True)), refuse("a plane has the wrong length"))
-    return out.otherwise(grid)
+        cells = grid(b["planes"], place, b["size_t"] * b["size_c"] * b["size_z"], lambda p: p["pixels"] if strict else pad_or_cut(p["pixels"], n))
+        return F.transform(cells, cell)
+
+    problem, found = dense_problem(image, strict), let(bound, gridded)
+    kind = "float" if dtype == "float32" else "double" if dtype == "float64" else "bigint"
+    return F.when(problem.isNull(), found).otherwise(F.raise_error(problem).cast(f"array<struct<t:int,c:int,z:int,pixels:array<{kind}>>>"))
 
 
 def dense_planes(images: DataFrame, planes: DataFrame, key: str = "image_id", strict: bool = True) -> DataFrame:
@@ -53,9 +65,9 @@ def dense_planes(images: DataFrame, planes: DataFrame, key: str = "image_id", st
 
     ``images`` has the sizes; planes out of range raise.
     """
-    grid = images.select(key, "size_x", "size_y", *(f"size_{a}" for a in "tcz"))
+    cells = images.select(key, "size_x", "size_y", *(f"size_{a}" for a in "tcz"))
     for a in "tcz":
-        grid = grid.withColumn(a, F.explode(ints(F.lit(0), F.col(f"size_{a}").cast("int") - 1)))
+        cells = cells.withColumn(a, F.explode(ints(F.lit(0), F.col(f"size_{a}").cast("int") - 1)))
     own = latest(planes, key) if "pos" in planes.columns else planes
     sizes = images.select(key, *(F.col(f"size_{a}").alias(f"limit_{a}") for a in "tcz"))
     checked = own.join(sizes, key)
@@ -64,7 +76,7 @@ def dense_planes(images: DataFrame, planes: DataFrame, key: str = "image_id", st
         ok = ok & (F.col(a) >= 0) & (F.col(a) < F.col(f"limit_{a}"))
     checked = checked.withColumn("pixels", F.when(ok, F.col("pixels")).otherwise(F.raise_error(F.lit("a plane's index is out of range")).cast("array<int>"))).select(key, "t", "c", "z", "pixels")
     n = F.col("size_x") * F.col("size_y")
-    joined = grid.join(checked, [key, "t", "c", "z"], "left")
+    joined = cells.join(checked, [key, "t", "c", "z"], "left")
     found = F.when(F.size("pixels") == n, F.col("pixels")).otherwise(F.raise_error(F.lit("a plane has the wrong length")).cast("array<int>") if strict else pad_or_cut(F.col("pixels"), n))
     return joined.select(key, "t", "c", "z", F.when(F.col("pixels").isNull(), F.array_repeat(F.lit(0), n)).otherwise(found).alias("pixels"))
 

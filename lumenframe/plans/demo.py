@@ -87,24 +87,3 @@ def evt_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = cells.groupBy("image_id", "t", "c", "z").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("i"), "value"))).alias("cells"))
     pixels = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0)))
     return filled.select("image_id", "t", "c", "z", pixels.alias("pixels"))
-
-
-def evt_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, image): nested sparse records."""
-    planes = evt_planes(spark, sf_dir)
-    listed = planes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("t", F.col("c").alias("c"), "z", "pixels"))).alias("listed"))
-    listed = listed.withColumn("planes", F.transform("listed", lambda p: F.struct(p["z"].alias("z"), p["t"].alias("t"), p["c"].cast("short").alias("c"), p["pixels"].alias("pixels"))))
-    size = {a: F.lit(n) for a, n in EVENT_SIZES.items()}
-    record = schema.image(
-        image_id=F.col("image_id").cast("string"),
-        name=F.concat(F.lit("evt-"), F.col("image_id").cast("string")),
-        acquisition_datetime=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
-        size_x=size["x"],
-        size_y=size["y"],
-        size_z=size["z"],
-        size_c=size["c"],
-        size_t=size["t"],
-        channels=schema.synthetic_channels(size["c"]),
-        planes=F.col("planes"),
-    )
-    return listed.select("image_id", record.alias("image"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,14 +121,20 @@ def image(
 ) -> Column:
     """One record from what is given; nulls and what is left out take defaults.
 
-    Without channels there is one, ``ch-0``/``default``.  Without planes there
-    is a single zero plane at (0, 0, 0).  One unit serves x, y and z.  ``clock``
+    Without channels there is one, ``ch-0``/``default``; ids, names and
+    illuminations of given ones become text.  Without planes there is a single
+    zero plane at (0, 0, 0).  One unit serves x, y and z.  ``clock``
     replaces the current UTC time as the default of the acquisition time.
     """
 
     def given(value: Column | None, default: Column) -> Column:
         return default if value is None else F.coalesce(value, default)
 
+    def texts(ch: Column) -> Column:
+        for f in ("id", "name", "illumination"):
+            ch = ch.withField(f, ch[f].cast("string"))
+        return ch
+
     one = F.lit(1)
     sx, sy, sz, sc, st = (given(v, one) for v in (size_x, size_y, size_z, size_c, size_t))
     unit = given(physical_size_unit, F.lit(DEFAULT_UNIT))
@@ -142,7 +150,7 @@ def image(
         st.cast("int").alias("size_t"),
         *(given(v, F.lit(1.0)).cast("float").alias(f"physical_size_{a}") for a, v in zip("xyz", (physical_size_x, physical_size_y, physical_size_z), strict=True)),
         *(unit.alias(f"physical_size_{a}_unit") for a in "xyz"),
-        (plain if channels is None else F.coalesce(channels, plain)).alias("channels"),
+        (plain if channels is None else F.coalesce(F.transform(channels, texts), plain)).alias("channels"),
     )
     return F.struct(
         given(type_tag, F.lit(TYPE_TAG)).alias("type"),
@@ -155,6 +163,29 @@ def image(
     )
 
 
+_KINDS = (T.NumericType, T.StringType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def _related(have: T.DataType, want: T.DataType) -> bool:
+    """Whether values of one plain type can become the other's: numbers, texts or times."""
+    return isinstance(have, T.NullType) or any(isinstance(have, k) and isinstance(want, k) for k in _KINDS)
+
+
+def _holds(value: Column, have: T.DataType, want: T.DataType) -> Column | None:
+    """Whether a value of a fitting type has nothing that is out of range for ``want``; None if it never has."""
+    if have == want:
+        return None
+    if isinstance(want, T.StructType):
+        own = {f.name: f.dataType for f in have.fields}
+        parts = [ok for f in want.fields if f.name in own and (ok := _holds(value.getField(f.name), own[f.name], f.dataType)) is not None]
+        return reduce(lambda a, b: a & b, parts, value.isNull() | F.lit(True)) if parts else None
+    if isinstance(want, T.ArrayType):
+        if _holds(F.lit(None), have.elementType, want.elementType) is None:
+            return None
+        return F.coalesce(F.forall(value, lambda x: F.coalesce(_holds(x, have.elementType, want.elementType), F.lit(True))), F.lit(True))
+    return value.isNull() | value.try_cast(want).isNotNull()
+
+
 def _fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
     """``value`` with the fields of ``want`` by name: extra ones go, missing ones are null."""
     if isinstance(want, T.StructType):
@@ -168,9 +199,10 @@ def _fit(value: Column, have: T.DataType, want: T.DataType) -> Column:
             raise TypeError(f"an array is needed, not {have.simpleString()}")
         if isinstance(want.elementType, T.StructType):
             return F.transform(value, lambda x: _fit(x, have.elementType, want.elementType))
+        if not _related(have.elementType, want.elementType):
+            raise TypeError(f"{want.simpleString()} is needed, not {have.simpleString()}")
         return value.cast(want)
-    text = isinstance(want, T.StringType)
-    if text != isinstance(have, T.StringType) and not isinstance(have, T.NullType):
+    if not _related(have, want):
         raise TypeError(f"{want.simpleString()} is needed, not {have.simpleString()}")
     return value.cast(want)
 
@@ -195,10 +227,27 @@ def pixels_in_range(planes: Column) -> Column:
 
 
 def verified(df: DataFrame, column: str = "image") -> Column:
-    """Whether each row's value is a valid record.  Never raises: a column that cannot hold records is false throughout."""
-    if column not in df.columns or not is_record_type(df.schema[column].dataType):
+    """Whether each row's value is a valid record.  Never raises.
+
+    A column that cannot hold records, by its names or by the type of any field,
+    is false throughout; a number that its field cannot hold, a pixel that is
+    not an unsigned 16-bit value, or masks make a row false.  Null is valid.
+    """
+    if column not in df.columns:
+        return F.lit(False)
+    kind, value = df.schema[column].dataType, F.col(f"`{column}`")
+    if not is_record_type(kind):
+        return F.lit(False)
+    try:
+        _fit(value, kind, IMAGE)
+    except TypeError:
         return F.lit(False)
-    return F.when(F.col(column).isNull(), F.lit(True)).otherwise(pixels_in_range(F.col(f"{column}.planes")))
+    ok = pixels_in_range(value["planes"])
+    if (fits := _holds(value, kind, IMAGE)) is not None:
+        ok = ok & fits
+    if "masks" in kind.names:
+        ok = ok & value["masks"].isNull()
+    return F.when(value.isNull(), F.lit(True)).otherwise(ok)
 
 
 def problems(image: Column) -> Column:

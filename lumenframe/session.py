@@ -10,7 +10,8 @@ from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch sent to a Python worker, the same for all plans: texts and images can be long.
 BATCH_ROWS = 1000
@@ -91,6 +92,22 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """``rows`` with their places, from 0, in the order of columns.
+
+    Rows are range-partitioned and sorted; a place is that in its partition plus
+    the rows of the partitions before.  Only a row for each partition is
+    gathered.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    runs = ranged.groupBy(F.shiftright("_place", 33).alias("_part")).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    joined = ranged.withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(runs), "_part")
+    return joined.withColumn(name, F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
+
+
 def _path_of(df: DataFrame) -> str | None:
     return df.__dict__.get("_stored_at")
 

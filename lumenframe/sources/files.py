@@ -66,3 +66,15 @@ def written(df: DataFrame, one: Callable[[dict], Iterator[tuple[str, bytes]]], o
 def safe_name(text: str) -> str:
     """A file name from an id: separators and control characters are percent-encoded."""
     return "".join(c if c.isalnum() or c in "._- " else "".join(f"%{b:02X}" for b in c.encode()) for c in text) or "_"
+
+
+def with_headers(df: DataFrame, make: Callable[[], DataFrame]) -> DataFrame:
+    """``df``, read from files, and how to read the same records without their pixels."""
+    df.__dict__["_headers"] = make
+    return df
+
+
+def headers_of(df: DataFrame) -> DataFrame:
+    """The records of a table without their pixels if it comes right from files, else the table itself."""
+    make = df.__dict__.get("_headers")
+    return df if make is None else make()

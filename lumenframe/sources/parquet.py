@@ -95,3 +95,17 @@ def write_interop(df: DataFrame, out: str, column: str = "image", column_name: s
         yield files.safe_name(row["file"]), sink.getvalue()
 
     return files.written(rows, one, out)
+
+
+def read_tags(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, key, value): the tags in the footers of Parquet files, but for those of Arrow and Spark themselves."""
+    files.prepare(spark)
+
+    def run(batches):
+        for batch in batches:
+            for place, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = pq.read_metadata(pa.BufferReader(content.as_buffer())).metadata or {}
+                own = {k.decode(): v.decode() for k, v in found.items() if not k.startswith((b"ARROW:", b"org.apache."))}
+                yield pa.RecordBatch.from_arrays([pa.array([place] * len(own), pa.string()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.string())], names=["path", "key", "value"])
+
+    return files.listing(spark, path, "*.parquet").select("path", "content").mapInArrow(run, "path string, key string, value string")

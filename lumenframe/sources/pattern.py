@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.session import numbered
+
 #: Fixed words that name an axis.
 AXIS_WORDS = {
     "C": ("c", "ch", "w", "wavelength"),
@@ -132,9 +134,10 @@ def match(listing: DataFrame, pattern: str, default_axis: str = "C", series_as:
         wanted = expand(listing.sparkSession, pattern, default_axis, series_as).withColumnRenamed("name", name)
         return listing.join(F.broadcast(wanted), name)
     regex = f"^(?:{pattern.strip()})$"
-    order = Window.partitionBy(*(by or [])).orderBy(name)
-    found = listing.where(F.col(name).rlike(regex))
-    return found.select("*", F.lit(0).alias("t"), F.lit(0).alias("c"), (F.row_number().over(order) - 1).cast("int").alias("z"))
+    found = listing.where(F.col(name).rlike(regex)).select("*", F.lit(0).alias("t"), F.lit(0).alias("c"))
+    if by:
+        return found.withColumn("z", (F.row_number().over(Window.partitionBy(*by).orderBy(name)) - 1).cast("int"))
+    return numbered(found, name, name="z").withColumn("z", F.col("z").cast("int"))
 
 
 def sizes(matched: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -267,27 +267,34 @@ def _decode(batches: Iterator[pa.RecordBatch], clamped: bool, pixels: bool) -> I
             if not tiff.pages:
                 raise ValueError(f"{path} has no pages")
             where = layout(tiff)
+            if any(tiff.shape(k) != (where.size["Y"], where.size["X"]) for k in range(len(tiff.pages))):
+                raise Unsupported(f"{path} has pages of several sizes")
             for k, (t, c, z) in enumerate(where.places if pixels else where.places[:1]):
-                if tiff.shape(k) != (where.size["Y"], where.size["X"]):
-                    raise Unsupported(f"{path} has pages of several sizes")
                 plane = u16(tiff.plane(k), clamped).ravel() if pixels else None
                 row = [path, t, c, z, plane, *(where.size[a] for a in "TCZYX"), tiff.dtype(k).newbyteorder("=").name, where.channels, [where.spacing.get(a) for a in "XYZ"], [where.unit.get(a) for a in "XYZ"], where.name]
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=names)
 
 
-def read_planes(spark: SparkSession, paths: str | list[str], glob: str | None = None, clamp_to_uint16: bool = True, recursive: bool = False) -> DataFrame:
+def read_planes(spark: SparkSession, paths: str | list[str], glob: str | None = None, clamp_to_uint16: bool = True, recursive: bool = False, pixels: bool = True) -> DataFrame:
     """A row for each page of TIFF files: its place, pixels, and the sizes and names that the file gives.
 
-    A task decodes a file at a time and passes on a page at a time.
+    A task decodes a file at a time and passes on a page at a time.  Without
+    ``pixels`` there is a row for each file, and no pixel is decoded.
     """
     files.prepare(spark)
     content = files.listing(spark, paths, glob, recursive).select("path", "content")
-    return content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, True), _READ)
+    return content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, pixels), _READ)
 
 
-def records(planes: DataFrame, by: str = "path", image_id=None, name=None, channel_names: list[str] | None = None) -> DataFrame:
-    """Records of read planes, one per ``by``: one shuffle.  Id and name default to the file's stem and name."""
-    listed = planes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed"), *(F.first(c, ignorenulls=True).alias(c) for c in ("size_t", "size_c", "size_z", "size_y", "size_x", "dtype", "channels", "spacing", "units", "title")))
+_LISTED = "array<struct<t:int,c:smallint,z:int,pixels:array<int>>>"
+
+
+def records(planes: DataFrame, by: str = "path", image_id=None, name=None, channel_names: list[str] | None = None, pixels: bool = True) -> DataFrame:
+    """Records of read planes, one per ``by``: one shuffle.  Id and name default to the file's stem and name.
+
+    Without ``pixels`` the rows are headers already, and the records have no planes.
+    """
+    listed = planes.withColumn("listed", F.array().cast(_LISTED)) if not pixels else planes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed"), *(F.first(c, ignorenulls=True).alias(c) for c in ("size_t", "size_c", "size_z", "size_y", "size_x", "dtype", "channels", "spacing", "units", "title")))
     names = F.array(*map(F.lit, channel_names)) if channel_names else F.col("channels")
     usable = F.when(F.size(names) == F.col("size_c"), names).otherwise(F.col("channels"))
     record = schema.image(
@@ -308,8 +315,12 @@ def records(planes: DataFrame, by: str = "path", image_id=None, name=None, chann
 
 
 def read_tiff(spark: SparkSession, paths: str | list[str], glob: str | None = None, channel_names: list[str] | None = None, clamp_to_uint16: bool = True, recursive: bool = False) -> DataFrame:
-    """(path, image) of TIFF files; the dtype label is the file's own."""
-    return records(read_planes(spark, paths, glob, clamp_to_uint16, recursive), channel_names=channel_names)
+    """(path, image) of TIFF files; the dtype label is the file's own.  ``api.info`` of the result decodes no pixels."""
+
+    def made(pixels: bool) -> DataFrame:
+        return records(read_planes(spark, paths, glob, clamp_to_uint16, recursive, pixels), channel_names=channel_names, pixels=pixels)
+
+    return files.with_headers(made(True), lambda: made(False))
 
 
 def ome_xml(row: dict, dtype: np.dtype, order: str) -> str:
@@ -423,25 +434,34 @@ def export_rows(df: DataFrame, column: str, dtype: str, clamp: bool, file, use_c
     )
 
 
-def _gathered(planes: DataFrame, placed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """The planes of matched files, listed in a row for each stack."""
+def _gathered(planes: DataFrame, placed: DataFrame, by: tuple[str, ...] = (), pixels: bool = True) -> DataFrame:
+    """The planes of matched files, listed in a row for each stack; without ``pixels`` from a header a file."""
     planes = planes.join(placed, "path")
     single = (F.col("size_t") == 1) & (F.col("size_c") == 1)
     planes = planes.withColumn("z", F.when(single, F.col("file_z") + F.col("z")).otherwise(F.raise_error(F.concat(F.lit("several times or channels in "), F.col("path"))).cast("int")))
+    bounds = [f(a).alias(f"{f.__name__}_{a}") for a in ("size_y", "size_x") for f in (F.min, F.max)]
+    firsts = [F.first(c).alias(c) for c in ("dtype", "spacing", "units")]
+    if not pixels:
+        return _even(planes.groupBy(*by).agg(F.max(F.col("z") + F.col("size_z") - 1).alias("last_z"), *bounds, *firsts).withColumn("listed", F.array().cast(_LISTED)))
     planes = planes.select(F.col("file_t").alias("t"), F.col("file_c").cast("short").alias("c"), "z", "pixels", "size_y", "size_x", "dtype", "spacing", "units", "file_z", *by)
     # A file that starts at a depth comes before one that spills into it.
     best = planes.groupBy(*by, "t", "c", "z").agg(F.max_by(F.struct("pixels", "size_y", "size_x", "dtype", "spacing", "units"), "file_z").alias("p")).select(*by, "t", "c", "z", "p.*")
     listed = best.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed"),
         F.max("z").alias("last_z"),
-        *(f(a).alias(f"{f.__name__}_{a}") for a in ("size_y", "size_x") for f in (F.min, F.max)),
-        *(F.first(c).alias(c) for c in ("dtype", "spacing", "units")),
+        *bounds,
+        *firsts,
     )
+    return _even(listed)
+
+
+def _even(listed: DataFrame) -> DataFrame:
+    """``listed``; an error where files of a stack differ in size."""
     even = (F.col("min_size_y") == F.col("max_size_y")) & (F.col("min_size_x") == F.col("max_size_x"))
-    return listed.withColumn("listed", F.when(even, F.col("listed")).otherwise(F.raise_error(F.lit("the files have several sizes")).cast(listed.schema["listed"].dataType)))
+    return listed.withColumn("last_z", F.when(even, F.col("last_z")).otherwise(F.raise_error(F.lit("the files have several sizes")).cast("int")))
 
 
-def _stacked(listed: DataFrame, image_id: Column, name: Column, size_t: Column, size_c: Column, size_z: Column, names: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+def _stacked(listed: DataFrame, image_id: Column, name: Column, size_t: Column, size_c: Column, size_z: Column, names: Column, keep: tuple[str, ...] = (), pixels: bool = True) -> DataFrame:
     """Records of listed planes; zero planes fill what no file has."""
     record = schema.image(
         image_id=image_id,
@@ -458,6 +478,8 @@ def _stacked(listed: DataFrame, image_id: Column, name: Column, size_t: Column,
         planes=F.transform("listed", lambda p: F.struct(p["z"].alias("z"), p["t"].alias("t"), p["c"].alias("c"), p["pixels"].alias("pixels"))),
     )
     out = listed.select(*keep, record.alias("image"))
+    if not pixels:
+        return out
     filled = F.transform(dense(F.col("image")), lambda p: F.struct(p["z"].alias("z"), p["t"].alias("t"), p["c"].cast("short").alias("c"), F.transform(p["pixels"], lambda v: v.cast("int")).alias("pixels")))
     return out.withColumn("image", F.col("image").withField("planes", filled))
 
@@ -480,9 +502,14 @@ def read_stack(spark: SparkSession, folder: str, name_pattern: str, default_axis
         raise ValueError(f"{len(channel_names)} channel names for {size['size_c']} channels")
     names = (names + [f"C{i}" for i in range(len(names), size["size_c"])])[: size["size_c"]]
     # Only the matched files are opened.
-    planes = read_planes(spark, [r["path"] for r in placed.select("path").distinct().toLocalIterator()], clamp_to_uint16=clamp_to_uint16)
+    paths = [r["path"] for r in placed.select("path").distinct().toLocalIterator()]
     own_id, own_name = F.lit(image_id or re.sub(r"(?<=.)\.[^.]*$", "", name_pattern.strip())), F.lit(name or f"{folder.rstrip('/')}/{name_pattern.strip()}")
-    return _stacked(_gathered(planes, placed), own_id, own_name, *(F.lit(size[f"size_{a}"]) for a in "tcz"), F.array(*map(F.lit, names)))
+
+    def made(pixels: bool) -> DataFrame:
+        planes = read_planes(spark, paths, clamp_to_uint16=clamp_to_uint16, pixels=pixels)
+        return _stacked(_gathered(planes, placed, pixels=pixels), own_id, own_name, *(F.lit(size[f"size_{a}"]) for a in "tcz"), F.array(*map(F.lit, names)), pixels=pixels)
+
+    return files.with_headers(made(True), lambda: made(False))
 
 
 def read_stacks(spark: SparkSession, folder: str, name_pattern: str, default_axis: str = "C", series_as: str | None = "T", clamp_to_uint16: bool = True) -> DataFrame:
@@ -497,9 +524,13 @@ def read_stacks(spark: SparkSession, folder: str, name_pattern: str, default_axi
     # Only the matched files are opened.
     content = files.listing(spark, folder, recursive=True).select("path", "content").join(found.select("path").distinct(), "path", "left_semi")
     files.prepare(spark)
-    planes = content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, True), _READ)
-    listed = _gathered(planes, placed, ("folder",)).join(pattern.sizes(found, ["folder"]), "folder")
     known = F.array(*map(F.lit, pattern.channel_names(parsed, default_axis, series_as) or [])).cast("array<string>")
     names = F.transform(F.sequence(F.lit(0), F.col("size_c") - 1), lambda i: F.coalesce(F.get(known, i), F.concat(F.lit("C"), i.cast("string"))))
     own = files.file_name(F.col("folder"))
-    return _stacked(listed, own, F.concat(F.col("folder"), F.lit(f"/{name_pattern.strip()}")), *(F.col(f"size_{a}") for a in "tcz"), names, ("folder",))
+
+    def made(pixels: bool) -> DataFrame:
+        planes = content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, pixels), _READ)
+        listed = _gathered(planes, placed, ("folder",), pixels).join(pattern.sizes(found, ["folder"]), "folder")
+        return _stacked(listed, own, F.concat(F.col("folder"), F.lit(f"/{name_pattern.strip()}")), *(F.col(f"size_{a}") for a in "tcz"), names, ("folder",), pixels)
+
+    return files.with_headers(made(True), lambda: made(False))

@@ -13,7 +13,7 @@ import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import product
+from itertools import islice, product
 from math import ceil, prod
 
 import numpy as np
@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from lumenframe import schema
 from lumenframe.functions.pixels import falsy_or
+from lumenframe.session import stored
 from lumenframe.sources import files
 from lumenframe.sources.tiff import export_rows, u16
 
 AXES = "tczyx"
 NO_CHUNK = 2**64 - 1
+#: Chunk keys that a task names at a time.
+KEYS = 1000
 
 
 class Unsupported(ValueError):
@@ -236,14 +239,22 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in batch.column(0).to_pylist():
             found = open_image(path)
             size = dict(zip(found["axes"], found["meta"]["shape"], strict=True))
-            keys = [list(at) for at in Array(found["meta"]).grid()]
             header = json.dumps(found)
-            row = {"path": path, "header": header, "dtype": Array(found["meta"]).dtype.newbyteorder("=").name, **{f"size_{a}": size.get(a, 1) for a in AXES}, "spacing": [float(found["spacing"].get(a, 1.0)) for a in "xyz"], "units": [found["units"].get(a) for a in "xyz"], "channels": found["channels"], "title": found["name"], "keys": keys}
+            row = {"path": path, "header": header, "dtype": Array(found["meta"]).dtype.newbyteorder("=").name, **{f"size_{a}": size.get(a, 1) for a in AXES}, "spacing": [float(found["spacing"].get(a, 1.0)) for a in "xyz"], "units": [found["units"].get(a) for a in "xyz"], "channels": found["channels"], "title": found["name"]}
             yield pa.RecordBatch.from_pylist([row], schema=_HEADER)
 
 
-_HEADER = pa.schema([("path", pa.string()), ("header", pa.string()), ("dtype", pa.string()), *((f"size_{a}", pa.int32()) for a in AXES), ("spacing", pa.list_(pa.float64())), ("units", pa.list_(pa.string())), ("channels", pa.list_(pa.string())), ("title", pa.string()), ("keys", pa.list_(pa.list_(pa.int32())))])
-_HEADER_SQL = "path string, header string, dtype string, size_t int, size_c int, size_z int, size_y int, size_x int, spacing array<double>, units array<string>, channels array<string>, title string, keys array<array<int>>"
+_HEADER = pa.schema([("path", pa.string()), ("header", pa.string()), ("dtype", pa.string()), *((f"size_{a}", pa.int32()) for a in AXES), ("spacing", pa.list_(pa.float64())), ("units", pa.list_(pa.string())), ("channels", pa.list_(pa.string())), ("title", pa.string())])
+_HEADER_SQL = "path string, header string, dtype string, size_t int, size_c int, size_z int, size_y int, size_x int, spacing array<double>, units array<string>, channels array<string>, title string"
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, header, key) of every chunk, KEYS of them at a time."""
+    for batch in batches:
+        for path, header in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            grid = Array(json.loads(header)["meta"]).grid()
+            while part := [list(at) for at in islice(grid, KEYS)]:
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array([header] * len(part)), pa.array(part, pa.list_(pa.int32()))], names=["path", "header", "key"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], clamped: bool) -> Iterator[pa.RecordBatch]:
@@ -272,12 +283,30 @@ def _chunks(batches: Iterator[pa.RecordBatch], clamped: bool) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
 
-def read_zarr(spark: SparkSession, paths: str | list[str], channel_names: list[str] | None = None, clamp_to_uint16: bool = True) -> DataFrame:
-    """(path, image) of OME-Zarr groups: largest level, a task for each run of chunks, one shuffle to join planes."""
+def read_zarr(spark: SparkSession, paths: str | list[str] | DataFrame, channel_names: list[str] | None = None, clamp_to_uint16: bool = True) -> DataFrame:
+    """(path, image) of OME-Zarr groups: largest level, a task for each run of chunks, one shuffle to join planes.
+
+    ``paths`` may be a table with the column ``path``.  Metadata is read once,
+    when the table is defined; ``api.info`` of the result reads no chunk.
+    """
     files.prepare(spark)
-    roots = spark.createDataFrame([(p.rstrip("/"),) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
-    heads = roots.repartition(max(1, min(200, len(roots.take(200))))).mapInArrow(_tasks, _HEADER_SQL)
-    keys = heads.select("path", "header", F.explode("keys").alias("key")).repartition(spark.sparkContext.defaultParallelism)
+    if not isinstance(paths, DataFrame):
+        paths = spark.createDataFrame([(p,) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
+    roots = paths.select(F.rtrim("path", F.lit("/")).alias("path"))
+    tasks = spark.sparkContext.defaultParallelism
+    heads = stored(roots.repartition(tasks).mapInArrow(_tasks, _HEADER_SQL))
+
+    def made(pixels: bool) -> DataFrame:
+        if pixels:
+            return _records(_listed(heads, tasks, clamp_to_uint16), channel_names)
+        return _records(heads.withColumn("listed", F.array().cast("array<struct<t:int,c:smallint,z:int,pixels:array<int>>>")), channel_names)
+
+    return files.with_headers(made(True), lambda: made(False))
+
+
+def _listed(heads: DataFrame, tasks: int, clamp_to_uint16: bool) -> DataFrame:
+    """``heads`` with all planes of each store, from its chunks."""
+    keys = heads.select("path", "header").mapInArrow(_keys, "path string, header string, key array<int>").repartition(tasks)
     cells = keys.mapInArrow(lambda batches: _chunks(batches, clamp_to_uint16), _PLANES)
     width = heads.select("path", "size_x", "size_y")
     part = F.struct("y0", "x0", "height", "width", "pixels")
@@ -285,7 +314,10 @@ def read_zarr(spark: SparkSession, paths: str | list[str], channel_names: list[s
     row = lambda y: F.flatten(F.transform(F.array_sort(F.filter("parts", lambda p: (p["y0"] <= y) & (y < p["y0"] + p["height"]))), lambda p: F.slice(p["pixels"], ((y - p["y0"]) * p["width"] + 1).cast("int"), p["width"])))
     whole = F.flatten(F.transform(F.sequence(F.lit(0), F.col("size_y") - 1), row))
     planes = planes.select("path", "t", "c", "z", F.when(F.size("parts") == 1, F.get("parts", F.lit(0))["pixels"]).otherwise(whole).alias("pixels"))
-    listed = planes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed")).join(heads.drop("keys", "header"), "path")
+    return planes.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed")).join(heads.drop("header"), "path")
+
+
+def _records(listed: DataFrame, channel_names: list[str] | None) -> DataFrame:
     names = F.array(*map(F.lit, channel_names)) if channel_names else F.col("channels")
     usable = F.when(F.size(names) == F.col("size_c"), names).otherwise(F.col("channels"))
     record = schema.image(

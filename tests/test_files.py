@@ -313,3 +313,70 @@ def test_stream_of_files(spark, tmp_path):
     finally:
         query.stop()
     assert row["n"] == 60
+
+
+def test_headers_need_no_pixels(spark, want, tmp_path):
+    tiff.write_tiff(some(spark), f"{tmp_path}/t")
+    whole = {r["image_id"]: tuple(r)[1:] for r in api.info(tiff.read_tiff(spark, f"{tmp_path}/t").select("*")).collect()}
+    # Pixel data that cannot be decoded: headers do not notice.
+    for path in (tmp_path / "t").glob("*.tiff"):
+        data, pages = bytearray(path.read_bytes()), tiff.Tiff(path.read_bytes()).pages
+        for page in pages:
+            for at, n in zip(page[tiff.STRIPS], page[tiff.STRIP_BYTES], strict=True):
+                data[at : at + n] = b"\xff" * n
+        path.write_bytes(bytes(data))
+    broken = tiff.read_tiff(spark, f"{tmp_path}/t")
+    assert {r["image_id"]: tuple(r)[1:] for r in api.info(broken).collect()} == whole and len(whole) == 24
+    with pytest.raises(Exception, match="zlib|decompress"):
+        broken.collect()
+
+
+def test_headers_of_stacks_and_stores(spark, tmp_path):
+    stack(tmp_path, {"s_C0_Z0.tif": 3, "s_C1_Z0.tif": 1})
+    df = api.read(spark, f"{tmp_path}/s_C<0-1>_Z<0>.tif")
+    assert [tuple(r) for r in api.info(df).collect()] == [tuple(r) for r in api.info(df.select("*")).collect()]
+    zarr.write_zarr(some(spark).limit(3), f"{tmp_path}/z")
+    stores = sorted(str(p) for p in (tmp_path / "z").iterdir())
+    df = zarr.read_zarr(spark, stores)
+    assert sorted(map(tuple, api.info(df).collect())) == sorted(map(tuple, api.info(df.select("*")).collect()))
+    for store in stores:
+        for path in __import__("pathlib").Path(store).rglob("c/**/*"):
+            if path.is_file():
+                path.write_bytes(b"broken")
+    assert api.info(df).count() == 3 and sorted(map(tuple, api.info(df).collect()))
+
+
+def test_arrow_records_and_views(spark):
+    import pyarrow as pa
+
+    record = api.write(some(spark).limit(1), "rows")[0]
+    scalar = pa.array([record], parquet.ARROW)[0]
+    assert pixels(api.read(spark, scalar)) == pixels(api.read(spark, record))
+    df = some(spark).limit(1)
+    assert api.view(df)[0].ndim == 2 and api.view(df, "volume")[0].ndim == 3 and api.view(df, "html").startswith("<ul>")
+    with pytest.raises(ValueError, match="unknown view"):
+        api.view(df, "hologram")
+
+
+def test_wrong_types_are_not_verified(spark):
+    for text in ("named_struct('type', 'x', 'version', '1', 'id', 'a', 'name', 'n', 'acquisition_datetime', current_timestamp(), 'pixels_meta', named_struct('size_x', 1), 'planes', array(named_struct('z', 0, 't', 0, 'c', 0, 'pixels', array('a', 'b'))))", "named_struct('type', 'x', 'version', '1', 'id', 'a', 'name', 'n', 'acquisition_datetime', current_timestamp(), 'pixels_meta', named_struct('size_x', 1), 'planes', 'none')", "named_struct('type', 'x', 'version', '1', 'id', 5, 'name', 'n', 'acquisition_datetime', 'now', 'pixels_meta', named_struct('size_x', 9000000000), 'planes', null)"):
+        df = spark.range(1).selectExpr(f"{text} AS image")
+        assert df.select(schema.verified(df)).first()[0] is False
+    wide = "named_struct('type', 'x', 'version', '1', 'id', 'a', 'name', 'n', 'acquisition_datetime', current_timestamp(), 'pixels_meta', named_struct('size_x', {}), 'planes', array(named_struct('z', 0L, 't', 0, 'c', 0, 'pixels', array({}))))"
+    for size, pixel, ok in (("4L", "65535L", True), ("9000000000", "1L", False), ("4L", "65536L", False), ("4L", "-1L", False), ("4L", "CAST(NULL AS BIGINT)", True), ("4L", "double('NaN')", False)):
+        df = spark.range(1).selectExpr(f"{wide.format(size, pixel)} AS image")
+        assert df.select(schema.verified(df)).first()[0] is ok, (size, pixel)
+
+
+def test_normalised_slices_refuse_what_records_refuse(spark):
+    from lumenframe.operators import slicing
+
+    images = spark.createDataFrame([(1, 1, 1, 1, 4, 4)], "image_id long, size_t int, size_c int, size_z int, size_y int, size_x int")
+    planes = spark.createDataFrame([(1, 0, 0, 0, 0, [1] * 10), (1, 0, 0, 0, 1, list(range(16)))], "image_id long, t int, c int, z int, pos int, pixels array<int>")
+    assert slicing.slice_planes(images, planes, 1, 3, 0, 2).first()["pixels"] == [1, 2, 5, 6]
+    with pytest.raises(Exception, match="wrong length"):
+        slicing.slice_planes(images, planes.where("pos = 0"), 0, 4, 0, 3).collect()
+    with pytest.raises(Exception, match="outside the image"):
+        slicing.slice_planes(images, planes, 0, 5, 0, 3).collect()
+    with pytest.raises(Exception, match="must keep"):
+        slicing.slice_planes(images, planes, 0, 4, 0, 3, c_indices=[3]).collect()
