@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe import model, schema
 from lumenframe.functions import pixels as px
+from lumenframe.functions import sql
 from lumenframe.operators import dense, describe, slicing
 from lumenframe.plans import demo
 from lumenframe.session import shared_folder
 from lumenframe.sources import arrays, files, parquet, pattern, tiff, zarr
+from lumenframe.streaming import images as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,10 +34,10 @@ last AS (SELECT image_id, t, c, z, y, x, value FROM (SELECT *, row_number() OVER
 KIND = "CASE WHEN st = 1 AND sz = 1 THEN '2D image' WHEN st = 1 AND sz > 1 THEN '3D image (z-stack)' WHEN st > 1 AND sz = 1 THEN 'movie / timelapse' WHEN st > 1 AND sz > 1 THEN '4D timelapse-volume' ELSE 'unknown' END"
 
 
-def query(sql: str):
+def query(oracle: str):
     def register(function):
         QUERIES[function.__name__] = function
-        ORACLE_SQL[function.__name__] = sql
+        ORACLE_SQL[function.__name__] = oracle
         return function
 
     return register
@@ -250,26 +254,26 @@ def pyramid_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", "s.*")
 
 
-@query(f"WITH {EMB} SELECT image_id, t, c, z, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST(floor(sum(value) / 4) AS INTEGER) AS value FROM px WHERE sx > 2 GROUP BY image_id, t, c, z, y // 2, x // 2")
+@query(f"WITH {EMB} SELECT image_id, t, c, z, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST(floor(sum(value) / 4) AS INTEGER) AS value FROM px GROUP BY image_id, t, c, z, y // 2, x // 2")
 def pyramid_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _emb(spark, sf_dir).where("image.pixels_meta.size_x > 2")
+    df = _emb(spark, sf_dir)
     meta = F.col("image.pixels_meta")
     planes = F.transform("image.planes", lambda p: p.withField("pixels", dense.halved(p["pixels"], meta["size_x"], meta["size_y"], 2, "mean")))
     return _long(df, planes, F.floor(meta["size_x"] / 2))
 
 
-_NAMES = "WITH d AS (SELECT DISTINCT doc_id % 60 AS k FROM documents), f AS (SELECT 'E99_C' || CASE k % 3 WHEN 0 THEN '111' WHEN 1 THEN '222' ELSE '333' END || '_ZS' || lpad(CAST(k // 3 AS VARCHAR), 3, '0') || '.tif' AS name FROM d)"
+_NAMES = "WITH d AS (SELECT doc_id AS k FROM documents), f AS (SELECT 'E99_C' || CASE k % 3 WHEN 0 THEN '111' WHEN 1 THEN '222' ELSE '333' END || '_ZS' || CASE WHEN k < 3000 THEN lpad(CAST(k // 3 AS VARCHAR), 3, '0') ELSE CAST(k // 3 AS VARCHAR) END || '.tif' AS name FROM d)"
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     name = F.concat(F.lit("E99_C"), F.when(k % 3 == 0, "111").when(k % 3 == 1, "222").otherwise("333"), F.lit("_ZS"), px.zero_padded(F.floor(k / 3), F.lit(3)), F.lit(".tif"))
-    return demo.table(spark, sf_dir, "documents").select((F.col("doc_id") % 60).alias("k")).distinct().select(name.alias("name"))
+    return demo.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")).select(name.alias("name"))
 
 
-@query(f"{_NAMES} SELECT name, 0 AS t, CASE WHEN name LIKE '%C111%' THEN 0 ELSE 1 END AS c, CAST(substr(name, 12, 3) AS INTEGER) AS z FROM f WHERE name LIKE 'E99_C111%' OR name LIKE 'E99_C222%'")
+@query(f"{_NAMES} SELECT name, 0 AS t, CASE WHEN name LIKE '%C111%' THEN 0 ELSE 1 END AS c, CAST(substr(name, 12, 3) AS INTEGER) AS z FROM f WHERE (name LIKE 'E99_C111%' OR name LIKE 'E99_C222%') AND name LIKE 'E99______ZS___.tif' AND substr(name, 12, 3) <= '321'")
 def pattern_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern.match(_listing(spark, sf_dir), "E99_C<111,222>_ZS<000-021>.tif").select("name", "t", "c", "z")
+    return pattern.match(_listing(spark, sf_dir), "E99_C<111,222>_ZS<000-321>.tif").select("name", "t", "c", "z")
 
 
 @query("SELECT doc_id, CAST(k.range AS INTEGER) AS pos, lpad(CAST(doc_id % 7 + k.range * (doc_id % 3 + 1) AS VARCHAR), 3, '0') AS choice FROM documents, range(40) k WHERE doc_id % 7 + k.range * (doc_id % 3 + 1) <= doc_id % 7 + 11")
@@ -279,14 +283,14 @@ def pattern_range_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pattern.range_choices(raw)).alias("pos", "choice"))
 
 
-@query(f"{_NAMES} SELECT name, 0 AS t, 0 AS c, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS z FROM f WHERE regexp_full_match(name, 'E99_C[12]+_ZS0[01]\\d\\.tif')")
+@query(f"{_NAMES} SELECT name, 0 AS t, 0 AS c, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS z FROM f WHERE regexp_full_match(name, 'E99_C[12]+_ZS\\d+\\.tif')")
 def pattern_regex_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern.match(_listing(spark, sf_dir), r"E99_C[12]+_ZS0[01]\d\.tif").select("name", "t", "c", "z")
+    return pattern.match(_listing(spark, sf_dir), r"E99_C[12]+_ZS\d+\.tif").select("name", "t", "c", "z")
 
 
-@query(f"{_NAMES}, m AS (SELECT CASE WHEN name LIKE '%C111%' THEN 0 ELSE 1 END AS c, CAST(substr(name, 12, 3) AS INTEGER) AS z FROM f WHERE name LIKE 'E99_C111%' OR name LIKE 'E99_C222%') SELECT 1 AS size_t, max(c) + 1 AS size_c, max(z) + 1 AS size_z FROM m WHERE z <= 21")
+@query(f"{_NAMES}, m AS (SELECT CASE WHEN name LIKE '%C111%' THEN 0 ELSE 1 END AS c, CAST(substr(name, 12, 3) AS INTEGER) AS z FROM f WHERE (name LIKE 'E99_C111%' OR name LIKE 'E99_C222%') AND name LIKE 'E99______ZS___.tif') SELECT 1 AS size_t, max(c) + 1 AS size_c, max(z) + 1 AS size_z FROM m WHERE z <= 321")
 def pattern_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pattern.sizes(pattern.match(_listing(spark, sf_dir), "E99_C<111,222>_ZS<000-021>.tif"))
+    return pattern.sizes(pattern.match(_listing(spark, sf_dir), "E99_C<111,222>_ZS<000-321>.tif"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'C' WHEN doc_id % 6 = 1 THEN 'T' WHEN doc_id % 6 = 2 THEN 'Z' WHEN doc_id % 6 = 3 THEN 'S' WHEN doc_id % 6 = 5 THEN 'Z' END AS axis FROM documents")
@@ -375,34 +379,211 @@ def zarr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     df = _emb(spark, sf_dir)
     zarr.write_zarr(df.select("image"), path, chunks=(1, 1, 2, 3, 3))
-    # The list of stores is what a user would name.
-    stores = [f"{path}/{r['image_id']}.ome.zarr" for r in df.select("image_id").toLocalIterator()]
+    stores = df.select(F.concat(F.lit(f"{path}/"), F.col("image_id").cast("string"), F.lit(".ome.zarr")).alias("path"))
     return _read_back(zarr.read_zarr(spark, stores))
 
 
-@query(f"WITH {EMB} SELECT t, c, z, y, x, value FROM px WHERE image_id = (SELECT min(image_id) FROM img WHERE label % 8 = 7)")
-def stack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_folder(spark)
-    one = _emb(spark, sf_dir).where("label % 8 = 7").orderBy("image_id").limit(1)
-    rows = one.select(F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("p.*", "w")
+def _plane_files(spark: SparkSession, sf_dir: str, path: str, wanted: Column | None = None) -> None:
+    """A folder for each image with a file for each plane (that is wanted)."""
+    rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("image_id", "p.*", "w")
 
     def file(row: dict):
         plane = np.array(row["pixels"], dtype=np.uint16).reshape(-1, row["w"])
-        yield f"s_T{row['t']}_C{row['c']}_Z{row['z']:02d}.tif", tiff.encode([plane], "")
+        yield f"{row['image_id']}/s_T{row['t']}_C{row['c']}_Z{row['z']:02d}.tif", tiff.encode([plane], "")
 
-    files.written(rows, file, path)
-    back = tiff.read_stack(spark, path, "s_T<0-1>_C<0,1>_Z<00-03>.tif").withColumn("image_id", F.lit(0))
-    return _long(back, F.col("image.planes"), F.col("image.pixels_meta.size_x")).drop("image_id")
+    files.written(rows if wanted is None else rows.where(wanted), file, path)
+
+
+@query(_ALL)
+def stack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    _plane_files(spark, sf_dir, path)
+    return _read_back(tiff.read_stacks(spark, path, "s_T<0-3>_C<0-3>_Z<00-03>.tif"))
 
 
-def stacks_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stack for every image, written and read back; equals the SQL of ``tiff_roundtrip``.  Not registered."""
+@query(f"""WITH {EMB}, k AS (SELECT * FROM px WHERE (t + c + z) % 3 <> 2), s AS (SELECT image_id, max(t) + 1 AS nt, max(c) + 1 AS nc, max(z) + 1 AS nz, any_value(sy) AS ny, any_value(sx) AS nx FROM k GROUP BY image_id),
+n AS (SELECT CAST(range AS INTEGER) AS i FROM range(8)),
+g AS (SELECT image_id, t.i AS t, c.i AS c, z.i AS z, y.i AS y, x.i AS x FROM s, n t, n c, n z, n y, n x WHERE t.i < nt AND c.i < nc AND z.i < nz AND y.i < ny AND x.i < nx)
+SELECT image_id, t, c, z, y, x, coalesce(value, 0) AS value FROM g LEFT JOIN k USING (image_id, t, c, z, y, x)""")
+def stack_missing_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes follow from the files there are; zero planes fill what is missing between them."""
     path = shared_folder(spark)
-    rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("image_id", "p.*", "w")
+    _plane_files(spark, sf_dir, path, (F.col("t") + F.col("c") + F.col("z")) % 3 != 2)
+    return _read_back(tiff.read_stacks(spark, path, "s_T<0-3>_C<0-3>_Z<00-03>.tif"))
+
+
+@query(f"WITH {EMB} SELECT image_id, chr(CAST(97 + c AS INTEGER)) AS channel, t, c, z, y, x, value FROM px")
+def stack_deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several depths spill from their own on; the choices of a bracket name the channels."""
+    path = shared_folder(spark)
+    rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w"))
+    rows = rows.groupBy("image_id", "w", "p.t", "p.c").agg(F.array_sort(F.collect_list(F.struct("p.z", "p.pixels"))).alias("deep"))
 
     def file(row: dict):
-        plane = np.array(row["pixels"], dtype=np.uint16).reshape(-1, row["w"])
-        yield f"{row['image_id']}/s_T{row['t']}_C{row['c']}_Z{row['z']:02d}.tif", tiff.encode([plane], "")
+        planes = [np.array(p["pixels"], dtype=np.uint16).reshape(-1, row["w"]) for p in row["deep"]]
+        yield f"{row['image_id']}/s_T{row['t']}_C{'abcd'[row['c']]}_Z00.tif", tiff.encode(planes, "")
 
     files.written(rows, file, path)
-    return _read_back(tiff.read_stacks(spark, path, "s_T<0-3>_C<0-3>_Z<00-03>.tif"))
+    back = tiff.read_stacks(spark, path, "s_T<0-3>_C<a,b,c,d>_Z<00>.tif")
+    rows = back.withColumns({"image_id": F.col("image.id").cast("long"), "names": F.col("image.pixels_meta.channels.name")})
+    return _long(rows, F.col("image.planes"), F.col("image.pixels_meta.size_x"), "names").withColumn("channel", F.get("names", F.col("c"))).drop("names")
+
+
+_SUMMARY = ORACLE_SQL["describe_summary"]
+
+
+@query(_SUMMARY)
+def tiff_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What TIFF files hold, from their headers: no pixel is decoded."""
+    path = shared_folder(spark)
+    tiff.write_tiff(_emb(spark, sf_dir).select("image"), path)
+    found = describe.describe(files.headers_of(tiff.read_tiff(spark, path)).withColumn("image_id", F.regexp_extract("image.id", r"^(-?\d+)", 1).cast("long")))
+    return found
+
+
+@query(_SUMMARY)
+def zarr_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What Zarr stores hold, from their metadata: no chunk is read."""
+    path = shared_folder(spark)
+    df = _emb(spark, sf_dir)
+    zarr.write_zarr(df.select("image"), path)
+    stores = df.select(F.concat(F.lit(f"{path}/"), F.col("image_id").cast("string"), F.lit(".ome.zarr")).alias("path"))
+    found = files.headers_of(zarr.read_zarr(spark, stores))
+    return describe.describe(found.withColumn("image_id", F.regexp_extract("image.id", r"^(-?\d+)", 1).cast("long")))
+
+
+@query(f"WITH {EMB} SELECT image_id, {KIND} AS kind FROM img ORDER BY image_id LIMIT 1 OFFSET 7")
+def parquet_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eighth row of a file: picking it is the feature."""
+    path = shared_folder(spark)
+    parquet.write_parquet(_emb(spark, sf_dir).repartition(1).sortWithinPartitions("image_id"), path)
+    rows = parquet.read_parquet(spark, path, row_index=7)
+    return rows.select("image_id", describe.kind(F.col("image.pixels_meta")).alias("kind"))
+
+
+@query(f"WITH {EMB} SELECT image_id, k AS key, v AS value FROM img, (VALUES ('image.type', '{schema.TYPE_TAG}'), ('image.version', '{schema.VERSION_TAG}'), ('plate', 'E99')) t(k, v)")
+def parquet_footer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    parquet.write_interop(_emb(spark, sf_dir).select("image"), path, file_metadata={"plate": "E99"})
+    tags = parquet.read_tags(spark, path)
+    return tags.select(px.stem(F.col("path")).cast("long").alias("image_id"), "key", "value")
+
+
+@query(f"WITH {EMB} SELECT image_id, '{schema.TYPE_TAG}' AS type, '{schema.VERSION_TAG}' AS version, CASE WHEN sz = 1 THEN 'XYCT' ELSE 'XYZCT' END AS dimension_order, 'uint16' AS dtype, '2024-05-06 07:08:09' AS acquired, 1 AS n_planes, sy * sx AS n_pixels, CAST(0 AS BIGINT) AS total, 'unknown' AS name FROM img")
+def record_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a record is that only its id and sizes are known of; the clock is given."""
+    rows = demo.emb_values(spark, sf_dir)
+    size = {f"size_{a}": F.col(f"size_{a}") for a in "tczyx"}
+    made = rows.select("image_id", schema.image(image_id=F.col("image_id").cast("string"), clock=F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), **size).alias("r"))
+    pixels = F.flatten("r.planes.pixels")
+    return made.select(
+        "image_id",
+        "r.type",
+        "r.version",
+        "r.pixels_meta.dimension_order",
+        F.col("r.pixels_meta.type").alias("dtype"),
+        F.date_format("r.acquisition_datetime", "yyyy-MM-dd HH:mm:ss").alias("acquired"),
+        F.size("r.planes").alias("n_planes"),
+        F.size(pixels).alias("n_pixels"),
+        F.aggregate(pixels, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"),
+        "r.name",
+    )
+
+
+@query(f"WITH {EMB} SELECT DISTINCT image_id, c AS k, CAST(c AS VARCHAR) AS id, CAST(c * 10 + label AS VARCHAR) AS name, '3' AS illumination FROM px")
+def channels_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers given for a channel's id, name and illumination become text."""
+    given = F.transform(F.sequence(F.lit(0), F.col("size_c") - 1), lambda i: F.struct(i.alias("id"), (i * 10 + F.col("label")).alias("name"), F.lit(None).cast("float").alias("emission_um"), F.lit(None).cast("float").alias("excitation_um"), F.lit(3).alias("illumination"), F.lit(None).cast("long").alias("color_rgba")))
+    rows = demo.emb_values(spark, sf_dir).select("image_id", schema.image(channels=given, size_c=F.col("size_c"))["pixels_meta"]["channels"].alias("channels"))
+    return rows.select("image_id", F.posexplode("channels").alias("k", "ch")).select("image_id", "k", "ch.id", "ch.name", "ch.illumination")
+
+
+@query(f"WITH {EMB} SELECT image_id, sx AS size_x, CAST(NULL AS FLOAT) AS physical_size_x, 'emb-' || image_id AS name, CAST(sum(value) AS BIGINT) AS total, CAST(7 AS INTEGER) AS n_fields FROM px GROUP BY image_id, sx")
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with wider numbers, extra and missing fields in another order, in the canonical schema."""
+    image = F.col("image")
+    wide = F.transform(image["planes"], lambda p: F.struct(F.lit("x").alias("extra"), p["pixels"].cast("array<bigint>").alias("pixels"), p["c"].cast("long").alias("c"), p["t"], p["z"]))
+    loose = F.struct(wide.alias("planes"), F.struct(F.lit(1).alias("more"), image["pixels_meta"]["size_x"].cast("long").alias("size_x")).alias("pixels_meta"), image["id"], image["name"])
+    df = schema.canonical(_emb(spark, sf_dir).select("image_id", loose.alias("image")))
+    meta = F.col("image.pixels_meta")
+    total = F.aggregate(F.flatten("image.planes.pixels"), F.lit(0).cast("long"), lambda a, v: a + v)
+    return df.select("image_id", meta["size_x"].alias("size_x"), meta["physical_size_x"].alias("physical_size_x"), "image.name", total.alias("total"), F.lit(len(df.schema["image"].dataType.fields)).alias("n_fields"))
+
+
+@query(f"WITH {EMB} SELECT image_id, CASE WHEN sx < 4 OR sy < 4 THEN 'crop bounds are outside the image' WHEN st < 2 THEN 'the selection must keep an index of each of t, c and z' END AS problem FROM img")
+def slice_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _emb(spark, sf_dir).select("image_id", slicing.slice_problem(F.col("image"), 0, 4, 0, 4, t_indices=[1, 9]).alias("problem"))
+
+
+@query(f"WITH {EMB} SELECT image_id, CASE WHEN sc < 2 THEN 'no channel 1' END AS problem FROM img")
+def channel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _emb(spark, sf_dir).select("image_id", slicing.channel_problem(F.col("image"), 1).alias("problem"))
+
+
+@query(f"WITH {EMB} SELECT image_id, CASE image_id % 4 WHEN 1 THEN 'all sizes must be positive' WHEN 2 THEN 'a plane''s index is out of range' WHEN 3 THEN 'a plane has the wrong length' END AS problem FROM img")
+def dense_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    which, image = F.col("image_id") % 4, F.col("image")
+    last = F.element_at(image["planes"], -1)
+    broken = (
+        F.when(which == 1, image.withField("pixels_meta.size_z", F.lit(0)))
+        .when(which == 2, image.withField("planes", F.concat(image["planes"], F.array(last.withField("t", F.lit(40))))))
+        .when(which == 3, image.withField("planes", F.concat(image["planes"], F.array(last.withField("pixels", F.array(F.lit(1)))))))
+        .otherwise(image)
+    )
+    return _emb(spark, sf_dir).select("image_id", dense.dense_problem(broken).alias("problem"))
+
+
+@query(f"WITH {EVT} SELECT image_id, t, c, z, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY image_id, t, c, z ORDER BY pos DESC) AS rn FROM cell) WHERE rn = 1")
+def latest_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event is a plane of one pixel; of duplicates the last counts."""
+    planes = demo.evt_cells(spark, sf_dir).select("image_id", "t", "c", "z", "pos", F.array("value").alias("pixels"))
+    return slicing.latest(planes).select("image_id", "t", "c", "z", "pos", F.get("pixels", F.lit(0)).alias("value"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(16777215 AS BIGINT) ELSE CAST(c_custkey // 256 AS BIGINT) END AS rgb FROM customer")
+def rgb_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", px.rgb(F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey"))).alias("rgb"))
+
+
+@query(f"WITH {EMB} SELECT DISTINCT image_id, CASE WHEN image_id % 2 = 0 THEN 'emb-' || image_id ELSE CAST(image_id AS VARCHAR) END AS title, c AS k, CASE WHEN (image_id + c) % 2 = 0 THEN 'dye' || c ELSE 'C' || c END AS channel, CASE WHEN image_id % 3 = 0 THEN 'nm' ELSE 'µm' END AS unit, CAST(CASE WHEN label % 3 = 0 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS spacing FROM px")
+def export_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, channel names, units and spacings that writers give where a record has none."""
+    image, i = F.col("image"), F.col("image_id")
+    names = F.transform(image["pixels_meta"]["channels"], lambda ch, k: ch.withField("name", F.when((i + k) % 2 == 0, ch["name"])))
+    odd = image.withField("name", F.when(i % 2 == 0, image["name"]).otherwise("")).withField("pixels_meta.channels", names)
+    odd = odd.withField("pixels_meta.physical_size_x_unit", F.when(i % 3 == 0, "nm").otherwise(""))
+    rows = tiff.export_rows(_emb(spark, sf_dir).withColumn("image", odd), "image", "uint16", False, F.col("image.id"))
+    rows = rows.select(F.col("file").cast("long").alias("image_id"), "title", F.posexplode("channels").alias("k", "channel"), F.get("units", F.lit(0)).alias("unit"), F.get("spacing", F.lit(0)).alias("spacing"))
+    return rows.select("image_id", "title", "k", "channel", "unit", "spacing")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || '.ome.tif' WHEN 1 THEN c_name || '.TIFF' WHEN 2 THEN c_name || '.zarr' ELSE '.' || c_name END AS file, CASE c_custkey % 4 WHEN 0 THEN c_name || '.ome' WHEN 1 THEN c_name WHEN 2 THEN c_name ELSE '.' || c_name END AS stem, CASE c_custkey % 4 WHEN 0 THEN '.tif' WHEN 1 THEN '.tiff' WHEN 2 THEN '.zarr' ELSE '' END AS suffix FROM customer""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name = F.col("c_custkey") % 4, F.col("c_name")
+    path = F.when(k == 0, F.concat(F.lit(" /d/e/"), name, F.lit(".ome.tif"))).when(k == 1, F.concat(name, F.lit(".TIFF "))).when(k == 2, F.concat(F.lit("s3://b/"), name, F.lit(".zarr/"))).otherwise(F.concat(F.lit("/d/."), name))
+    return demo.table(spark, sf_dir, "customer").select("c_custkey", px.file_name(path).alias("file"), px.stem(path).alias("stem"), px.suffix(F.trim(path)).alias("suffix"))
+
+
+@query(f"WITH {EMB} SELECT image_id, (sz + 1) // 2 AS size_z, (sy + 1) // 2 AS size_y, (sx + 1) // 2 AS size_x, CAST(3.0 AS DOUBLE) AS spacing_z, CAST(4.0 AS DOUBLE) AS spacing_y, CAST(6.0 AS DOUBLE) AS spacing_x FROM img")
+def spacing_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _emb(spark, sf_dir).select("image_id", slicing.downsampled_volume(F.col("image"), 0, 2, (1.5, 2.0, 3.0)).alias("v"))
+    return rows.select("image_id", *(f"v.{n}_{a}" for n in ("size", "spacing") for a in "zyx"))
+
+
+@query(f"WITH {EMB} SELECT image_id, i, {KIND} AS kind, CAST(((value - 40000) % 256 + 256) % 256 AS BIGINT) AS wrapped, CAST(least(65535, greatest(0, value * 2 - 20000)) AS BIGINT) AS clamped, CAST(value // 256 AS BIGINT) AS rgb FROM px")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(spark)
+    rows = demo.emb_values(spark, sf_dir).select("image_id", "size_t", "size_z", F.posexplode("flat").alias("i", "v"))
+    return rows.selectExpr("image_id", "i", "image_kind(size_t, size_z) AS kind", "pixel_wrap_u8(v - 40000) AS wrapped", "pixel_clamp_u16(v * 2 - 20000) AS clamped", "rgb_of_rgba(v) AS rgb")
+
+
+@query(f"WITH {EMB} SELECT CAST(c AS INTEGER) AS c, CAST(count(*) AS BIGINT) AS n, CAST(sum(value) AS BIGINT) AS total FROM px GROUP BY c")
+def stream_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by channel over image files read as a stream; the running result has a row for each channel."""
+    path, name = shared_folder(spark), f"brightness_{uuid.uuid4().hex}"
+    tiff.write_tiff(_emb(spark, sf_dir).select("image"), path)
+    sums = streaming.brightness(streaming.first_planes(streaming.stream_planes(spark, path)))
+    done = sums.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.table(name).select(F.col("c").cast("int").alias("c"), "n", "total")

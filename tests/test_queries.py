@@ -14,7 +14,3 @@ def con():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_matches_its_sql(spark, con, name):
     assert oracle.check(spark, con, queries.QUERIES[name], queries.ORACLE_SQL[name], DATA) > 0
-
-
-def test_stacks_of_all_images(spark, con):
-    assert oracle.check(spark, con, queries.stacks_roundtrip, queries.ORACLE_SQL["tiff_roundtrip"], DATA) > 0
