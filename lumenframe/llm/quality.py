@@ -191,8 +191,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[
     # At most ``sample`` pairs of numbers are broadcast.
     rows = with_counts(texts.join(F.broadcast(own), texts["doc_id"] == own["labelled_id"]).select("text", "labelled_id", "quality_label"))
     rows = rows.where(~base_failed()).select("labelled_id", "quality_label", F.struct(*(F.expr(e).alias(c) for c, e in FEATURES.items())).alias("x"))
-    # One row for each label, so at most ``sample`` reach the driver; order does not depend on the partitioning.
-    found = rows.groupBy("labelled_id", "quality_label").agg(F.min("x").alias("x")).orderBy("x", "quality_label").collect()
+    # One row for each label, so at most ``sample`` reach the driver, which sorts them: order does not depend on the partitioning.
+    found = rows.groupBy("labelled_id", "quality_label").agg(F.min("x").alias("x")).select("x", "quality_label").collect()
+    found.sort(key=lambda r: (tuple(r["x"]), r["quality_label"]))
     x = {c: np.array([r["x"][c] for r in found], dtype=float) for c in FEATURES}
     y = np.array([int(r["quality_label"] == 0) for r in found], dtype=np.int64)
     return learn(x, y)
