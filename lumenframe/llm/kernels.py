@@ -157,7 +157,3 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
         own = hashes[first[d] : first[d + 1]]
         out[begin[d]] = int(mix((own * _WORD_MUL[: len(own)]).sum(dtype=U64, keepdims=True) + U64(len(own)))[0])
     return out, begin
-
-
-def hex_sha256(data) -> str:
-    return hashlib.sha256(data).hexdigest()
