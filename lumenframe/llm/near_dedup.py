@@ -11,7 +11,8 @@ concentration as for independent sampling.
 2. Bands of the classes' sketches are shuffled by hash; lone ones go.
 3. Stars: in each bucket every class is compared with the smallest one.
 4. Blocks: where a bucket still spans components, all pairs across components
-   are compared by sketch, block against block, so that no link is lost.
+   whose sizes allow a link are compared by sketch, block against block, so
+   that no link is lost.
 5. All candidates are verified on full sets; links give the components.  Blocks
    verify their candidates themselves and pass on a spanning forest of links.
 """
@@ -37,6 +38,8 @@ COORDINATES = BANDS * ROWS
 LEAST_AGREE = int(COORDINATES * 0.75 - 5 * (COORDINATES * 0.75 * 0.25) ** 0.5)
 #: Classes in a block.
 BLOCK = 256
+#: Sizes of linked sets differ by a factor of 4/3 at most, so their layers, whole logarithms to this base, are equal or adjacent.
+LAYER = 1.34
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 2 * COORDINATES, dtype=np.uint64)
 _BAND_MUL = np.random.default_rng(78).integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _BAND_SEED = np.random.default_rng(79).integers(1, 2**63, BANDS, dtype=np.uint64)
@@ -119,7 +122,7 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-_BLOCKS = "bucket long, low int, high int, nodes array<binary>, pairs binary"
+_BLOCKS = "bucket long, low long, high long, nodes array<binary>, pairs binary"
 
 
 def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -143,10 +146,10 @@ def _block_pairs(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found.append(np.stack([np.full(len(others), i), others], axis=1))
     pairs = np.concatenate(found)
     if not len(pairs):
-        return pa.table([pa.array([], k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.binary())], names=["bucket", "low", "high", "nodes", "pairs"])
+        return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary())], names=["bucket", "low", "high", "nodes", "pairs"])
     used, back = np.unique(pairs, return_inverse=True)
     nodes = names.take(pa.array(used)).to_pylist()
-    columns = [pa.array([bucket], pa.int64()), pa.array([low], pa.int32()), pa.array([high], pa.int32()), pa.array([nodes], pa.list_(pa.binary())), pa.array([back.astype(np.int32).tobytes()], pa.binary())]
+    columns = [pa.array([bucket], pa.int64()), pa.array([low], pa.int64()), pa.array([high], pa.int64()), pa.array([nodes], pa.list_(pa.binary())), pa.array([back.astype(np.int32).tobytes()], pa.binary())]
     return pa.table(columns, names=["bucket", "low", "high", "nodes", "pairs"])
 
 
@@ -219,14 +222,15 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     heads = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("head"))
     heads = stored(heads.withColumn("node", _node(F.col("head"), F.col("class"))))
     # One row for each class: that with its smallest doc_id; repeated ids give equal rows, of which one is kept.
-    own = signed.where("class is not null").select("class", "doc_id", "sketch", "bands")
-    own = stored(own.join(heads, "class").where("doc_id <=> head").select("node", "sketch", "bands").dropDuplicates(["node"]))
-    rows = own.select("node", F.explode("bands").alias("bucket"))
+    own = signed.where("class is not null").select("class", "doc_id", F.col("n_shingles").alias("size"), "sketch", "bands")
+    own = stored(own.join(heads, "class").where("doc_id <=> head").select("node", "size", "sketch", "bands").dropDuplicates(["node"]))
+    rows = own.select("node", "size", F.explode("bands").alias("bucket"))
     # The star has the smallest doc_id: copies tend to be nearer to what they copy than to each other.
-    buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("star")).where("n > 1"))
-    members = stored(rows.join(buckets, "bucket"))
+    buckets = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("star")).where("n > 1"))
+    members = stored(rows.join(buckets.select("bucket", "star"), "bucket"))
     released(docs.sparkSession, buckets)
-    stars = stored(members.where("node <> star").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct())
+    near = 4 * F.least("size", "star.size") >= 3 * F.greatest("size", "star.size")
+    stars = stored(members.where((F.col("node") != F.col("star.node")) & near).select(F.col("star.node").alias("a"), F.col("node").alias("b")).distinct())
 
     def full_sets() -> DataFrame:
         """Sets of the nodes that share a bucket, from the texts of their first documents."""
@@ -241,14 +245,21 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     links = stored(_confirmed(stars, sets))
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = stored(placed.select("node", "bucket", "n", "component"))
+    placed = stored(placed.select("node", "bucket", F.floor(F.log(LAYER, "size")).cast("int").alias("layer"), "component"))
     released(docs.sparkSession, members, stars)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    placed = placed.join(mixed, "bucket").join(own, "node")
-    sides = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("node"), sides).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    placed = placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")})
+    # Of a bucket that spans components, how many blocks each layer has; layers are few.
+    layers = placed.groupBy("bucket", "layer").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("sides"), F.min("component").alias("low"), F.max("component").alias("high"))
+    layers = layers.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("layer", "sides"))).alias("sides"), F.min("low").alias("low"), F.max("high").alias("high"))
+    placed = placed.join(layers.where("low <> high").select("bucket", "sides"), "bucket").join(own.drop("size"), "node")
+
+    def side(layer: Column, number: Column) -> Column:
+        return F.shiftleft(layer.cast("long"), 32) + number
+
+    placed = placed.withColumn("side", side(F.col("layer"), F.pmod(F.xxhash64("node"), F.try_element_at("sides", F.col("layer")))))
+    placed = placed.withColumn("beside", F.explode(F.array(*(F.col("layer") + d for d in (-1, 0, 1)))))
+    others = F.try_element_at("sides", F.col("beside"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1))).withColumn("other", side(F.col("beside"), F.col("other")))
+    placed = placed.withColumns({"low": F.least("side", "other"), "high": F.greatest("side", "other")}).drop("sides", "layer", "beside", "other")
     block = ["bucket", "low", "high"]
     blocks = stored(placed.groupBy(*block).applyInArrow(_block_pairs, _BLOCKS))
     wanted = blocks.select(*(F.col(c).alias(f"of_{c}") for c in block), F.explode("nodes").alias("node")).join(sets, "node")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -71,6 +72,15 @@ def test_blocks_find_what_stars_miss(spark, monkeypatch):
     assert {r[2] for r in brute(docs)} == {0}
 
 
+def test_blocks_across_sizes(spark, monkeypatch):
+    # Each text holds the one before and a few words more: links lead through sizes of many layers.
+    monkeypatch.setattr(N, "BLOCK", 4)
+    base = [f"w{i}" for i in range(900)]
+    docs = [(d, " ".join(base[: 40 + int(1.12**d * 8)])) for d in range(40)]
+    assert run(spark, docs) == brute(docs)
+    assert len({int(math.log(r[1], N.LAYER)) for r in brute(docs)}) > 6
+
+
 def test_on_documents(spark):
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     docs = [(r[0], r[1]) for r in rows]
