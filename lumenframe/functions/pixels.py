@@ -22,13 +22,18 @@ def ints(first: Column, last: Column) -> Column:
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
+    """``body`` of a value that is worked out once, however often the body names it.
+
+    A plan may write an earlier projection into a later lambda, where it would be
+    worked out for each element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def crop(pixels: Column, size_x: Column, x_min: Column, x_max: Column, y_min: Column, y_max: Column) -> Column:
     """The half-open rectangle [y_min, y_max) x [x_min, x_max)."""
-    return F.flatten(F.transform(ints(y_min, y_max - 1), lambda y: F.slice(pixels, (y * size_x + x_min + 1).cast("int"), (x_max - x_min).cast("int"))))
+    rows = ints(y_min, y_max - 1)
+    return let(pixels, lambda p: F.flatten(F.transform(rows, lambda y: F.slice(p, (y * size_x + x_min + 1).cast("int"), (x_max - x_min).cast("int")))))
 
 
 def clamp(value: Column, dtype: str = "uint16") -> Column:
@@ -53,7 +58,7 @@ def pad_or_cut(pixels: Column, n: Column) -> Column:
 def strided(pixels: Column, size_x: Column, size_y: Column, step: int) -> Column:
     """Every ``step``-th pixel of every ``step``-th row."""
     rows = ints(F.lit(0), F.floor((size_y - 1) / step))
-    return F.flatten(F.transform(rows, lambda r: F.transform(ints(F.lit(0), F.floor((size_x - 1) / step)), lambda k: F.get(pixels, (r * step * size_x + k * step).cast("int")))))
+    return let(pixels, lambda p: F.flatten(F.transform(rows, lambda r: F.transform(ints(F.lit(0), F.floor((size_x - 1) / step)), lambda k: F.get(p, (r * step * size_x + k * step).cast("int"))))))
 
 
 def falsy_or(value: Column, default) -> Column:

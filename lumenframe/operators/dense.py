@@ -99,7 +99,7 @@ def halved(pixels: Column, size_x: Column, size_y: Column, factor: int, how: str
     """A plane of the next pyramid level: the first pixel of each block, or its mean rounded down."""
     new_x, new_y = F.greatest(F.lit(1), F.floor(size_x / factor)), F.greatest(F.lit(1), F.floor(size_y / factor))
 
-    def block(y: Column, x: Column) -> Column:
+    def block(pixels: Column, y: Column, x: Column) -> Column:
         if how == "nearest":
             return F.get(pixels, (y * factor * size_x + x * factor).cast("int"))
         cells = F.array(*(F.when((y * factor + j < size_y) & (x * factor + i < size_x), F.get(pixels, ((y * factor + j) * size_x + x * factor + i).cast("int"))) for j in range(factor) for i in range(factor)))
@@ -108,4 +108,4 @@ def halved(pixels: Column, size_x: Column, size_y: Column, factor: int, how: str
 
     if how not in ("nearest", "mean"):
         raise ValueError(f"unknown way to downsample: {how}")
-    return F.flatten(F.transform(ints(F.lit(0), new_y - 1), lambda y: F.transform(ints(F.lit(0), new_x - 1), lambda x: block(y, x))))
+    return let(pixels, lambda p: F.flatten(F.transform(ints(F.lit(0), new_y - 1), lambda y: F.transform(ints(F.lit(0), new_x - 1), lambda x: block(p, y, x)))))

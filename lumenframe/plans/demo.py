@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import schema
+from lumenframe.functions.pixels import let
 from lumenframe.sources.arrays import split_planes
 
 #: Sizes (t, c, z, y, x) by label modulo 8; each has 64 pixels.
@@ -85,5 +86,5 @@ def evt_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = evt_cells(spark, sf_dir).groupBy("image_id", "t", "c", "z", "y", "x").agg(F.max_by("value", "pos").alias("value"))
     width, height = EVENT_SIZES["x"], EVENT_SIZES["y"]
     filled = cells.groupBy("image_id", "t", "c", "z").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).alias("i"), "value"))).alias("cells"))
-    pixels = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0)))
+    pixels = let(F.col("cells"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))))
     return filled.select("image_id", "t", "c", "z", pixels.alias("pixels"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe import schema
-from lumenframe.functions.pixels import clamp, ints
+from lumenframe.functions.pixels import clamp, ints, let
 
 AXES = "TCZYX"
 
@@ -19,38 +19,42 @@ def dim_order_of(order: str | None, ndim: int) -> str:
     return order
 
 
-def to_tczyx(flat: Column, shape: dict[str, Column], order: str) -> Column:
-    """A flat array in axes ``order`` as a flat array in TCZYX, by index arithmetic; axes that are missing have size 1."""
+def split_planes(flat: Column, shape: dict[str, Column], order: str = AXES) -> Column:
+    """Planes, in order of t, c, z, of a flat array in axes ``order``; axes that are missing have size 1.
+
+    The array, sizes and strides are bound once, since a plan may write what they
+    are made of into every use.  Planes or rows that lie together are slices.
+    """
     order = order.upper()
     size = {a: shape[a].cast("int") if a in order else F.lit(1) for a in AXES}
-    stride, step = {}, F.lit(1)
+    stride, step = {a: F.lit(0) for a in AXES}, F.lit(1)
     for a in reversed(order):
         stride[a], step = step, step * size[a]
-    whole = size["T"] * size["C"] * size["Z"] * size["Y"] * size["X"]
+    bound = F.struct(flat.alias("flat"), *(v.alias(f"size_{a}") for a, v in size.items()), *(v.alias(f"stride_{a}") for a, v in stride.items()))
 
-    def source(i: Column) -> Column:
-        at, rest = F.lit(0), i
-        for a in reversed(AXES):
-            if a in order:
-                at = at + rest % size[a] * stride[a]
-            rest = F.floor(rest / size[a])
-        return at.cast("int")
+    def split(b: Column) -> Column:
+        n = {a: b[f"size_{a}"] for a in AXES}
+        by = {a: b[f"stride_{a}"] for a in AXES}
 
-    if [a for a in AXES if a in order] == list(order):
-        return flat
-    return F.transform(ints(F.lit(0), whole - 1), lambda i: F.get(flat, source(i)))
+        def row(first: Column) -> Column:
+            if order.endswith("X"):
+                return F.slice(b["flat"], first + 1, n["X"])
+            at = F.when(n["X"] > 0, F.sequence(first, first + (n["X"] - 1) * by["X"], by["X"])).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda i: F.get(b["flat"], i))
 
+        def pixels(first: Column) -> Column:
+            if order.endswith("YX"):
+                return F.slice(b["flat"], first + 1, n["Y"] * n["X"])
+            return F.flatten(F.transform(ints(F.lit(0), n["Y"] - 1), lambda y: row(first + y * by["Y"])))
 
-def split_planes(flat: Column, shape: dict[str, Column]) -> Column:
-    """Planes of a flat TCZYX array in order of t, c, z."""
-    size = {a: shape[a].cast("int") if a in shape else F.lit(1) for a in AXES}
-    n = size["Y"] * size["X"]
+        def plane(k: Column) -> Column:
+            z, c, t = k % n["Z"], F.floor(k / n["Z"]).cast("int") % n["C"], F.floor(k / (n["Z"] * n["C"])).cast("int")
+            first = t * by["T"] + c * by["C"] + z * by["Z"]
+            return F.struct(z.alias("z"), t.alias("t"), c.cast("short").alias("c"), let(first, pixels).cast("array<int>").alias("pixels"))
 
-    def plane(k: Column) -> Column:
-        z, c, t = k % size["Z"], F.floor(k / size["Z"]) % size["C"], F.floor(k / (size["Z"] * size["C"]))
-        return F.struct(z.cast("int").alias("z"), t.cast("int").alias("t"), c.cast("short").alias("c"), F.slice(flat, (k * n + 1).cast("int"), n).cast("array<int>").alias("pixels"))
+        return F.transform(ints(F.lit(0), n["T"] * n["C"] * n["Z"] - 1), plane)
 
-    return F.transform(ints(F.lit(0), size["T"] * size["C"] * size["Z"] - 1), plane)
+    return let(bound, split)
 
 
 def from_arrays(df: DataFrame, flat: str, shape: dict[str, Column], dim_order: str | None = None, channel_names: Column | None = None, clamp_to_uint16: bool = True, column: str = "image", **fields) -> DataFrame:
@@ -81,7 +85,7 @@ def from_arrays(df: DataFrame, flat: str, shape: dict[str, Column], dim_order: s
         size_c=size["C"],
         size_t=size["T"],
         channels=schema.synthetic_channels(size["C"], names),
-        planes=split_planes(to_tczyx(values, shape, order), size),
+        planes=split_planes(values, shape, order),
         **fields,
     )
     return df.withColumn(column, record)

@@ -2,6 +2,7 @@
 
 import json
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -287,6 +288,16 @@ def test_arrays_of_any_axes(spark):
         arrays.dim_order_of("TCZ", 3)
 
 
+def test_work_on_arrays_grows_with_their_pixels(spark):
+    """What makes an array is worked out once, not for each plane or pixel."""
+    array = np.random.default_rng(5).integers(-9, 70000, (150, 120, 6))
+    df = spark.createDataFrame([(array.ravel().tolist(),)], "flat array<bigint>").withColumn("flat", F.transform("flat", lambda v: v + 0))
+    began = time.time()
+    made = arrays.from_arrays(df, "flat", {"X": F.lit(150), "Y": F.lit(120), "C": F.lit(6)}, "XYC", image_id=F.lit("a"))
+    assert pixels(made)["a"][1] == array.transpose(2, 1, 0).clip(0, 65535).ravel().tolist()
+    assert time.time() - began < 60
+
+
 def test_read_dispatch(spark, tmp_path):
     for wrong in (3, None):
         with pytest.raises(TypeError):
