@@ -584,6 +584,7 @@ def stream_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, name = shared_folder(spark), f"brightness_{uuid.uuid4().hex}"
     tiff.write_tiff(_emb(spark, sf_dir).select("image"), path)
     sums = streaming.brightness(streaming.first_planes(streaming.stream_planes(spark, path)))
-    done = sums.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start()
-    done.awaitTermination()
+    writer = sums.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True)
+    with streaming.many_files(spark):
+        writer.start().awaitTermination()
     return spark.table(name).select(F.col("c").cast("int").alias("c"), "n", "total")

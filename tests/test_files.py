@@ -326,6 +326,22 @@ def test_stream_of_files(spark, tmp_path):
     assert row["n"] == 60
 
 
+def test_a_stream_takes_many_small_files_at_once(spark, tmp_path):
+    from lumenframe.streaming import images
+
+    want = stack(tmp_path, {f"{k}.tif": 1 for k in range(230)})
+    out = images.brightness(images.first_planes(images.stream_planes(spark, str(tmp_path))))
+    writer = out.writeStream.outputMode("complete").format("memory").queryName("many").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True)
+    before = {k: spark.conf.get(k) for k in (images._LISTING, images._OPENING)}
+    with images.many_files(spark):
+        query = writer.start()
+        query.awaitTermination()
+    assert before == {k: spark.conf.get(k) for k in before}
+    assert sum(p.numInputRows > 0 for p in query.recentProgress) == 1
+    row = spark.table("many").first()
+    assert (row["n"], row["total"]) == (230 * 20, sum(int(p.sum()) for own in want.values() for p in own))
+
+
 def test_headers_need_no_pixels(spark, want, tmp_path):
     tiff.write_tiff(some(spark), f"{tmp_path}/t")
     whole = {r["image_id"]: tuple(r)[1:] for r in api.info(tiff.read_tiff(spark, f"{tmp_path}/t").select("*")).collect()}
