@@ -385,7 +385,7 @@ def zarr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plane_files(spark: SparkSession, sf_dir: str, path: str, wanted: Column | None = None) -> None:
     """A folder for each image with a file for each plane (that is wanted)."""
-    rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("image_id", "p.*", "w")
+    rows = files.spread(_emb(spark, sf_dir)).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w")).select("image_id", "p.*", "w")
 
     def file(row: dict):
         plane = np.array(row["pixels"], dtype=np.uint16).reshape(-1, row["w"])

@@ -63,7 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Executions within leave no shuffle files behind."""
     old = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -85,7 +85,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stored_at"] = path

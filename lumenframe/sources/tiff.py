@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from lumenframe import schema
 from lumenframe.functions.pixels import falsy_or, name_of, rgb, unit_of
 from lumenframe.operators.dense import dense
+from lumenframe.session import BATCH_BYTES, BATCH_ROWS
 from lumenframe.sources import files, pattern
 
 #: Fixed numbers of the format: field types (size, struct code) and tags.
@@ -258,27 +259,53 @@ def u16(plane: np.ndarray, clamped: bool) -> np.ndarray:
 _READ = "path string, t int, c short, z int, pixels array<int>, size_t int, size_c short, size_z int, size_y int, size_x int, dtype string, channels array<string>, spacing array<double>, units array<string>, title string"
 
 
-def _decode(batches: Iterator[pa.RecordBatch], clamped: bool, pixels: bool) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int32(), pa.int16(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int16(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string()]
-    names = [f.split()[0] for f in _READ.split(", ")]
+#: What a matched file of a stack carries along.
+_PLACED = "folder string, file_t int, file_c int, file_z int"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "short": pa.int16(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
+
+
+def _pages(path: str, data: bytes, clamped: bool, pixels: bool) -> Iterator[list]:
+    """A row of ``_READ`` for each page of a file, or without ``pixels`` for its header."""
+    tiff = Tiff(data)
+    if not tiff.pages:
+        raise ValueError(f"{path} has no pages")
+    where = layout(tiff)
+    if any(tiff.shape(k) != (where.size["Y"], where.size["X"]) for k in range(len(tiff.pages))):
+        raise Unsupported(f"{path} has pages of several sizes")
+    for k, (t, c, z) in enumerate(where.places if pixels else where.places[:1]):
+        plane = u16(tiff.plane(k), clamped).ravel() if pixels else None
+        yield [path, t, c, z, plane, *(where.size[a] for a in "TCZYX"), tiff.dtype(k).newbyteorder("=").name, where.channels, [where.spacing.get(a) for a in "XYZ"], [where.unit.get(a) for a in "XYZ"], where.name]
+
+
+def _decode(batches: Iterator[pa.RecordBatch], clamped: bool, pixels: bool, root: tuple[str, str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Pages of files: of (path, content) or, with ``root``, of paths below it; further columns are carried along.
+
+    Small pages share a batch, within the bounds of all batches.
+    """
+    load, rows, held = files.loader(root) if root else None, [], 0
+
+    def batch_of(rows: list[list]) -> pa.RecordBatch:
+        fields = [f.split() for f in (_READ if len(rows[0]) == 15 else f"{_READ}, {_PLACED}").split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(values, _KINDS[kind]) for values, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[name for name, _ in fields])
+
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tiff = Tiff(content.as_py())
-            if not tiff.pages:
-                raise ValueError(f"{path} has no pages")
-            where = layout(tiff)
-            if any(tiff.shape(k) != (where.size["Y"], where.size["X"]) for k in range(len(tiff.pages))):
-                raise Unsupported(f"{path} has pages of several sizes")
-            for k, (t, c, z) in enumerate(where.places if pixels else where.places[:1]):
-                plane = u16(tiff.plane(k), clamped).ravel() if pixels else None
-                row = [path, t, c, z, plane, *(where.size[a] for a in "TCZYX"), tiff.dtype(k).newbyteorder("=").name, where.channels, [where.spacing.get(a) for a in "XYZ"], [where.unit.get(a) for a in "XYZ"], where.name]
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=names)
+        paths, rest = batch.column(0).to_pylist(), list(zip(*(c.to_pylist() for c in batch.columns[1 if root else 2 :]), strict=True))
+        for i, path in enumerate(paths):
+            for row in _pages(path, load(path) if root else batch.column(1)[i].as_py(), clamped, pixels):
+                size = row[4].nbytes if pixels else 0
+                if rows and (len(rows) == BATCH_ROWS or held + size > BATCH_BYTES):
+                    yield batch_of(rows)
+                    rows, held = [], 0
+                rows.append([*row, *(rest[i] if rest else ())])
+                held += size
+    if rows:
+        yield batch_of(rows)
 
 
 def read_planes(spark: SparkSession, paths: str | list[str], glob: str | None = None, clamp_to_uint16: bool = True, recursive: bool = False, pixels: bool = True) -> DataFrame:
     """A row for each page of TIFF files: its place, pixels, and the sizes and names that the file gives.
 
-    A task decodes a file at a time and passes on a page at a time.  Without
+    A task decodes a file at a time and passes on a batch of pages.  Without
     ``pixels`` there is a row for each file, and no pixel is decoded.
     """
     files.prepare(spark)
@@ -434,23 +461,26 @@ def export_rows(df: DataFrame, column: str, dtype: str, clamp: bool, file, use_c
     )
 
 
-def _gathered(planes: DataFrame, placed: DataFrame, by: tuple[str, ...] = (), pixels: bool = True) -> DataFrame:
-    """The planes of matched files, listed in a row for each stack; without ``pixels`` from a header a file."""
-    planes = planes.join(placed, "path")
+def _gathered(planes: DataFrame, by: tuple[str, ...] = (), pixels: bool = True) -> DataFrame:
+    """The planes of placed files, listed in a row for each stack with its sizes; without ``pixels`` from a header a file.  One shuffle."""
     single = (F.col("size_t") == 1) & (F.col("size_c") == 1)
     planes = planes.withColumn("z", F.when(single, F.col("file_z") + F.col("z")).otherwise(F.raise_error(F.concat(F.lit("several times or channels in "), F.col("path"))).cast("int")))
     bounds = [f(a).alias(f"{f.__name__}_{a}") for a in ("size_y", "size_x") for f in (F.min, F.max)]
     firsts = [F.first(c).alias(c) for c in ("dtype", "spacing", "units")]
+    sizes = [(F.max(f"file_{a}") + 1).cast("int").alias(f"size_{a}") for a in "tcz"]
     if not pixels:
-        return _even(planes.groupBy(*by).agg(F.max(F.col("z") + F.col("size_z") - 1).alias("last_z"), *bounds, *firsts).withColumn("listed", F.array().cast(_LISTED)))
-    planes = planes.select(F.col("file_t").alias("t"), F.col("file_c").cast("short").alias("c"), "z", "pixels", "size_y", "size_x", "dtype", "spacing", "units", "file_z", *by)
+        return _even(planes.groupBy(*by).agg(F.max(F.col("z") + F.col("size_z") - 1).alias("last_z"), *bounds, *firsts, *sizes).withColumn("listed", F.array().cast(_LISTED)))
+    planes = planes.select("file_t", "file_c", "z", "pixels", "size_y", "size_x", "dtype", "spacing", "units", "file_z", *by)
+    if by:
+        planes = planes.repartition(*by)
     # A file that starts at a depth comes before one that spills into it.
-    best = planes.groupBy(*by, "t", "c", "z").agg(F.max_by(F.struct("pixels", "size_y", "size_x", "dtype", "spacing", "units"), "file_z").alias("p")).select(*by, "t", "c", "z", "p.*")
+    best = planes.groupBy(*by, "file_t", "file_c", "z").agg(F.max_by(F.struct("pixels", "size_y", "size_x", "dtype", "spacing", "units"), "file_z").alias("p"), F.max("file_z").alias("file_z")).select(*by, "file_t", "file_c", "file_z", "z", "p.*")
     listed = best.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("t", "c", "z", "pixels"))).alias("listed"),
+        F.array_sort(F.collect_list(F.struct(F.col("file_t").alias("t"), F.col("file_c").cast("short").alias("c"), "z", "pixels"))).alias("listed"),
         F.max("z").alias("last_z"),
         *bounds,
         *firsts,
+        *sizes,
     )
     return _even(listed)
 
@@ -507,7 +537,7 @@ def read_stack(spark: SparkSession, folder: str, name_pattern: str, default_axis
 
     def made(pixels: bool) -> DataFrame:
         planes = read_planes(spark, paths, clamp_to_uint16=clamp_to_uint16, pixels=pixels)
-        return _stacked(_gathered(planes, placed, pixels=pixels), own_id, own_name, *(F.lit(size[f"size_{a}"]) for a in "tcz"), F.array(*map(F.lit, names)), pixels=pixels)
+        return _stacked(_gathered(planes.join(placed, "path"), pixels=pixels), own_id, own_name, *(F.lit(size[f"size_{a}"]) for a in "tcz"), F.array(*map(F.lit, names)), pixels=pixels)
 
     return files.with_headers(made(True), lambda: made(False))
 
@@ -515,22 +545,21 @@ def read_stack(spark: SparkSession, folder: str, name_pattern: str, default_axis
 def read_stacks(spark: SparkSession, folder: str, name_pattern: str, default_axis: str = "C", series_as: str | None = "T", clamp_to_uint16: bool = True) -> DataFrame:
     """(folder, image): a record from each folder at or below ``folder`` whose files a pattern names, as ``read_stack`` reads one.
 
-    Sizes are a stack's own; the id is the folder's name.  Stacks are read
-    together: no job and no list on the driver for each.
+    Sizes are a stack's own; the id is the folder's name.  Stacks are listed and
+    read together, by tasks: no job and no list on the driver for each.
     """
-    parsed = pattern.parse(name_pattern)
-    found = pattern.match(files.listing(spark, folder, recursive=True).select("path", "name", "folder"), name_pattern, default_axis, series_as, by=["folder"])
-    placed = found.select("path", "folder", F.col("t").alias("file_t"), F.col("c").alias("file_c"), F.col("z").alias("file_z"))
+    parsed, root = pattern.parse(name_pattern), files.root_of(spark, folder)
+    found = pattern.match(files.walked(spark, folder), name_pattern, default_axis, series_as, by=["folder"])
     # Only the matched files are opened.
-    content = files.listing(spark, folder, recursive=True).select("path", "content").join(found.select("path").distinct(), "path", "left_semi")
-    files.prepare(spark)
+    placed = found.select("path", "folder", F.col("t").alias("file_t"), F.col("c").alias("file_c"), F.col("z").alias("file_z"))
+    if root is None:
+        placed = files.listing(spark, folder, recursive=True).select("path", "content").join(placed, "path")
     known = F.array(*map(F.lit, pattern.channel_names(parsed, default_axis, series_as) or [])).cast("array<string>")
     names = F.transform(F.sequence(F.lit(0), F.col("size_c") - 1), lambda i: F.coalesce(F.get(known, i), F.concat(F.lit("C"), i.cast("string"))))
     own = files.file_name(F.col("folder"))
 
     def made(pixels: bool) -> DataFrame:
-        planes = content.mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, pixels), _READ)
-        listed = _gathered(planes, placed, ("folder",), pixels).join(pattern.sizes(found, ["folder"]), "folder")
-        return _stacked(listed, own, F.concat(F.col("folder"), F.lit(f"/{name_pattern.strip()}")), *(F.col(f"size_{a}") for a in "tcz"), names, ("folder",), pixels)
+        planes = files.spread(placed).mapInArrow(lambda batches: _decode(batches, clamp_to_uint16, pixels, root), f"{_READ}, {_PLACED}")
+        return _stacked(_gathered(planes, ("folder",), pixels), own, F.concat(F.col("folder"), F.lit(f"/{name_pattern.strip()}")), *(F.col(f"size_{a}") for a in "tcz"), names, ("folder",), pixels)
 
     return files.with_headers(made(True), lambda: made(False))

@@ -267,6 +267,23 @@ def test_stacks_of_a_folder(spark, tmp_path):
     assert want and [c["name"] for c in got.where("image.id = 'one'").first()["image"]["pixels_meta"]["channels"]] == ["red", "blue"]
 
 
+def test_tasks_do_not_grow_with_stacks(spark, tmp_path):
+    """Many small stacks share a task: neither listing nor reading takes a task for each."""
+    data = tiff.encode([np.zeros((2, 2), np.uint16)], "")
+    for k in range(400):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}/p_Z0.tif").write_bytes(data)
+    context = spark.sparkContext
+    context.setJobGroup("stacks", "stacks")
+    try:
+        assert tiff.read_stacks(spark, str(tmp_path), "p_Z<0-1>.tif").select("image.id").distinct().count() == 400
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    track = context.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("stacks") for s in track.getJobInfo(j).stageIds}
+    assert sum(track.getStageInfo(s).numTasks for s in stages if track.getStageInfo(s)) < 400
+
+
 def test_stack_by_regular_expression(spark, tmp_path):
     want = stack(tmp_path, {"b2.tif": 1, "b1.tif": 1, "c1.tif": 1})
     (size, flat) = next(iter(pixels(api.read(spark, f"{tmp_path}/b.*[.]tif")).values()))
