@@ -284,6 +284,21 @@ def test_tasks_do_not_grow_with_stacks(spark, tmp_path):
     assert sum(track.getStageInfo(s).numTasks for s in stages if track.getStageInfo(s)) < 400
 
 
+def test_stacks_are_listed_and_read_by_tasks(spark, tmp_path):
+    """The driver has no list of the files, and what tasks list is what Spark's readers would."""
+    for name in ("r/one", "r/two/deep er", "r/two/_left", "r/.hidden", "r/k=1"):
+        (tmp_path / name).mkdir(parents=True)
+        stack(tmp_path / name, {"p_C0_Z00.tif": 2, "p_C1_Z00.tif": 1, ".p_C2_Z00.tif": 1})
+    pattern = "p_C<0-2>_Z<00-01>.tif"
+    got, listed = tiff.read_stacks(spark, f"{tmp_path}/r", pattern), tiff.read_stacks(spark, f"{tmp_path}/[r]", pattern)
+    assert got.inputFiles() == [] and len(listed.inputFiles()) > 0
+    assert pixels(got) == pixels(listed) and set(pixels(got)) == {"one", "deep er", "k=1"}
+    assert sorted(map(tuple, got.select("folder", "image.name").collect())) == sorted(map(tuple, listed.select("folder", "image.name").collect()))
+    assert sorted(map(tuple, api.info(got).collect())) == sorted(map(tuple, api.info(listed.select("*")).collect()))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tiff.read_stacks(spark, f"{tmp_path}/none", pattern).collect()
+
+
 def test_stack_by_regular_expression(spark, tmp_path):
     want = stack(tmp_path, {"b2.tif": 1, "b1.tif": 1, "c1.tif": 1})
     (size, flat) = next(iter(pixels(api.read(spark, f"{tmp_path}/b.*[.]tif")).values()))
