@@ -416,7 +416,7 @@ def stack_missing_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stack_deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of several depths spill from their own on; the choices of a bracket name the channels."""
     path = shared_folder(spark)
-    rows = _emb(spark, sf_dir).select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w"))
+    rows = files.spread(_emb(spark, sf_dir), "image_id").select("image_id", F.explode("image.planes").alias("p"), F.col("image.pixels_meta.size_x").alias("w"))
     rows = rows.groupBy("image_id", "w", "p.t", "p.c").agg(F.array_sort(F.collect_list(F.struct("p.z", "p.pixels"))).alias("deep"))
 
     def file(row: dict):

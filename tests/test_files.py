@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lumenframe import api, schema
 from lumenframe.operators.dense import dense
 from lumenframe.plans import demo
-from lumenframe.sources import arrays, parquet, tiff, zarr
+from lumenframe.sources import arrays, files, parquet, tiff, zarr
 
 DATA = "/root/testdata/sf0.001"
 
@@ -299,6 +299,14 @@ def test_stacks_are_listed_and_read_by_tasks(spark, tmp_path):
         tiff.read_stacks(spark, f"{tmp_path}/none", pattern).collect()
 
 
+def test_rows_are_dealt_before_they_become_files(spark, tmp_path):
+    """A table of one partition is written by several tasks, an image's rows by one."""
+    rows = spark.range(0, 4000, 1, 1).select((F.col("id") % 200).alias("image_id"))
+    dealt = files.spread(rows, "image_id").select("image_id", F.spark_partition_id().alias("task")).distinct()
+    assert dealt.count() == 200 and dealt.select("task").distinct().count() > 8
+    assert files.spread(rows).select(F.spark_partition_id().alias("task")).distinct().count() >= 32
+
+
 def test_stack_by_regular_expression(spark, tmp_path):
     want = stack(tmp_path, {"b2.tif": 1, "b1.tif": 1, "c1.tif": 1})
     (size, flat) = next(iter(pixels(api.read(spark, f"{tmp_path}/b.*[.]tif")).values()))
