@@ -424,7 +424,7 @@ def write_tiff(df: DataFrame, out: str, column: str = "image", file_name=None, d
     axes = dim_order.upper()
     if sorted(axes) != sorted("TCZYX") or not axes.endswith("YX"):
         raise ValueError(f"pages cannot follow in order {dim_order}")
-    row = export_rows(df, column, dtype, clamp, file_name if file_name is not None else F.concat(F.col(f"{column}.id"), F.lit(".ome.tiff")), use_channel_colors)
+    row = export_rows(files.spread(df), column, dtype, clamp, file_name if file_name is not None else F.concat(F.col(f"{column}.id"), F.lit(".ome.tiff")), use_channel_colors)
     order = "XY" + axes[:3][::-1]
     kind = np.dtype(dtype)
 

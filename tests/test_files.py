@@ -59,6 +59,20 @@ def test_zarr(spark, want, tmp_path, options):
     assert {r[0] for r in back.select("image.pixels_meta.physical_size_x").collect()} == {0.5, 1.0}
 
 
+@pytest.mark.parametrize("write", [zarr.write_zarr, tiff.write_tiff])
+def test_one_partition_is_written_by_many_tasks(spark, tmp_path, write):
+    """A table of small images has few partitions, and each image is many files."""
+    context = spark.sparkContext
+    context.setJobGroup(f"{tmp_path}", "writes")
+    try:
+        assert write(some(spark).coalesce(1), str(tmp_path)) >= 24
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    track = context.statusTracker()
+    stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup(f"{tmp_path}") for s in track.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) > 8
+
+
 def test_zarr_pyramid_shapes(spark, tmp_path):
     zarr.write_zarr(some(spark).limit(1), str(tmp_path), multiscale_levels=3, store_name=F.lit("one.zarr"))
     shapes = [json.load(open(f"{tmp_path}/one.zarr/{k}/zarr.json"))["shape"] for k in range(3)]
