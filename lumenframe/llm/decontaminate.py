@@ -5,7 +5,9 @@ reads a window with random pauses: at step j it shows the word it stands on and
 a random bit of (j, word) tells whether it moves on.  Two windows walked with the
 same bits resynchronise after an edit, so few edits mean few differing steps.
 Each repetition samples SAMPLED steps; windows that agree with a window of an
-item there are candidates, and the exact edit distance decides.
+item there are candidates, and the exact edit distance decides.  Before it, a
+candidate whose stretch has too few runs of 1, 2 and 3 words of the items is left
+out: ``k`` edits spare ``n - q + 1 - q * k`` of an item's runs of ``q`` words at least.
 
 Windows are as long as the item's size class, which is at most half of the item
 but for the shortest.  Those of documents start at every ``stride``-th word and
@@ -38,6 +40,7 @@ CLASSES = ((32, 8, 160), (16, 8, 64), (8, 4, 14), (4, 1, 5), (2, 1, 2), (1, 1, 1
 #: Items that are searched for in one pass, and about the characters that they may have together.
 ITEMS, ITEM_BYTES = 5000, 16 << 20
 _TABLE = 16
+_RUNS = (1, 2, 3)
 _CHUNK = 1 << 15
 _RNG = np.random.default_rng(4242)
 _BITS = {n: _RNG.integers(1, 2**63, (REPETITIONS, 2 * n), dtype=np.uint64) | np.uint64(1) for n, *_ in CLASSES}
@@ -76,6 +79,12 @@ def _walk(words: np.ndarray, starts: np.ndarray, size: int, repetition: int, tab
     return key, trail, left
 
 
+def _runs(words: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all runs of ``q`` words."""
+    n = max(len(words) - q + 1, 0)
+    return reduce(np.add, (words[j : n + j] * K._WORD_MUL[j] for j in range(q)))
+
+
 class Index:
     """Windows of items by class and repetition; made once in each worker."""
 
@@ -86,9 +95,22 @@ class Index:
         starts, ends, first = K.word_bounds(data, offsets)
         hashes = K.word_hashes(data, starts, ends)
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.most = [int(ratio * len(w)) for w in self.words]
-        self.sets = [frozenset(w.tolist()) for w in self.words]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.most = np.array([int(ratio * len(w)) for w in self.words], dtype=np.int64)
         self.masks: dict[int, dict[int, int]] = {}
+        # Of each item the longest runs that must occur, and how often.
+        self.own = []
+        for words, n, most in zip(self.words, self.sizes.tolist(), self.most.tolist(), strict=True):
+            q = max((q for q in _RUNS if n - q + 1 - q * most > 0), default=1)
+            self.own.append((q, n - q + 1 - q * most, frozenset(_runs(words, q).tolist())))
+        # Runs of all items, by the first bits of their hashes: others may share them, none is left out.
+        self.runs = []
+        for q in _RUNS:
+            runs = np.concatenate([np.zeros(0, dtype=np.uint64), *(_runs(w, q) for w in self.words)])
+            shift = np.uint64(64 - min(max((16 * len(runs)).bit_length(), _TABLE), 26))
+            table = np.zeros(1 << 64 - int(shift), dtype=bool)
+            table[(runs >> shift).astype(np.int64)] = True
+            self.runs.append((q, shift, table))
         self.classes = []
         for size, stride, least in CLASSES:
             mine = [i for i, w in enumerate(self.words) if len(w) and self._class(len(w)) == (size, stride, least)]
@@ -119,10 +141,13 @@ class Index:
     def _class(n: int) -> tuple[int, int, int]:
         return next(c for c in CLASSES if c[2] <= n)
 
-    def candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Distinct (item, where the item would start) in the words of documents; ``words`` ends in zeros."""
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct candidates: items, and where each would start in the words of documents; ``words`` ends in zeros."""
         counts = np.diff(first)
-        found = []
+        # An item and a place in one number; a start may lie before the first word.
+        back = int(self.sizes.max(initial=0))
+        span = len(words) + back
+        found = [np.zeros(0, dtype=np.int64)]
         for size, stride, repetitions in self.classes:
             per = -(-counts // stride)
             begin = np.concatenate([[0], np.cumsum(per)])
@@ -136,11 +161,31 @@ class Index:
                     low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     n = high - low
                     hit = np.repeat(low, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                    at = part[np.repeat(left, n)] - shift[hit]
-                    found.append(np.stack([owner[hit], at], axis=1))
-        if found:
-            found = np.unique(np.concatenate(found), axis=0)
-            yield from map(tuple, found.tolist())
+                    found.append(owner[hit] * span + (part[np.repeat(left, n)] - shift[hit] + back))
+        item, at = np.divmod(np.unique(np.concatenate(found)), span)
+        return item, at - back
+
+    def stretches(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Distinct (document, item, first word, last word + 1) in which the item of a candidate may lie."""
+        item, at = self.candidates(words, first)
+        if not len(item):
+            return
+        n, most = self.sizes[item], self.most[item]
+        anchor, last = at + n // 2, len(first) - 2
+        doc = np.searchsorted(first, np.maximum(at, 0), "right") - 1
+        other = (at < 0) | (doc > last) | (anchor >= first[np.minimum(doc, last) + 1])
+        doc = np.where(other, np.searchsorted(first, np.clip(anchor, 0, first[-1] - 1), "right") - 1, doc)
+        low, high = np.maximum(first[doc], at - 2 * most - 1), np.minimum(first[doc + 1], at + n + 2 * most + 1)
+        keep = high - low >= n - most
+        runs = {q: _runs(words, q) for q in _RUNS}
+        for q, shift, table in self.runs:
+            known = np.concatenate([[0], np.cumsum(table[(runs[q] >> shift).astype(np.int64)])])
+            keep &= known[np.maximum(low, high - q + 1)] - known[low] >= n - q + 1 - q * most
+        for place in dict.fromkeys(zip(*(x[keep].tolist() for x in (doc, item, low, high)), strict=True)):
+            _, i, lo, hi = place
+            q, least, own = self.own[i]
+            if sum(r in own for r in runs[q][lo : max(lo, hi - q + 1)].tolist()) >= least:
+                yield place
 
     def distance(self, item: int, words: list[int]) -> int:
         """The least word edit distance of the item to any stretch of ``words`` (bit-parallel)."""
@@ -175,24 +220,11 @@ class Index:
             part, own = K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
             starts, ends, first = K.word_bounds(part, own)
             words = np.concatenate([K.word_hashes(part, starts, ends), np.zeros(max((c[0] for c in self.classes), default=0) + 1, dtype=np.uint64)])
-            done: set[tuple[int, int, int, int]] = set()
-            for item, at in self.candidates(words, first):
-                most, n = self.most[item], len(self.words[item])
-                anchor = at + n // 2
-                doc = int(np.searchsorted(first, max(at, 0), "right")) - 1
-                if at < 0 or doc >= b - a or anchor >= first[doc + 1]:
-                    doc = int(np.searchsorted(first, min(max(anchor, 0), first[-1] - 1), "right")) - 1
-                lo, hi = max(int(first[doc]), at - 2 * most - 1), min(int(first[doc + 1]), at + n + 2 * most + 1)
-                if (doc, item, lo, hi) in done or hi - lo < n - most:
-                    continue
-                done.add((doc, item, lo, hi))
+            for doc, item, lo, hi in self.stretches(words, first):
+                most = int(self.most[item])
                 if out[a + doc].get(item, most + 1) == 0:
                     continue
-                region = words[lo:hi].tolist()
-                known = self.sets[item]
-                if sum(w in known for w in region) < n - most:
-                    continue
-                d = self.distance(item, region)
+                d = self.distance(item, words[lo:hi].tolist())
                 if d <= most:
                     out[a + doc][item] = min(d, out[a + doc].get(item, d))
         return out

@@ -113,6 +113,39 @@ def test_whole_item_after_a_piece_of_it_at_the_start():
     assert [x.get(i) for i, x in enumerate(found)] == [0] * len(items)
 
 
+def test_prose_of_the_words_of_items_is_not_compared(monkeypatch):
+    """The edit distance, a step of Python a word, is left to stretches that share runs of words with an item."""
+    rng = random.Random(5)
+    weights = [1 / (i + 1) for i in range(400)]
+    prose = lambda n: rng.choices([f"w{i}" for i in range(400)], weights, k=n)
+    items = [(i, " ".join(prose(rng.randrange(15, 60)))) for i in range(100)]
+    index = D.Index(items)
+    docs = [" ".join(prose(500)) for _ in range(60)] + [" ".join(prose(50) + words(t)[:-1] + prose(50)) for _, t in items[:10]]
+    calls, distance = [], D.Index.distance
+    monkeypatch.setattr(D.Index, "distance", lambda self, item, region: calls.append(item) or distance(self, item, region))
+    found = index.leaks(D.pa.array(docs))
+    assert [i in found[60 + i] for i in range(10)] == [True] * 10
+    assert len(calls) < 200
+
+
+def test_no_place_of_an_item_at_the_limit_is_left_out():
+    """Edits that break the most runs: alone, as far apart as they can be; the place itself is given."""
+    rng = random.Random(6)
+    for n in (1, 2, 4, 5, 9, 10, 14, 15, 24, 25, 64, 200):
+        for kind in ("cut", "swap", "add"):
+            for few in (False, True):
+                item = [rng.choice("abc") if few else f"w{rng.randrange(1000)}" for _ in range(n)]
+                own, k = list(item), int(D.RATIO * n)
+                for e in reversed(range(k)):
+                    at = (2 * e + 1) * n // (2 * k)
+                    own[at : at + 1] = {"cut": [], "swap": ["?"], "add": ["?", own[at]]}[kind]
+                for before in (0, 40):
+                    index = D.Index([(0, " ".join(item))])
+                    index.candidates = lambda words, first, at=before: (np.array([0]), np.array([at]))
+                    text = ["x"] * before + own + ["y"] * (before % 3)
+                    assert index.leaks(D.pa.array([" ".join(text)])) == [{0: distance(item, text)}]
+
+
 def test_documents(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
